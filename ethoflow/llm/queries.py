@@ -24,3 +24,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import byte_dedup
+
+    return byte_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import word_dedup
+
+    return word_dedup(table(spark, sf_dir, "documents"))
