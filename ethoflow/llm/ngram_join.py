@@ -6,8 +6,8 @@
    over all classes) ahead; the rest follow in hash order. The share exceeds the prefix that the threshold
    needs, so counts of the share are enough; sets with too few of them add shingles of the rest. The prefix
    theorem holds for any total order, hence nothing is lost.
-3. Prefix entries that nobody else has, or that length and positional bounds rule out against the extremes
-   of their list, are dropped. Every list names its most central set as hub, and a set goes to the blocks
+3. Prefix entries that nobody else has, or that length and positional bounds rule out against every size in
+   their list (a list keeps the longest remainder for each size), are dropped. Every list names its most central set as hub, and a set goes to the blocks
    of its hubs; two sets with a common prefix shingle have a common hub. Large blocks are split into pairs
    of chunks.
 4. In a block the sets are stored in a prefix tree (shared heads once) and each set walks it, adding up
@@ -191,15 +191,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chu
     )
     entries = written(entries, "entries")
     both = num + den
+    # of each list: for every set size the longest remainder, and the most central set
+    sized = entries.groupBy("tok", "n").agg(F.count("*").alias("c"), F.max(F.expr("n - i")).alias("r"), F.min(F.struct((F.col("i") * 1000 / F.col("n")).cast("int").alias("p"), "doc_id")).alias("hub"))
     lists = (
-        entries.groupBy("tok")
-        .agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max(F.expr(f"{both} * (n - i) - {num} * n")).alias("reach"), F.min(F.struct((F.col("i") * 1000 / F.col("n")).cast("int").alias("p"), "doc_id")).alias("hub"))
+        sized.groupBy("tok")
+        .agg(F.sum("c").alias("c"), F.collect_list(F.struct("n", "r", "c")).alias("sizes"), F.min("hub").alias("hub"))
         .where("c > 1")
-        .selectExpr("tok", "least", "reach", "hub.doc_id as hub")
+        .selectExpr("tok", "sizes", "hub.doc_id as hub")
     )
     hubs = (
         entries.join(lists, "tok")
-        .where(f"{num} * least <= {both} * (n - i) - {num} * n and {num} * n <= reach")
+        .where(f"exists(sizes, s -> (s.n <> n or s.c > 1) and {num} * (n + s.n) <= {both} * least(n - i, s.r))")
         .select("hub", "doc_id")
         .distinct()
     )

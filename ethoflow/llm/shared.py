@@ -44,7 +44,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, l
     return big.join(F.broadcast(small) if n * row_bytes <= limit else small, on, how)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cuts a batch so that no piece holds more than ``most`` bytes of text (one row at least)."""
     import numpy as np
 
