@@ -38,3 +38,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import word_dedup
 
     return word_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), locate=False)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
