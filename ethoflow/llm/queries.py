@@ -94,3 +94,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(12 + 2 * length(role) + length(text) + length(regexp_replace(text, '[^~<\[\]]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, listed, personal_data
+
+    told = personal_data(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
