@@ -100,11 +100,19 @@ class Units:
             self.grams = byte_grams(self.data, gram)
             self.counts = self.stops - self.starts
 
-    def content(self, low: int, high: int) -> bytes:
+    def contents(self, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        """The bytes of unit ranges; words are joined by one space."""
         if self.words is None:
-            return self.data[low:high].tobytes()
-        s, e = self.words.start, self.words.end
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(s[low:high].tolist(), e[low:high].tolist()))
+            whole = self.data.tobytes()
+        else:
+            s, e = self.words.start, self.words.end
+            length = e - s
+            at = np.concatenate([[0], np.cumsum(length + 1)])
+            line = np.full(int(at[-1]), 0x20, np.uint8)
+            inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            line[np.repeat(at[:-1], length) + inside] = self.data[np.repeat(s, length) + inside]
+            whole, low, high = line.tobytes(), at[low], at[high] - 1
+        return [whole[a:b] for a, b in zip(low.tolist(), high.tolist())]
 
 
 def _anchors(batches, words: bool, length: int, gram: int):
@@ -113,7 +121,8 @@ def _anchors(batches, words: bool, length: int, gram: int):
             u = Units(batch.column(1), words, gram)
             place, _, _ = elected(u.grams, u.starts, u.stops, length, gram)
             text = np.searchsorted(u.starts, place, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(u.grams[place].view(np.int64)), batch.column(0).take(pa.array(text)), pa.array((place - u.starts[text]).astype(np.int32))], names=["h", "doc_id", "pos"])
+            number = np.arange(len(place)) - np.searchsorted(text, text)
+            yield pa.RecordBatch.from_arrays([pa.array(u.grams[place].view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(number.astype(np.int32))], names=["h", "doc_id", "k"])
 
 
 def _stretches(batches, words: bool, length: int, gram: int):
@@ -123,32 +132,31 @@ def _stretches(batches, words: bool, length: int, gram: int):
             u = Units(batch.column(1), words, gram)
             place, first, last = elected(u.grams, u.starts, u.stops, length, gram)
             text = np.searchsorted(u.starts, place, side="right") - 1
-            wanted = batch.column(2).to_pylist()
-            ids, marks = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            rows: list[tuple] = []
-            for i, places in enumerate(wanted):
-                low, high = int(cut[i]), int(cut[i + 1])
-                if low == high or not places:
-                    continue
-                base = int(u.starts[i])
-                for j in (low + np.flatnonzero(np.isin(place[low:high] - base, places))).tolist():
-                    content = u.content(int(first[j]), int(last[j]) + length)
-                    d = xxhash.xxh3_128_intdigest(content)
-                    rows.append((int(u.grams[place[j]].view(np.int64)), (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), ids[i], marks[i], int(place[j]) - base, int(place[j] - first[j]), int(last[j] - first[j]) + 1, content))
-                    if len(rows) >= 20_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
+            # runs of wanted anchor numbers, flat, one list for each text
+            runs = batch.column(2)
+            flat = runs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(runs.offsets)) // 2)
+            base = np.searchsorted(text, owner)
+            count = np.searchsorted(text, owner, side="right") - base
+            marks = np.zeros(len(place) + 1, np.int64)
+            np.add.at(marks, base + np.minimum(flat[:, 0], count), 1)
+            np.add.at(marks, base + np.minimum(flat[:, 1], count), -1)
+            take = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+            for at in range(0, len(take), 20_000):
+                j = take[at : at + 20_000]
+                contents = u.contents(first[j], last[j] + length)
+                digests = [xxhash.xxh3_128_digest(c) for c in contents]
+                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if len(j) else np.zeros((0, 2), np.int64)
+                rows = pa.array(text[j])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u.grams[place[j]].view(np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(0).take(rows), batch.column(3).take(rows)]
+                    + [pa.array(x.astype(np.int32)) for x in (place[j] - u.starts[text[j]], place[j] - first[j], last[j] - first[j] + 1)]
+                    + [pa.array(contents, pa.binary())],
+                    names=_NAMES,
+                )
 
 
 _NAMES = ["h", "d1", "d2", "doc_id", "mark", "pos", "ahead", "windows", "content"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-
-
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
 def _window_digests(batches, words: bool, length: int):
@@ -175,9 +183,13 @@ def repeated_ranges(
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null")
-    anchors = written(texts.select("doc_id", "text").mapInArrow(lambda it: _anchors(it, words, length, gram), "h long, doc_id long, pos int"), "anchors")
-    again = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = written(anchors.join(again.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "wanted")
+    anchors = written(texts.select("doc_id", "text").mapInArrow(lambda it: _anchors(it, words, length, gram), "h long, doc_id long, k int"), "anchors")
+    # written, so that the join below is one of two plain shuffles, of which Spark splits large partitions
+    again = written(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "again")
+    wanted = anchors.join(again.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("k"))
+    run = "filter(k, (x, i) -> i = 0 or k[i - 1] + 1 < x)"
+    stop = "filter(k, (x, i) -> i = size(k) - 1 or k[i + 1] > x + 1)"
+    wanted = written(wanted.select("doc_id", F.expr(f"flatten(zip_with({run}, {stop}, (x, y) -> array(x, y + 1)))").alias("at")), "wanted")
     size = wanted.agg(F.sum(F.size("at") * 4 + 32)).first()[0] or 0
     marked = texts.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     source = marked.join(F.broadcast(wanted) if size <= limit else wanted, "doc_id").select("doc_id", "text", "at", "mark")
@@ -185,7 +197,7 @@ def repeated_ranges(
     found = written(source.mapInArrow(lambda it: _stretches(it, words, length, gram), kinds), "stretches")
     key = ["h", "d1", "d2"]
     classes = written(found.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "windows", "content")).alias("c")).select(*key, "n", "c.*"), "classes")
-    lists = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    lists = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "lists")
     several = classes.join(lists, "h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = (
@@ -217,7 +229,14 @@ def repeated_ranges(
         .select("doc_id", "mark", (F.col("pos") - F.col("ahead")).alias("low"), runs.alias("a"), ends.alias("b"))
         .select("doc_id", "mark", F.expr(f"flatten(zip_with(a, b, (x, y) -> array(low + x, low + y + {length})))").alias("r"))
     )
-    return written(spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
+    spans = spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    return written(spans.mapInArrow(_merged_spans, "doc_id long, mark long, spans array<int>"), "spans")
+
+
+def _merged_spans(batches):
+    for batch in batches:
+        spans = [[x for r in merged(flat) for x in r] for flat in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "mark", "spans"])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
