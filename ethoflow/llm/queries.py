@@ -119,3 +119,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+#: The pages have no fetch times and there are no lists; both follow from the pages by fixed rules.
+_DAY = "timestamp_ntz'2024-01-01 00:00:00'"
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of pages: fetched day page_id mod 365. Lists: a host whose crc32 mod 7 is below 3 is added on
+    day crc32 mod 200 and removed 60 days later; paths /en/ of hosts of mod 7 = 3 are added on day 100; example.net is
+    allowed from day 0 to 180, then blocked."""
+    from .url_filter import filtered, host_of
+
+    pages = table(spark, sf_dir, "pages")
+    day = lambda d: F.expr(f"{_DAY} + make_dt_interval({d})")
+    captures = pages.select("page_id", "url", day("cast(pmod(page_id, 365) as int)").alias("fetched_at"))
+    hosts = pages.select(host_of(F.col("url")).alias("domain")).distinct().withColumn("c", F.crc32("domain"))
+    row = lambda df, name, path, verdict, action, d: df.select(F.lit(name).alias("list"), "domain", F.lit(path).alias("path"), F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), day(d).alias("at"))
+    some, other = hosts.where("c % 7 < 3"), hosts.where("c % 7 = 3")
+    fixed = spark.createDataFrame([("example.net",)], "domain string")
+    entries = row(some, "hosts", "/", "block", "add", "cast(c % 200 as int)").union(row(some, "hosts", "/", "block", "remove", "cast(c % 200 as int) + 60"))
+    entries = entries.union(row(other, "paths", "/en/", "block", "add", "100")).union(row(fixed, "zones", "/", "allow", "add", "0")).union(row(fixed, "zones", "/", "block", "add", "180"))
+    return filtered(captures, entries)
