@@ -142,3 +142,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = row(some, "hosts", "/", "block", "add", "cast(c % 200 as int)").union(row(some, "hosts", "/", "block", "remove", "cast(c % 200 as int) + 60"))
     entries = entries.union(row(other, "paths", "/en/", "block", "add", "100")).union(row(fixed, "zones", "/", "allow", "add", "0")).union(row(fixed, "zones", "/", "block", "add", "180"))
     return filtered(captures, entries)
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import tokens
+
+    told = tokens(table(spark, sf_dir, "documents"))
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_fallback", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
