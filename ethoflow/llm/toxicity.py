@@ -192,3 +192,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def _clean(batches, at: int, chosen: np.ndarray, told: np.ndarray, bias: float):
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen] = told
+    for whole in batches:
+        for batch in text_slices(whole, "text"):
+            s = Sentences(*text_buffers(batch.column(at)))
+            yield batch.filter(pa.array(s.noisy_or(s.scores(weights, bias)) < 0.5))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_labelled))
+    at = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _clean(it, at, *shared.value), docs.schema)
