@@ -30,6 +30,8 @@ from .hashing import Words, coefficients, mix
 from .shared import BROADCAST_BYTES, text_buffers, text_slices, written
 
 U = np.uint64
+#: Classes of one anchor that a shard takes; a stretch has 368 bytes at most, so they stay below 2 MB.
+MOST = 4096
 _AT = U((1 << 28) - 1)
 
 
@@ -173,7 +175,7 @@ def _window_digests(batches, words: bool, length: int):
 
 
 def repeated_ranges(
-    docs: DataFrame, words: bool, length: int, gram: int, inspect: Callable, keep_first: bool, most: int = 256, limit: int = BROADCAST_BYTES
+    docs: DataFrame, words: bool, length: int, gram: int, inspect: Callable, keep_first: bool, most: int = MOST, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(doc_id, mark, spans): flat unit ranges, by text, of windows that repeat.
 
@@ -197,11 +199,12 @@ def repeated_ranges(
     found = written(source.mapInArrow(lambda it: _stretches(it, words, length, gram), kinds), "stretches")
     key = ["h", "d1", "d2"]
     classes = written(found.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "windows", "content")).alias("c")).select(*key, "n", "c.*"), "classes")
-    lists = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "lists")
+    # single: classes that occur once; without any, no window of the anchor is left to judge
+    lists = written(classes.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1"), "lists")
     several = classes.join(lists, "h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = (
-        several.where(f"kinds <= {most}")
+        several.where(f"kinds <= {most}" + ("" if keep_first else " and single > 0"))
         .repartition(parts, "h")
         .sortWithinPartitions("h", "doc_id", "pos")
         .select(*key, "windows", "content")

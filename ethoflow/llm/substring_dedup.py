@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words
-from .repeats import merged, repeated_ranges, with_spans
+from .repeats import MOST, merged, repeated_ranges, with_spans
 from .shared import BROADCAST_BYTES, key_groups, text_buffers, text_slices
 from .suffix import SuffixAutomaton, permuted_common_prefixes, suffix_array
 
@@ -123,7 +123,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 21, most: int = 256, limit: int = BROADCAST_BYTES) -> DataFrame:
+def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 21, most: int = MOST, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Without every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and kept_sha256 for each row of
@@ -135,7 +135,7 @@ def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int =
     return with_spans(own, spans, limit).mapInArrow(_cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def word_dedup(docs: DataFrame, length: int = 20, gram: int = 6, most: int = 256, limit: int = BROADCAST_BYTES) -> DataFrame:
+def word_dedup(docs: DataFrame, length: int = 20, gram: int = 6, most: int = MOST, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Without every word that a window of ``length`` words covers which also starts earlier.
 
     Earlier: a smaller doc_id, or the same document and an earlier start. Returns doc_id, n_words,
