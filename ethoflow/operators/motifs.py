@@ -90,15 +90,28 @@ def agreement(labels: DataFrame, a: str, b: str) -> float:
     return float(sum(table[i, j] for i, j in enumerate(match) if 0 <= j < len(kb)) / table.sum())
 
 
-def classification_metrics(rows: DataFrame) -> DataFrame:
-    """From (y, pred, score), y and pred 0 or 1: balanced accuracy, sensitivity, specificity and AUC by rank."""
+def classification_metrics(rows: DataFrame, buckets: int = 256) -> DataFrame:
+    """From (y, pred, score), y and pred 0 or 1: balanced accuracy, sensitivity, specificity and AUC by rank.
+
+    Rows are counted by score; ranks are cumulative counts of buckets of scores, then of the scores of a bucket,
+    so no task orders all scores. Only ``buckets`` cut points come to the driver. Rows without y or score are left out.
+    """
     from pyspark.sql import Window
 
-    w = Window.orderBy("score")  # one row for each animal of a study
-    r = F.rank().over(w) + (F.count("*").over(Window.partitionBy("score")) - 1) / 2.0
-    s = rows.withColumn("r", r).agg(F.count_if("y = 1 and pred = 1").alias("tp"), F.count_if("y = 0 and pred = 0").alias("tn"), F.count_if("y = 1").alias("pos"), F.count_if("y = 0").alias("neg"), F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("rp"))
-    sens, spec = F.col("tp") / F.col("pos"), F.col("tn") / F.col("neg")
-    return s.select("tp", "tn", "pos", "neg", sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"), ((F.col("rp") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
+    count = lambda c, name: F.count_if(F.expr(c)).alias(name)
+    own = rows.where("y is not null and score is not null")
+    per = own.groupBy("score").agg(count("y = 1", "pos"), count("y = 0", "neg"), count("y = 1 and pred = 1", "tp"), count("y = 0 and pred = 0", "tn"), F.count("*").alias("n"))
+    cuts = own.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    marks = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>")
+    per = per.withColumn("b", F.size(F.filter(marks, lambda c: c <= F.col("score"))))
+    lower = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    before = per.groupBy("b").agg(F.sum("n").alias("_n")).select("b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.join(F.broadcast(before), "b").withColumn("r", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    s = ranked.agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "pos", "neg")), F.sum(F.col("pos") * F.col("r")).alias("rp"))
+    sens, spec = F.try_divide("tp", "pos"), F.try_divide("tn", "neg")
+    auc = F.try_divide(F.col("rp") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg"))
+    return s.select("tp", "tn", "pos", "neg", sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"), auc.alias("auc"))
 
 
 def leave_one_out(rows: DataFrame, kind: str = "lr", seed: int = 42) -> DataFrame:
