@@ -9,7 +9,7 @@
 3. Prefix entries that nobody else has, or that length and positional bounds rule out against every size in
    their list (a list keeps the longest remainder for each size), are dropped. Every list names its most central set as hub, and a set goes to the blocks
    of its hubs; two sets with a common prefix shingle have a common hub. Large blocks are cut into cells of
-   like size and remainder, and only cells that the bounds let link are brought together.
+   like size, and only cells that sizes and longest remainders let link are brought together.
 4. In a block the sets are stored in a prefix tree (shared heads once) and each set walks it, adding up
    overlap edge by edge and leaving a subtree as soon as overlap plus what can remain misses the bound.
    Sets already connected in the block aren't compared again; links form a forest.
@@ -29,8 +29,8 @@ from .graph import components
 from .hashing import Words, mix
 from .shared import join_small, key_groups, text_buffers, text_slices, written
 
-#: Most sets of one chunk of a block; a task holds two chunks at a time.
-CHUNK = 100
+#: About the most sets of one chunk of a block, and their shingles (16 MB); a task holds two chunks at a time.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 21
 SET_FIELDS = "doc_id long, n int, s1 long, s2 long, n0 int, toks array<long>, spare array<long>"
 
 
@@ -208,18 +208,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chu
     # sets u and v can link only if num * n_v <= a_u and num * n_u <= a_v
     hubs = written(hubs, "hubs")
     blocks = hubs.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1")
-    # a large block is cut into cells of like size and reach, and those by hash; only cells that can link meet
-    large = f"m > {chunk}"
-    cut = hubs.join(blocks, "hub").withColumns({"nb": F.expr(f"if({large}, cast(floor(50 * ln(n)) as int), 0)"), "ab": F.expr(f"if({large}, cast(floor(50 * a / ({num} * n)) as int), 0)")})
-    cells = cut.groupBy("hub", "nb", "ab").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.min("n").alias("least"), F.max("a").alias("reach"))
-    cells = written(cells.withColumn("subs", F.expr(f"cast(ceil(c / greatest({chunk}, sqrt(m))) as int)")), "cells")
-    parts_of = cells.select("hub", "nb", "ab", "least", "reach", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).withColumn("chunk", F.xxhash64("nb", "ab", "sub"))
+    # a large block is cut into cells of like size, and those by hash; only cells that can link meet. A set goes
+    # to each chunk that its own meets, so cells are few: narrow ones would hold a handful of sets each.
+    cut = hubs.join(blocks, "hub").withColumn("nb", F.expr(f"if(m > {chunk}, cast(floor(10 * ln(n)) as int), 0)"))
+    cells = cut.groupBy("hub", "nb").agg(F.count("*").alias("c"), F.sum("n").alias("held"), F.min("n").alias("least"), F.max("a").alias("reach"))
+    cells = written(cells.withColumn("subs", F.expr(f"cast(ceil(greatest(c / {chunk}, held / {CHUNK_SHINGLES})) as int)")), "cells")
+    parts_of = cells.select("hub", "nb", "least", "reach", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).withColumn("chunk", F.xxhash64("nb", "sub"))
     other = parts_of.select("hub", F.col("chunk").alias("other"), F.col("least").alias("least_"), F.col("reach").alias("reach_"))
-    meets = parts_of.join(other, "hub").where(f"{num} * least_ <= reach and {num} * least <= reach_").select("hub", "nb", "ab", "sub", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    meets = parts_of.join(other, "hub").where(f"{num} * least_ <= reach and {num} * least <= reach_").select("hub", "nb", "sub", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     placed = (
-        cut.join(cells.select("hub", "nb", "ab", "subs"), ["hub", "nb", "ab"])
-        .select("hub", "nb", "ab", "doc_id", F.expr("cast(pmod(xxhash64(doc_id), subs) as int)").alias("sub"))
-        .join(meets, ["hub", "nb", "ab", "sub"])
+        cut.join(cells.select("hub", "nb", "subs"), ["hub", "nb"])
+        .select("hub", "nb", "doc_id", F.expr("cast(pmod(xxhash64(doc_id), subs) as int)").alias("sub"))
+        .join(meets, ["hub", "nb", "sub"])
         .select("hub", "doc_id", "chunk", "low", "high")
     )
     wanted = written(hubs.join(blocks, "hub").select("doc_id").distinct(), "wanted")
