@@ -100,11 +100,44 @@ def _induced_lists(t: list[int], small: list[bool], leftmost: list[int], letters
     return order
 
 
+def _names(t: np.ndarray, small: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each substring between neighbouring leftmost S suffixes (both ends included) its dense rank.
+
+    Letters count with their type, L before S, so no substring is a proper prefix of another. As many
+    letters as fit a 64-bit number are sorted at once; then only substrings that tie are read on.
+    """
+    key = t.astype(np.uint64) * np.uint64(2) + small + np.uint64(1)
+    bits = int(key.max()).bit_length()
+    step = max(1, 63 // bits)
+    stop = np.append(left[1:], len(t) - 1)
+    rank = np.zeros(len(left), np.int64)
+    open_, d = np.arange(len(left)), 0
+    while len(open_):
+        pack = np.zeros(len(open_), np.uint64)
+        for j in range(d, d + step):
+            at = left[open_] + j
+            pack = pack << np.uint64(bits) | np.where(at <= stop[open_], key[np.minimum(at, len(t) - 1)], np.uint64(0))
+        order = np.lexsort((pack, rank[open_])) if d else np.argsort(pack, kind="stable")
+        who, pack, old = open_[order], pack[order], rank[open_[order]]
+        fresh = np.ones(len(who), bool)
+        fresh[1:] = (pack[1:] != pack[:-1]) | (old[1:] != old[:-1])
+        block = np.ones(len(who), bool)
+        block[1:] = old[1:] != old[:-1]
+        place = np.arange(len(who))
+        # a group of ties starts at its old rank plus its place among those that had the same rank
+        rank[who] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(block, place, 0))
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        d += step
+        open_ = who[tied & (left[who] + d <= stop[who])]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
     """Suffix array of t, whose last value is 0 and occurs once; values are below ``letters``.
 
-    Suffixes are classified, substrings between leftmost smaller suffixes are sorted by one induction and
-    named, the string of names is sorted recursively, and a second induction gives all suffixes.
+    Suffixes are classified, substrings between leftmost smaller suffixes are sorted and named, the string of
+    names is sorted recursively, and an induction gives all suffixes.
     """
     n = len(t)
     if n == 1:
@@ -119,28 +152,11 @@ def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
         induce = lambda seeds: np.array(_induced_lists(tl, sl, seeds.tolist(), letters), np.int64)
     if not len(left):  # falling letters only
         return induce(left)
-    order = induce(left)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
-    ranked = order[is_left[order]]
-    stop = np.full(n, n - 1, np.int64)
-    stop[left[:-1]] = left[1:]
-    # neighbours in rank: are the substrings the same? (length, letters; types follow from them)
-    a, b = ranked[:-1], ranked[1:]
-    same = stop[a] - a == stop[b] - b
-    same[(a == n - 1) | (b == n - 1)] = False
-    open_, d = np.flatnonzero(same), 0
-    while len(open_):
-        x, y = a[open_], b[open_]
-        differ = t[x + d] != t[y + d]
-        same[open_[differ]] = False
-        open_ = open_[~differ & (x + d < stop[x])]
-        d += 1
-    names = np.concatenate([[0], np.cumsum(~same)])
-    if names[-1] + 1 < len(left):
-        name_at = np.empty(n, np.int64)
-        name_at[ranked] = names
-        ranked = left[suffix_array(name_at[left], int(names[-1]) + 1)]
+    names = _names(t, small, left)
+    if int(names.max()) + 1 < len(left):
+        ranked = left[suffix_array(names, int(names.max()) + 1)]
+    else:
+        ranked = left[np.argsort(names)]
     return induce(ranked)
 
 
