@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import BROADCAST_BYTES, text_buffers, text_slices, written
+from .shared import BROADCAST_BYTES, join_small, text_buffers, text_slices, written
 
 U = np.uint64
 #: Classes of one anchor that a shard takes; a stretch has 368 bytes at most, so they stay below 2 MB.
@@ -180,7 +180,7 @@ def repeated_ranges(
     """(doc_id, mark, spans): flat unit ranges, by text, of windows that repeat.
 
     keep_first: of equal windows the first by (doc_id, place) stays; else all are told. ``inspect`` gets an
-    iterator of batches of classes (h, d1, d2, windows, content), sorted by h and first occurrence, and
+    iterator of batches of classes (h, d1, d2, n, windows, content), sorted by h and first occurrence, and
     yields (h, d1, d2, offs): offsets of windows that another (keep_first: an earlier) class of h holds.
     """
     spark = docs.sparkSession
@@ -199,18 +199,17 @@ def repeated_ranges(
     found = written(source.mapInArrow(lambda it: _stretches(it, words, length, gram), kinds), "stretches")
     key = ["h", "d1", "d2"]
     classes = written(found.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "windows", "content")).alias("c")).select(*key, "n", "c.*"), "classes")
-    # single: classes that occur once; without any, no window of the anchor is left to judge
-    lists = written(classes.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1"), "lists")
-    several = classes.join(lists, "h")
+    # few anchors have more than ``most`` classes; the others go to shards with no join, so contents move once
+    crowded = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where(f"kinds > {most}").select("h"), "crowded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = (
-        several.where(f"kinds <= {most}" + ("" if keep_first else " and single > 0"))
+        join_small(classes, crowded, "h", "left_anti", 16)
         .repartition(parts, "h")
         .sortWithinPartitions("h", "doc_id", "pos")
-        .select(*key, "windows", "content")
+        .select(*key, "n", "windows", "content")
         .mapInArrow(inspect, "h long, d1 long, d2 long, offs array<int>")
     )
-    hot = several.where(f"kinds > {most}").select(*key, "doc_id", "pos", "windows", "content").mapInArrow(lambda it: _window_digests(it, words, length), "h long, d1 long, d2 long, doc_id long, pos int, o int, w1 long, w2 long")
+    hot = join_small(classes, crowded, "h", "left_semi", 16).select(*key, "doc_id", "pos", "windows", "content").mapInArrow(lambda it: _window_digests(it, words, length), "h long, d1 long, d2 long, doc_id long, pos int, o int, w1 long, w2 long")
     hot = written(hot, "windows")
     best = hot.groupBy("w1", "w2").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "pos")).alias("best")).where("k > 1")
     mine = hot.join(best, ["w1", "w2"])

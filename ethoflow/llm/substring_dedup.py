@@ -10,6 +10,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def _array_shards(batches, length: int, shard: int):
     """Suffix array and permuted common prefixes of whole anchors' classes, about ``shard`` bytes at a time."""
     held, size = [], 0
     for _, table in key_groups(batches, ["h"]):
+        if table.num_rows < 2 or pc.min(table.column("n")).as_py() > 1:
+            continue  # one class has nothing to meet, and classes of several occurrences are removed anyway
         rows = list(zip(*(table.column(k).to_pylist() for k in ("h", "d1", "d2", "windows", "content"))))
         held += rows
         size += sum(len(r[4]) + 1 for r in rows)
@@ -65,6 +68,8 @@ def _automaton_shards(batches, length: int):
     """Each anchor's classes stream through the automaton of the classes before them."""
     out = []
     for (h,), table in key_groups(batches, ["h"]):
+        if table.num_rows < 2:
+            continue
         automaton, end = SuffixAutomaton(), -1
         for d1, d2, content in zip(*(table.column(k).to_pylist() for k in ("d1", "d2", "content"))):
             words = content.split(b" ")
