@@ -128,12 +128,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 21, most: int = MOST, limit: int = BROADCAST_BYTES) -> DataFrame:
+def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 21, most: int = MOST, limit: int = 0) -> DataFrame:
     """Without every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and kept_sha256 for each row of
     docs(doc_id, text, ...). A null text is empty. Repeated rows are copies of one another. Rows with a
     null doc_id are returned whole and take no part in the comparison. Other columns are ignored.
+
+    What is joined to the texts, marks of anchors and spans, grows with them,
+    so by default it is never broadcast: the texts move by doc_id at every size. ``limit`` bytes allow it.
     """
     own = _keyed(docs)
     spans = repeated_ranges(own, False, length, gram, lambda it: _array_shards(it, length, shard), False, most, limit)
