@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .recursive import assign_optimal
 
+#: Steps of one k-means fit, and fits at a time.
+MOST_STEPS, AT_ONCE = 300, 8
+
 
 def scaled(rows: DataFrame, column: str = "features") -> DataFrame:
     """Zero mean, unit population deviation. The library divides by the sample deviation, so a factor follows."""
@@ -28,10 +34,19 @@ def reduced(rows: DataFrame, most: int = 15, column: str = "scaled") -> DataFram
     return PCA(k=k, inputCol=column, outputCol="pca").fit(rows).transform(rows)
 
 
-def best_kmeans(rows: DataFrame, k: int, starts: int = 5, seed: int = 42, column: str = "pca"):
-    """The k-means model of least cost over several seeds."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol=column, predictionCol="label", maxIter=50).fit(rows) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def best_kmeans(rows: DataFrame, ks: list[int], starts: int = 5, seed: int = 42, column: str = "pca") -> dict:
+    """The k-means model of least cost over several seeds, by k. Fits are small jobs, so ``AT_ONCE`` of them share the cluster."""
+
+    def fit(run):
+        k, i = run
+        return k, KMeans(k=k, seed=seed + i, featuresCol=column, predictionCol="label", maxIter=MOST_STEPS).fit(rows)
+
+    best = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for k, m in pool.map(inheritable_thread_target(rows.sparkSession)(fit), [(k, i) for k in ks for i in range(starts)]):
+            if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+                best[k] = m
+    return best
 
 
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
@@ -51,32 +66,53 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
 
 
 def choose_k(ks: list[int], scores: list[float], costs: list[float], flat: float = 0.05) -> int:
-    """The k of the best silhouette, unless the cost curve flattens (drop below a share of its range) earlier."""
+    """The k of the best silhouette, or the first inner k up to it whose drop of cost is below a share of the whole drop."""
     best = ks[int(np.argmax(scores))]
-    span = max(costs) - min(costs)
-    for i in range(1, len(ks)):
-        if span > 0 and (costs[i - 1] - costs[i]) / span < flat:
-            return min(best, ks[i - 1])
+    span = costs[0] - costs[-1]
+    for i in range(1, len(ks) - 1):
+        if span > 0 and (costs[i - 1] - costs[i]) / span < flat and ks[i] <= best:
+            return ks[i]
     return best
 
 
-def discover(windows: DataFrame, most_k: int = 20, starts: int = 5, sample: int = 5000, seed: int = 42):
+def _keys(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("features", "scaled", "pca", "label")]
+
+
+def discover(windows: DataFrame, most_k: int = 20, starts: int = 5, sample: int = 5000, seed: int = 42, last_starts: int = 20):
     """(labelled windows, k, sweep): sweep rows are (k, cost, silhouette). Needs ten windows with vectors in ``features``.
 
-    The silhouette is taken on a bounded sample of ``sample`` windows, chosen by hash.
+    The silhouette is taken on a bounded sample of ``sample`` windows, chosen by hash. The chosen k is fitted
+    again with ``last_starts`` starts, and labels are of that fit.
     """
     n = windows.count()
     if n < 10:
         raise ValueError(f"ten valid windows are needed, there are {n}")
-    points = reduced(scaled(windows)).cache()
-    some = points.orderBy(F.xxhash64(*[c for c in windows.columns if c != "features"])).limit(sample)
-    sweep, models = [], {}
-    for k in range(2, min(most_k, max(2, n // 5)) + 1):
-        models[k] = best_kmeans(points, k, starts, seed)
-        got = models[k].transform(some).select("pca", "label").collect()
-        sweep.append((k, float(models[k].summary.trainingCost), silhouette(np.array([r.pca.toArray() for r in got]), np.array([r.label for r in got]))))
+    points = reduced(scaled(windows)).repartition(1 + n // 1000).cache()  # hundreds of passes follow: no tasks of a few rows
+    some = np.array([r.pca.toArray() for r in points.orderBy(F.xxhash64(*_keys(windows))).limit(sample).select("pca").collect()])
+    sweep = []
+    for k, m in best_kmeans(points, list(range(2, min(most_k, n // 5) + 1)), starts, seed).items():
+        near = np.stack([((some - c) ** 2).sum(1) for c in m.clusterCenters()], 1).argmin(1)
+        sweep.append((k, float(m.summary.trainingCost), silhouette(some, near)))
     k = choose_k([s[0] for s in sweep], [s[2] for s in sweep], [s[1] for s in sweep])
-    return models[k].transform(points), k, sweep
+    return best_kmeans(points, [k], last_starts, seed)[k].transform(points), k, sweep
+
+
+def stability(labelled: DataFrame, k: int, times: int = 10, share: float = 0.8, starts: int = 5, seed: int = 42) -> float:
+    """Mean agreement of ``label`` with k-means of a share of the windows, on the others; ``times`` draws by hash.
+
+    Needs the columns of ``discover``. A draw that leaves fewer than two windows is left out; 0 without draws.
+    """
+    rows = labelled.withColumnRenamed("label", "was").cache()
+    got = []
+    for i in range(times):
+        drawn = F.pmod(F.xxhash64(*_keys(labelled), F.lit(seed + i)), F.lit(1_000_000)) < int(share * 1_000_000)
+        held = rows.where(~drawn)
+        if held.count() >= 2:
+            some = rows.where(drawn).select("pca").cache()
+            got.append(agreement(best_kmeans(some, [k], starts, seed)[k].transform(held), "was", "label"))
+            some.unpersist()
+    return float(np.mean(got)) if got else 0.0
 
 
 def agreement(labels: DataFrame, a: str, b: str) -> float:

@@ -130,11 +130,11 @@ def valid_share(spark, sf):
 
 @query()
 def motif_discovery(spark, sf):
-    """ML1-ML6: scaling, PCA, k-means sweep and choice of k over windows; labels by window."""
+    """ML1-ML6: scaling, PCA, k-means sweep, choice of k and bootstrap stability over windows; labels by window."""
     from pyspark.ml.feature import VectorAssembler
 
     names = [f"{n}_{d}" for d in DIMS for n in ("mean", "std")]
     w = windows.sliding(A.features(spark, sf), DIMS).where("valid").select("session_id", "window_start", *names)
     v = VectorAssembler(inputCols=names, outputCol="features").transform(w).select("session_id", "window_start", "features")
-    labelled, k, _ = motifs.discover(v, most_k=6, starts=2)
-    return labelled.select("session_id", "window_start", "label", F.lit(k).alias("k"))
+    labelled, k, _ = motifs.discover(v)
+    return labelled.select("session_id", "window_start", "label", F.lit(k).alias("k"), F.lit(motifs.stability(labelled, k)).alias("stability"))
