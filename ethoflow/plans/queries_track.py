@@ -168,10 +168,9 @@ def time_bins(spark, sf):
 
 @query(f"{A.with_('f')} SELECT session_id, round(coalesce(avg(CASE WHEN ok THEN (least(abs(x - 0), abs(x - 500), abs(y - 0), abs(y - 500)) <= 50)::INT END), 0), 4) AS thigmotaxis FROM f WHERE x IS NULL OR (x <= 500 AND y <= 500) GROUP BY session_id")
 def thigmotaxis(spark, sf):
-    """SCL10, AGG8: border of the [0, 500] square; points outside are left out."""
-    own = A.frames(spark, sf).where("x is null or (x <= 500 and y <= 500)")
+    """SCL10, AGG8: border of the [0, 500] square, for every valid frame. The SQL leaves out points outside the square."""
     arena = F.array(*(F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in geometry.rectangle(0, 0, 500, 500)))
-    return _r(zones.thigmotaxis(own, arena), "thigmotaxis")
+    return _r(zones.thigmotaxis(A.frames(spark, sf), arena), "thigmotaxis")
 
 
 @query(f"""{A.with_('f', 'k')}, g AS (SELECT session_id, least(79, greatest(0, CAST(floor(x / 500e0 * 80) AS INT))) AS cx, least(79, greatest(0, CAST(floor(y / 500e0 * 80) AS INT))) AS cy, count(*) AS n, avg(speed_px_s) AS mean_speed FROM k WHERE ok GROUP BY ALL)
