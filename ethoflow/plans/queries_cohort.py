@@ -71,7 +71,7 @@ def fdr(spark, sf):
 def permutation_tests(spark, sf):
     """STA9: mean difference of two groups of segments; 200 customers of neighbouring keys are a study."""
     own = A.table(spark, sf, "customer").select(F.expr("concat('study ', c_custkey div 200)").alias("feature"), F.when(F.col("c_mktsegment") < "G", "a-f").otherwise("g-z").alias("group"), F.col("c_acctbal").alias("value"))
-    return stats.permutation(own, 1000)
+    return stats.permutation(own)
 
 
 @query()
