@@ -1,17 +1,24 @@
 """Personal data: fixed patterns, and spans that weakly supervised labelers add. DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by pattern and check. For what the patterns miss, candidate
-spans (number groups, spelled-out addresses, assignments, titled names) get votes of five labelers: shape,
+spans (number groups, spelled-out addresses, assignments, names) get votes of five labelers: shape,
 digits, gazetteer, context for, context against. Expectation-maximisation over the counts of vote patterns
-(243 at most, counted over all documents) estimates how reliable each labeler is; its posteriors train a
-logistic span classifier over bucketed features (a bounded table too). Candidates of probability 0.5 or more
-that overlap no base span are added. Only those two bounded tables come to the driver.
+(counted over all documents) estimates how reliable each labeler is; its posteriors train a logistic span
+classifier over the votes and over features that the labelers don't see: length, share of digits, and what
+stands before and after the span. Candidates of probability 0.5 or more that overlap no base span are added.
+Only the table of votes and features comes to the driver; its values are bucketed, so it has at most
+``TABLE_ROWS`` rows at any input size.
+
+All work on a text is linear in its length, or nearly: arrays are bound once (``let``), and running sums go
+by chunks (``scan``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,72 +34,146 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme"
+_GIVEN = "Anna|Maria|John|James|Robert|Michael|David|William|Thomas|Peter|Paul|Mary|Elizabeth|Susan|Sarah|Laura|Julia|Emma|Sofia|Hans|Klaus|Karl|Stefan|Jean|Pierre|Marie|Claire|Carlos|Juan|Pedro|Luis|Carmen"
+_WORD = r"\p{Lu}[\p{L}'-]++"
+# Runs of any length; a look-behind lets each be tried once. Number groups have 6 to 19 digits.
 _CANDIDATES = (
-    r"[A-Za-z0-9._-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,20}+)++"
-    r"|[A-Za-z_]{2,20}+ ?[=:] ?\"[^\"\n]{4,80}\""
-    r"|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?"
+    r"(?:\G|(?<![A-Za-z0-9._-]))[A-Za-z0-9._-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,}+)++"
+    r"|(?:\G|(?<![A-Za-z_]))[A-Za-z_]{2,}+\"? ?[=:] ?\"[^\"\n]{4,}+\""
+    rf"|\b(?:{_TITLES})\.? {_WORD}(?: {_WORD})?"
+    rf"|\b(?:{_GIVEN}) {_WORD}"
     r"|(?<![0-9A-Za-z+.-])\(?[0-9](?:[().\x20-]{0,2}[0-9]){5,18}(?![0-9A-Za-z])"
 )
+_SPELLED = r"[\[(](at|AT)[\])]"
+_ASSIGNED = r"^[A-Za-z_]+\"? ?[=:] ?\""
 _CUES = r"(?i)\b(phone|tel|telefon|call|mobile|fax|contact|ssn|social|passport|account|iban|id|mail|email|born)\b"
-_KEYS = r"(?i)(token|secret|passw|pwd|api|key|auth|credential|user|login)"
+_KEYS = r"(?i)^[A-Za-z_]*(token|secret|passw|pwd|api|key|auth|credential|user|login)"
 _AGAINST = r"(?i)([%$€£]|\b(page|vol|version|isbn|year|fig|chapter|kg|km|section|line|no)\b)"
-_SPAN = "struct<start:int,stop:int,hit:string,left:string,right:string>"
-PATTERN = ["kind", "shape", "digits", "gazetteer", "cue", "against"]
+_PERSONAL_SHAPES = (
+    r"^[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|" + _SPELLED + r"|\"[A-Za-z0-9+/_=-]{8,}\"$|^\p{Lu}\p{L}+[.]? \p{Lu}\p{L}+ \p{Lu}"
+)
+_DATE = r"^[(]?([12][0-9]{3}[ .-][0-9]{2}[ .-][0-9]{2}|[0-9]{2}[ .-][0-9]{2}[ .-][12][0-9]{3})$"
+_OTHER_SHAPES = r"^[12][0-9]{3}-[0-9]{2}-[0-9]{2}|^[0-9]{1,3}([.][0-9]{3})+$|^[0-9 ]+$"
+#: Characters of context that labelers see before and after a span.
+BEFORE, AFTER = 24, 16
+LABELERS = ("shape", "digits", "gazetteer", "cue", "against")
+FEATURES = ("kind", *LABELERS, "long", "share", "before", "after")
+TABLE_ROWS = 4 * (3 * 3 * 3 * 2 * 2) * 4 * 3 * 4 * 4
+_CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often, or in whatever lambda, body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative op over an array of ints, by chunks: no array is copied for each element."""
+    none = F.array().cast("array<int>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+    plain = lambda v: F.aggregate(v, none, lambda a, x: F.concat(a, F.array(F.when(F.size(a) == 0, x).otherwise(op(last(a), x)))))
+
+    def whole(v):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda c: plain(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
+        carried = lambda cs, ends: F.flatten(F.transform(cs, lambda c, i: F.transform(c, lambda x: F.when(i == 0, x).otherwise(op(F.get(ends, i - 1), x)))))
+        return let(chunks, lambda cs: let(plain(F.transform(cs, last)), lambda ends: carried(cs, ends)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
+_FOUND = "array<struct<start:int,stop:int,hit:string,left:string,right:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, stop, hit, 24 characters before, 16 after), code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.when(F.size(hits) > 0, F.transform(hits, lambda h, i: F.struct(h.alias("hit"), gaps[i].alias("gap"), F.substr(gaps[i + 1], F.lit(1), F.lit(16)).alias("right"))))
-    return F.coalesce(pairs, F.array().cast("array<struct<hit:string,gap:string,right:string>>"))
+    """Leftmost non-overlapping matches: array of (start, stop, hit, BEFORE characters before, AFTER after), code points."""
+
+    def placed(hits, gaps):
+        ends = scan(F.transform(hits, lambda h, i: F.length(h) + F.length(gaps[i])), lambda a, b: a + b)
+        one = lambda h, i, stop: F.struct((stop[i] - F.length(h)).alias("start"), stop[i].alias("stop"), h.alias("hit"), F.right(gaps[i], F.lit(BEFORE)).alias("left"), F.left(gaps[i + 1], F.lit(AFTER)).alias("right"))
+        return let(ends, lambda stop: F.transform(hits, lambda h, i: one(h, i, stop)))
+
+    none = F.array().cast(_FOUND)
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(every, lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(hits, gaps))).otherwise(none))
 
 
-def _placed(pairs: str) -> Column:
-    one = "named_struct('start', a.at + length(p.gap), 'stop', a.at + length(p.gap) + length(p.hit), 'hit', p.hit, 'left', right(p.gap, 24), 'right', p.right)"
-    return F.expr(
-        f"aggregate({pairs}, named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),"
-        f" (a, p) -> named_struct('at', a.at + length(p.gap) + length(p.hit), 'out', concat(a.out, array({one}))), a -> a.out)"
-    )
+def _digits(hit: Column) -> Column:
+    return F.regexp_replace(hit, "[^0-9]", "")
 
 
-def _luhn(digits: str) -> str:
-    d = f"cast(substr({digits}, length({digits}) - i, 1) as int)"
-    return f"aggregate(sequence(0, length({digits}) - 1), 0, (s, i) -> s + if(i % 2 = 1, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d})) % 10 = 0"
+def _luhn(digits: Column) -> Column:
+    at = lambda i: F.substr(digits, F.length(digits) - i, F.lit(1)).cast("int")
+    term = lambda i: F.when(i % 2 == 0, at(i)).when(at(i) > 4, 2 * at(i) - 9).otherwise(2 * at(i))
+    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda s, i: s + term(i)) % 10 == 0
 
 
-_DIGITS = "regexp_replace(x.hit, '[^0-9]', '')"
 _CHECKS = {
-    "email": "true",
-    "ip": "forall(split(x.hit, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false))",
+    "email": lambda hit: F.lit(True),
+    "ip": lambda hit: F.forall(F.split(hit, "[.]"), lambda p: F.coalesce(p.try_cast("int") <= 255, F.lit(False))),
     # the digits of a match that is too long aren't summed
-    "card": f"length({_DIGITS}) between 16 and 19 and {_luhn(f'left({_DIGITS}, 19)')}",
-    "phone": f"length({_DIGITS}) between 8 and 15",
+    "card": lambda hit: let(_digits(hit), lambda d: F.length(d).between(16, 19) & _luhn(F.left(d, F.lit(19)))),
+    "phone": lambda hit: F.length(_digits(hit)).between(8, 15),
 }
 
 
+def _touched(start: Column, stop: Column, spans: Column) -> Column:
+    """Whether [start, stop) overlaps one of spans, which are sorted and disjoint: a binary search."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans).cast("long"))))
+    middle = lambda b: F.shiftright(b["low"] + b["high"], 1)
+    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    halve = lambda b, _: F.when(b["low"] >= b["high"], b).when(spans[middle(b)]["stop"] <= start, pair(middle(b) + 1, b["high"])).otherwise(pair(b["low"], middle(b)))
+    first = F.aggregate(steps, pair(F.lit(0), F.size(spans)), halve, lambda b: b["low"])  # the first span that ends after start
+    return (F.size(spans) > 0) & F.coalesce(let(first, lambda i: F.get(spans, i)["start"]) < stop, F.lit(False))
+
+
+def _side(c: Column) -> Column:
+    """What stands beside a span: 0 the edge of text or line, 1 a space, 2 a letter or digit, 3 anything else."""
+    return F.when((c == "") | (c == "\n"), 0).when(c == " ", 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
+
+
+def _voted(x: Column) -> Column:
+    """A candidate with its kind, votes of -1, 0, 1 and features."""
+    hit, left, right = x["hit"], x["left"], x["right"]
+    named = rf"^({_TITLES}|{_GIVEN})\b"
+
+    def told(n):
+        kind = F.when(hit.rlike(_SPELLED) & ~hit.rlike(_ASSIGNED), "mail").when(hit.rlike(_ASSIGNED), "secret").when(hit.rlike(r"^\p{Lu}"), "name").otherwise("number")
+        return F.struct(
+            x["start"].alias("start"),
+            x["stop"].alias("stop"),
+            kind.alias("kind"),
+            F.when(hit.rlike(_PERSONAL_SHAPES), 1).when(hit.rlike(_OTHER_SHAPES), -1).otherwise(0).alias("shape"),
+            F.when(n.between(7, 15) & ~hit.rlike(_DATE), 1).when(hit.rlike(_DATE) | n.between(1, 6) & ~hit.rlike("[A-Za-z]"), -1).otherwise(0).alias("digits"),
+            F.when(hit.rlike(_KEYS) & hit.rlike(_ASSIGNED) | hit.rlike(named), 1).when(hit.rlike(_ASSIGNED), -1).otherwise(0).alias("gazetteer"),
+            F.when(left.rlike(_CUES), 1).otherwise(0).alias("cue"),
+            F.when(F.concat(F.right(left, F.lit(8)), F.lit(" "), F.left(right, F.lit(8))).rlike(_AGAINST), -1).otherwise(0).alias("against"),
+            F.when(F.length(hit) < 10, 0).when(F.length(hit) < 16, 1).when(F.length(hit) < 32, 2).otherwise(3).alias("long"),
+            F.when(n == 0, 0).when(2 * n < F.length(hit), 1).otherwise(2).alias("share"),
+            _side(F.right(left, F.lit(1))).alias("before"),
+            _side(F.left(right, F.lit(1))).alias("after"),
+        )
+
+    return let(F.length(_digits(hit)), told)
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, one array of spans for each base kind, and candidates with their votes."""
+    """doc_id, mark, one array of spans for each base kind, and candidates with their votes and features."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    none = F.array().cast("array<struct<hit:string,gap:string,right:string>>")
     guards = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
-    raw = own.select("doc_id", F.xxhash64("text").alias("mark"), *(F.when(guards[k], located(F.col("text"), p)).otherwise(none).alias(k) if k in guards else located(F.col("text"), p).alias(k) for k, p in _PATTERNS.items()), located(F.col("text"), _CANDIDATES).alias("more"))
-    at = raw.select("doc_id", "mark", *(_placed(k).alias(k) for k in (*BASE, "more")))
-    kept = at.select("doc_id", "mark", "more", *(F.expr(f"transform(filter({k}, x -> {_CHECKS[k]}), x -> named_struct('start', x.start, 'stop', x.stop))").alias(k) for k in BASE))
-    free = f"filter(more, x -> not exists(concat({', '.join(BASE)}), b -> b.start < x.stop and x.start < b.stop))"
-    kind = "case when x.hit rlike '[\\\\[(](at|AT)[\\\\])]' then 'mail' when x.hit rlike '^[A-Za-z_]+ ?[=:] ?\"' then 'secret' when x.hit rlike '^[A-Z][a-z]' then 'name' else 'number' end"
-    n = f"length({_DIGITS})"
-    shape = (
-        "case when x.hit rlike '^[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}$' or x.hit rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' or x.hit rlike '[\\\\[(](at|AT)[\\\\])]' or x.hit rlike '\"[A-Za-z0-9+/_=-]{8,}\"$' or x.hit rlike '^[A-Z][a-z]+[.]? [A-Z][a-z]+ [A-Z]' then 1"
-        " when x.hit rlike '^[12][0-9]{3}-[0-9]{2}-[0-9]{2}' or x.hit rlike '^[0-9]{1,3}([.][0-9]{3})+$' or x.hit rlike '^[0-9 ]+$' then -1 else 0 end"
-    )
-    votes = (
-        f"named_struct('start', x.start, 'stop', x.stop, 'kind', {kind}, 'shape', {shape},"
-        f" 'digits', case when {n} between 7 and 15 then 1 when {n} between 1 and 6 and not x.hit rlike '\"' then -1 else 0 end,"
-        f" 'gazetteer', case when x.hit rlike '^[A-Za-z_]*{_KEYS[4:]}' or x.hit rlike '^(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)' then 1 when x.hit rlike '^[A-Za-z_]+ ?[=:]' then -1 else 0 end,"
-        f" 'cue', if(x.left rlike '{_CUES}', 1, 0), 'against', if(concat(right(x.left, 8), ' ', left(x.right, 8)) rlike '{_AGAINST}', -1, 0))"
-    ).replace("\\b", "\\\\b").replace("'^[A-Za-z_]*(", "'(?i)^[A-Za-z_]*(")
-    return kept.select("doc_id", "mark", *BASE, F.expr(f"transform({free}, x -> {votes})").alias("more"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def base(k):
+        good = F.transform(F.filter(located(F.col("text"), _PATTERNS[k]), lambda x: _CHECKS[k](x["hit"])), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+        return (F.when(guards[k], good).otherwise(none) if k in guards else good).alias(k)
+
+    def free(spans):
+        apart = lambda x: ~(_touched(x["start"], x["stop"], spans[BASE[0]]) | _touched(x["start"], x["stop"], spans[BASE[1]]) | _touched(x["start"], x["stop"], spans[BASE[2]]) | _touched(x["start"], x["stop"], spans[BASE[3]]))
+        more = F.transform(F.filter(located(F.col("text"), _CANDIDATES), apart), _voted)
+        return F.struct(*(spans[k].alias(k) for k in BASE), more.alias("more"))
+
+    told = let(F.struct(*map(base, BASE)), free)
+    return own.select("doc_id", F.xxhash64("text").alias("mark"), told.alias("told")).select("doc_id", "mark", "told.*")
 
 
 def _sigmoid(x: float) -> float:
@@ -130,26 +211,32 @@ def estimate(patterns: list[tuple], rounds: int = 60):
 
 
 def train(rows: list[tuple], rounds: int = 300):
-    """Logistic weights {(feature, value): w} and bias from (features, target, count) by Newton-free descent."""
-    weights: dict = {}
-    total = sum(c for _, _, c in rows) or 1
+    """Logistic weights {(feature, value): w} and "bias" from (features, target, count), by gradient descent."""
+    known = sorted({f for row in rows for f in row[0]}, key=str)
+    at = {f: i for i, f in enumerate(known)}
+    x = np.zeros((len(rows), len(known) + 1))
+    x[:, -1] = 1
+    for i, (features, _, _) in enumerate(rows):
+        x[i, [at[f] for f in features]] = 1
+    target, count = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    count /= count.sum() or 1
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        slope: dict = {}
-        for f, target, c in rows:
-            miss = (_sigmoid(weights.get("bias", 0) + sum(weights.get(k, 0) for k in f)) - target) * c / total
-            for k in ("bias", *f):
-                slope[k] = slope.get(k, 0) + miss
-        for k, s in slope.items():
-            weights[k] = weights.get(k, 0) - 2.0 * (s + 1e-4 * weights.get(k, 0))
-    return weights
-
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= 2.0 * (x.T @ ((p - target) * count) + 1e-4 * w)
+    return {"bias": float(w[-1]), **{f: float(w[i]) for f, i in at.items()}}
 
-def _order(kinds) -> str:
-    return "".join(f"when '{k}' then {i} " for i, k in enumerate(kinds))
 
-
-def _list(spans: str) -> str:
-    return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')"
+def _logit(weights: dict, x: Column) -> Column:
+    total = F.lit(weights.get("bias", 0.0))
+    for name in FEATURES:
+        terms = [(v, w) for (k, v), w in ((k, w) for k, w in weights.items() if k != "bias") if k == name]
+        if terms:
+            case = F
+            for v, w in terms:
+                case = case.when(x[name] == v, F.lit(w))
+            total = total + case.otherwise(F.lit(0.0))
+    return total
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -160,37 +247,45 @@ def personal_data(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     told = written(found(docs), "pii")
-    each = told.select(F.explode("more").alias("x")).select("x.*")
-    counts = each.groupBy(*PATTERN).agg(F.count("*").alias("n")).collect()  # 4 * 3**3 * 2 * 2 rows at most
-    names = PATTERN[1:]
+    counts = told.select(F.explode("more").alias("x")).select("x.*").groupBy(*FEATURES).agg(F.count("*").alias("n")).collect()  # TABLE_ROWS at most
     votes: dict = {}
     for r in counts:
-        v = tuple(r[k] for k in names)
+        v = tuple(r[k] for k in LABELERS)
         votes[v] = votes.get(v, 0) + r.n
     post = estimate(sorted(votes.items()))
-    features = lambda r: [("kind", r["kind"])] + [(k, r[k]) for k in names]
-    weights = train([(features(r), post[tuple(r[k] for k in names)], r.n) for r in counts])
-    terms = [f"when '{v}' then {w:.9f}" for (k, v), w in ((k, w) for k, w in weights.items() if k != "bias") if k == "kind"]
-    logit = f"{weights.get('bias', 0):.9f}" + (f" + case x.kind {' '.join(terms)} else 0 end" if terms else "")
-    for name in names:
-        terms = [f"when {v} then {w:.9f}" for (k, v), w in ((k, w) for k, w in weights.items() if k != "bias") if k == name]
-        logit += f" + case x.{name} {' '.join(terms)} else 0 end" if terms else ""
-    base = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'stop', x.stop))" for k in BASE) + ")"
-    order = f"(l, r) -> case when l.k < r.k or l.k = r.k and l.start < r.start then -1 when l.k = r.k and l.start = r.start then 0 else 1 end"
-    added = f"transform(filter(more, x -> {logit} >= 0), x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop, 'k', case x.kind {_order(ADDED)} end))"
-    added = f"transform(array_sort({added}, {order}), x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop))"
-    out = told.select("doc_id", "mark", *BASE, F.expr(base).alias("base"), F.expr(added).alias("added"))
+    weights = train([([(k, r[k]) for k in FEATURES], post[tuple(r[k] for k in LABELERS)], r.n) for r in counts]) if counts else {}
+    kinded = lambda k, kind: F.transform(k, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+    base = F.concat(*(kinded(k, k) for k in BASE))
+    added = F.filter("more", lambda x: _logit(weights, x) >= 0)
+    # the names of ADDED are in order
+    added = F.array_sort(F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))))
+    out = told.select("doc_id", "mark", *BASE, base.alias("base"), added.alias("added"))
     return out.select("doc_id", "mark", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "base", F.concat("base", "added").alias("spans"))
 
 
 def listed(spans: str) -> Column:
     """kind:start:stop of all spans, comma-joined."""
-    return F.expr(_list(spans))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+
+def _piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """Characters [start, stop) of a text cut into blocks of _CHUNK."""
+    first, last = F.floor(start / _CHUNK).cast("int"), F.floor(stop / _CHUNK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    low, high = start - first * _CHUNK, stop - last * _CHUNK
+    across = F.concat(F.substr(block(first), low + 1), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.left(block(last), high))
+    return F.when(first == last, F.substr(block(first), low + 1, high - low)).otherwise(across)
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each maximal run of spans replaced by its first span's kind in angle brackets."""
+    """The text with each maximal run of overlapping spans replaced by its first span's kind in angle brackets."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"))
-    return F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+
+    def replaced(s, reach, blocks):
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+        one = lambda x, i: F.when(x["start"] >= before(i), F.concat(_piece(blocks, before(i), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(s, one), ""), _piece(blocks, F.get(reach, F.size(reach) - 1), F.length(text)))
+
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    bound = let(ordered, lambda s: let(scan(F.transform(s, lambda x: -x["back"]), F.greatest), lambda reach: let(cut, lambda blocks: replaced(s, reach, blocks))))
+    return F.when(F.size(spans) > 0, bound).otherwise(text)

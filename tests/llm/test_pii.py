@@ -89,3 +89,49 @@ def test_empty_and_query(spark):
     for x in rows:
         assert x.base_sha256 == hashlib.sha256(",".join(brute(docs[x.doc_id])).encode()).hexdigest()
         assert [x[f"n_{k}"] for k in BASE] == [sum(s.startswith(k + ":") for s in brute(docs[x.doc_id])) for k in BASE]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 35_000
+    docs = spark.createDataFrame([(1, "a@b.co 10.0.0.1 " * n)], "doc_id long, text string")
+    told = personal_data(docs)
+    row = told.collect()[0]
+    assert (row.n_email, row.n_ip) == (n, n)
+    assert [(s.start, s.stop) for s in row.base[:n]] == [(16 * i, 16 * i + 6) for i in range(n)]
+    assert [(s.start, s.stop) for s in row.base[n:]] == [(16 * i + 7, 16 * i + 15) for i in range(n)]
+    out = docs.join(told, "doc_id").select(masked(F.col("text"), F.col("spans")).alias("m")).collect()
+    assert out[0].m == "<EMAIL> <IP> " * n
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    r = random.Random(11)
+    words = "the river was low and nobody came to see it before evening so they left".split()
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    token = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(k))
+    personal = [
+        lambda: ("call me at ", f"{r.randrange(200, 999)}-{r.randrange(200, 999)}-{digits(4)}"),
+        lambda: ("phone: ", f"({r.randrange(200, 999)}) {r.randrange(200, 999)}-{digits(4)}"),
+        lambda: ("write to ", f"{r.choice(['joe', 'ann', 'x.y'])}{digits(2)} [at] mail{digits(2)} [dot] com"),
+        lambda: ("with ", f'{r.choice(["api_key", "token", "password", "client_secret"])} = "{token(r.choice([12, 40, 200]))}"'),
+        lambda: ("thanks to ", f"{r.choice(['Dr.', 'Mrs', 'Herr'])} {r.choice(['Anna', 'Émile', 'Karl'])} {r.choice(['Bell', 'Östlund', 'Weiss'])}"),
+    ]
+    other = [
+        lambda: ("on ", f"{r.randrange(1900, 2024)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}"),
+        lambda: ("see page ", f"{r.randrange(100, 999)} {r.randrange(100, 999)}"),
+        lambda: ("with ", f'{r.choice(["title", "colour", "layout"])} = "{r.choice(words)} {r.choice(words)}"'),
+    ]
+    rows, wanted = [], set()
+    for i in range(400):
+        text = ""
+        for _ in range(r.randrange(1, 6)):
+            true = r.random() < 0.5
+            before, hit = r.choice(personal if true else other)()
+            text += " ".join(r.choices(words, k=r.randrange(3, 12))) + " " + before
+            if true:
+                wanted.add((i, len(text), len(text) + len(hit)))
+            text += hit + ". "
+        rows.append((i, text))
+    told = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x.doc_id, s.start, s.stop) for x in told for s in list(x.spans)[len(x.base) :]}
+    assert len(got & wanted) >= 0.95 * len(wanted), sorted(rows[d][1][a:b] for d, a, b in wanted - got)[:20]
+    assert len(got & wanted) >= 0.95 * len(got), sorted(rows[d][1][a:b] for d, a, b in got - wanted)[:20]
