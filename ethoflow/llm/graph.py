@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import released, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """From links(a, b) of ids: rows (node, component), component the smallest id that a node reaches.
 
     Each round keeps at most one row for each link; hub nodes are handled by partial minima and a join
@@ -17,7 +17,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = links.where("a is not null and b is not null and a <> b")
     edges = written(links.selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round but the last shortens a path; rounds grow with the logarithm of the longest one
         both = edges.union(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").selectExpr("b as a", "m as b")
@@ -25,12 +25,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: edges point from larger to smaller already
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").selectExpr("b as a", "m as b").union(low.selectExpr("a", "m as b"))
-        edges = written(small.where("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
+        after = written(small.where("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
+        released(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
         before = now
-    else:
-        raise RuntimeError(f"components: no end after {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.selectExpr("a as node", "b as component").union(roots.selectExpr("node", "node as component"))

@@ -8,8 +8,9 @@
    theorem holds for any total order, hence nothing is lost.
 3. Prefix entries that nobody else has, or that length and positional bounds rule out against every size in
    their list (a list keeps the longest remainder for each size), are dropped. Every list names its most central set as hub, and a set goes to the blocks
-   of its hubs; two sets with a common prefix shingle have a common hub. Large blocks are cut into cells of
-   like size, and only cells that sizes and longest remainders let link are brought together.
+   of its hubs; two sets with a common prefix shingle have a common hub. In a large block every set meets the
+   hub first; what links with it is connected, and pairs of such sets aren't brought together again. Large blocks
+   are cut into cells of like size, and only cells that sizes and longest remainders let link are brought together.
 4. In a block the sets are stored in a prefix tree (shared heads once) and each set walks it, adding up
    overlap edge by edge and leaving a subtree as soon as overlap plus what can remain misses the bound.
    Sets already connected in the block aren't compared again; links form a forest.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import Words, mix
-from .shared import join_small, key_groups, text_buffers, text_slices, written
+from .shared import join_small, key_groups, released, text_buffers, text_slices, written
 
 #: About the most sets of one chunk of a block, and their shingles (16 MB); a task holds two chunks at a time.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 21
@@ -35,8 +36,11 @@ SET_FIELDS = "doc_id long, n int, s1 long, s2 long, n0 int, toks array<long>, sp
 
 
 def _share(num: int, den: int) -> int:
-    """Of 1024 parts of the hash space, those that come first: 2.2 times the longest relative prefix."""
-    return min(1024, int(1024 * 2.2 * (den - num) / den) + 1)
+    """Of 1024 parts of the hash space, those that come first: 1.2 times the longest relative prefix.
+
+    Any share is exact, as sets with too few of its shingles add others; a larger one finds rarer shingles, and moves more.
+    """
+    return min(1024, int(1024 * 1.2 * (den - num) / den) + 1)
 
 
 def _sets(batches, k: int, num: int, den: int):
@@ -118,6 +122,22 @@ class PrefixTree:
                 stack += [(c, overlap, open_) for c in children]
 
 
+def _hub_links(batches, num: int, den: int):
+    """(hub, doc_id) of the sets that link with their hub, which comes first in its group."""
+    for (hub, _), table in key_groups(batches, ["hub", "sub"]):
+        if table.column("other")[0].as_py():
+            continue  # no set of the hub
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        out = []
+        for doc, s in zip(table.column("doc_id").to_pylist()[1:], sets[1:]):
+            at = np.searchsorted(sets[0], s)
+            common = int((sets[0][np.minimum(at, len(sets[0]) - 1)] == s).sum())
+            if (num + den) * common >= num * (len(sets[0]) + len(s)):
+                out.append(doc)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([hub] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["hub", "doc_id"])
+
+
 def _block_links(batches, num: int, den: int):
     for _, table in key_groups(batches, ["hub", "low", "high"]):
         ids = table.column("doc_id").to_pylist()
@@ -191,8 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chu
     )
     entries = written(entries, "entries")
     both = num + den
-    # of each list: for every set size the longest remainder, and the most central set
-    sized = entries.groupBy("tok", "n").agg(F.count("*").alias("c"), F.max(F.expr("n - i")).alias("r"), F.min(F.struct((F.col("i") * 1000 / F.col("n")).cast("int").alias("p"), "doc_id")).alias("hub"))
+    # of each list: for every band of set sizes the least size and the longest remainder, and the most central set.
+    # Bands are a twentieth of e apart, so a list has some hundred at most.
+    sized = entries.groupBy("tok", F.floor(20 * F.ln("n")).alias("band")).agg(
+        F.count("*").alias("c"), F.min("n").alias("n"), F.max(F.expr("n - i")).alias("r"), F.min(F.struct((F.col("i") * 1000 / F.col("n")).cast("int").alias("p"), "doc_id")).alias("hub")
+    )
     lists = (
         sized.groupBy("tok")
         .agg(F.sum("c").alias("c"), F.collect_list(F.struct("n", "r", "c")).alias("sizes"), F.min("hub").alias("hub"))
@@ -207,33 +230,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chu
     )
     # sets u and v can link only if num * n_v <= a_u and num * n_u <= a_v
     hubs = written(hubs, "hubs")
-    blocks = hubs.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1")
-    # a large block is cut into cells of like size, and those by hash; only cells that can link meet. A set goes
+    released(entries)
+    blocks = hubs.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("held")).where("m > 1")
+    blocks = written(blocks.withColumn("subs", F.expr(f"if(m > {chunk}, cast(ceil(greatest(m / {chunk}, held / {CHUNK_SHINGLES})) as int), 0)")), "blocks")
+    large = blocks.where("subs > 0")
+    wanted = hubs.join(blocks, "hub").select("doc_id").union(large.select("hub")).distinct()
+    wanted = written(wanted, "wanted")
+    found = join_small(texts, wanted, "doc_id", "left_semi", 16).mapInArrow(lambda it: _whole_sets(it, k), "doc_id long, shingles binary")
+    found = written(found, "whole")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # in a large block each set meets the hub first. Those that link are connected, so only the others need
+    # to meet all: a group of near copies takes time in proportion to its sets.
+    members = hubs.join(large, "hub").select("hub", "doc_id", F.expr("cast(pmod(xxhash64(doc_id), subs) as int)").alias("sub"))
+    centres = large.join(found, F.col("hub") == F.col("doc_id")).select("hub", "doc_id", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "shingles", F.lit(0).alias("other"))
+    near = members.join(found, "doc_id").select("hub", "doc_id", "sub", "shingles", F.lit(1).alias("other")).unionByName(centres)
+    near = near.repartition(parts, "hub", "sub").sortWithinPartitions("hub", "sub", "other").mapInArrow(lambda it: _hub_links(it, num, den), "hub long, doc_id long")
+    near = written(near.distinct(), "near")
+    # large blocks are cut into cells of like size, and those by hash; only cells that can link meet. A set goes
     # to each chunk that its own meets, so cells are few: narrow ones would hold a handful of sets each.
-    cut = hubs.join(blocks, "hub").withColumn("nb", F.expr(f"if(m > {chunk}, cast(floor(10 * ln(n)) as int), 0)"))
-    cells = cut.groupBy("hub", "nb").agg(F.count("*").alias("c"), F.sum("n").alias("held"), F.min("n").alias("least"), F.max("a").alias("reach"))
+    cut = hubs.join(blocks.select("hub", "subs"), "hub").withColumnRenamed("subs", "s").join(near.withColumn("linked", F.lit(True)), ["hub", "doc_id"], "left")
+    cut = cut.select("hub", "doc_id", "n", "a", F.coalesce("linked", F.lit(False)).alias("linked"), F.expr("if(s > 0, cast(floor(10 * ln(n)) as int), 0)").alias("nb"))
+    cell = ["hub", "nb", "linked"]
+    cells = cut.groupBy(*cell).agg(F.count("*").alias("c"), F.sum("n").alias("held"), F.min("n").alias("least"), F.max("a").alias("reach"))
     cells = written(cells.withColumn("subs", F.expr(f"cast(ceil(greatest(c / {chunk}, held / {CHUNK_SHINGLES})) as int)")), "cells")
-    parts_of = cells.select("hub", "nb", "least", "reach", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).withColumn("chunk", F.xxhash64("nb", "sub"))
-    other = parts_of.select("hub", F.col("chunk").alias("other"), F.col("least").alias("least_"), F.col("reach").alias("reach_"))
-    meets = parts_of.join(other, "hub").where(f"{num} * least_ <= reach and {num} * least <= reach_").select("hub", "nb", "sub", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    parts_of = cells.select(*cell, "least", "reach", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).withColumn("chunk", F.xxhash64("nb", "linked", "sub"))
+    other = parts_of.select("hub", F.col("chunk").alias("other"), F.col("least").alias("least_"), F.col("reach").alias("reach_"), F.col("linked").alias("linked_"))
+    meets = parts_of.join(other, "hub").where(f"not (linked and linked_) and {num} * least_ <= reach and {num} * least <= reach_").select(*cell, "sub", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     placed = (
-        cut.join(cells.select("hub", "nb", "subs"), ["hub", "nb"])
-        .select("hub", "nb", "doc_id", F.expr("cast(pmod(xxhash64(doc_id), subs) as int)").alias("sub"))
-        .join(meets, ["hub", "nb", "sub"])
+        cut.join(cells.select(*cell, "subs"), cell)
+        .select(*cell, "doc_id", F.expr("cast(pmod(xxhash64(doc_id), subs) as int)").alias("sub"))
+        .join(meets, [*cell, "sub"])
         .select("hub", "doc_id", "chunk", "low", "high")
     )
-    wanted = written(hubs.join(blocks, "hub").select("doc_id").distinct(), "wanted")
-    found = join_small(texts, wanted, "doc_id", "left_semi", 16).mapInArrow(lambda it: _whole_sets(it, k), "doc_id long, shingles binary")
-    found = written(found, "whole")
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     links = (
         placed.join(found, "doc_id")
         .select("hub", "low", "high", "chunk", "doc_id", "shingles")
-        .repartition(n_blocks, "hub", "low", "high")
+        .repartition(parts, "hub", "low", "high")
         .sortWithinPartitions("hub", "low", "high")
         .mapInArrow(lambda it: _block_links(it, num, den), "a long, b long")
     )
-    reached = components(written(links.distinct(), "links"))
+    links = written(links.union(near.where("hub <> doc_id")).distinct(), "links")
+    released(hubs, blocks, wanted, found, near, cells)
+    reached = components(links)
     labels = classes.join(reached, classes["doc_id"] == reached["node"], "left").select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
     out = sets.select("doc_id", "n", "s1", "s2").join(labels, ["s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -14,27 +14,40 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir, or the session's checkpoint directory.
+
+    Where neither is set, a local master gets a temporary folder; on a cluster, whose executors would not see
+    it, that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ethoflow-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ethoflow-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no rerun.
 
-    The table goes when the application ends.
+    The table goes when ``released``, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
