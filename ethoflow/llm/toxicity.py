@@ -2,24 +2,26 @@
 
 A sentence's score is a logistic function of its hashed words and word beginnings; a document is toxic with
 probability 1 - prod(1 - score). Only document labels are known, so the gradient reaches a sentence
-through its document. Training reads a bounded sample of labelled rows (``most_labelled``, picked by a hash
-of the id); scoring reads every row once, without a shuffle.
+through its document. Training reads a bounded sample of labelled rows (``most_labelled`` rows and ``most_bytes``
+bytes of text, picked by a hash of the id); scoring reads every row once, without a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import text_buffers, text_slices
+from .shared import released, text_buffers, text_slices, written
 
 #: Hashed features: 2**BITS, of words and of their first so many bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7, 8, 9)
 #: Labelled rows that training reads at most.
 MOST_LABELLED = 12_000
+#: Bytes of their texts, together; the driver holds them while it trains.
+MOST_BYTES = 64 << 20
 #: A sentence without any telling word has this logit before training, which is held near it.
 PRIOR = -9.0
 #: A sentence ends with one of these bytes ('.', '!', '?', line feed), or after this many words.
@@ -72,11 +74,13 @@ class Sentences:
 
 def _pieces(texts: list[str], most: int = 4 << 20):
     held: list[bytes] = []
+    size = 0
     for t in texts:
         held.append(t.encode())
-        if sum(map(len, held[-1:])) > most or len(held) >= 500:
+        size += len(held[-1])
+        if size > most or len(held) >= 500:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
@@ -137,16 +141,26 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
     return chosen, weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED):
-    """The model from documents with a label and crc32(doc_id) mod 5 other than 0, ``most_labelled`` at most."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES):
+    """The model from documents with a label and crc32(doc_id) mod 5 other than 0.
+
+    They are a sample picked by hash: ``most_labelled`` labels at most, and of their documents, in the order of the hash,
+    those whose texts together take ``most_bytes`` at most. Both bound what the driver holds; texts are taken whole.
+    """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     n = own.count()
     if n > most_labelled:
         # a share by hash, then the exact bound: the few rows that the top-k sees are ids and labels only
         own = own.withColumn("_r", F.xxhash64("doc_id")).orderBy("_r", "doc_id").limit(most_labelled).drop("_r")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id").orderBy("doc_id", "text").limit(most_labelled)
-    table = rows.toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
+    rows = written(rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("r"), F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size")), "labelled")
+    # at most most_labelled rows of numbers, or one for each copy of a doc_id, go to the window's one task
+    first = Window.orderBy("r", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.select("r", "doc_id", "mark", "size").orderBy("r", "doc_id", "mark").limit(most_labelled).withColumn("total", F.sum("size").over(first)).where(F.col("total") <= most_bytes)
+    kept = kept.select("doc_id", "mark").distinct()
+    table = rows.join(F.broadcast(kept), ["doc_id", "mark"]).select("text", "toxic", "doc_id").orderBy("doc_id", "text").limit(most_labelled).toPandas()
+    released(rows)
     return fit(table["text"].tolist(), table["toxic"].tolist())
 
 

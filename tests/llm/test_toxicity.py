@@ -1,6 +1,11 @@
+import math
 import random
+import re
 
-from ethoflow.llm.toxicity import toxicity
+import numpy as np
+
+from ethoflow.llm.hashing import coefficients, mix
+from ethoflow.llm.toxicity import BEGINNINGS, BITS, SENTENCE, fit, toxicity, train
 
 
 def corpus(n=600, seed=5):
@@ -41,3 +46,47 @@ def test_nulls_and_empty(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity(docs.limit(0), labels).collect() == []
     assert {r.predicted for r in toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def plain_score(text, weights, bias):
+    """Noisy-or of sentence scores, word by word."""
+    c = [int(x) for x in coefficients(64)]
+    mixed = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+    data = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    sentences, last, size = [], 0, 0
+    for m in re.finditer(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", data):
+        if not sentences or size == SENTENCE or re.search(rb"[.!?\n]", data[last : m.start()]):
+            sentences.append(bias)
+            size = 0
+        word = m[0]
+        whole = mixed(sum((b + 1) * c[j] for j, b in enumerate(word)) + len(word))
+        keys = [whole] + [mixed(sum((b + 1) * c[j] for j, b in enumerate(word[:n])) + n - 1) if len(word) > n else whole for n in BEGINNINGS]
+        sentences[-1] += sum(weights.get(k >> (64 - BITS), 0.0) for k in keys)
+        last, size = m.end(), size + 1
+    left = 1.0
+    for s in sentences:
+        left *= 1 - 1 / (1 + math.exp(-s))
+    return 1 - left
+
+
+def test_scores_against_brute_force(spark):
+    rows, labels = corpus(200)
+    rows += [(900, None), (901, ""), (902, "... \n"), (903, "wort1 " * 20_000), (904, "Zapfig! " * 300 + "É日本 zapfung"), (905, "x" * 100_000)]
+    model = fit([t for _, t in rows[:200]], [y for _, y in labels])
+    weights = dict(zip(model[0].tolist(), model[1].astype(np.float32).tolist()))
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), None, model=model).collect()
+    assert len(got) == len(rows) and len(weights) > 5
+    texts = dict(rows)
+    for r in got:
+        if r.doc_id != 905:
+            want = plain_score(texts[r.doc_id], weights, model[2])
+            assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.5), (r.doc_id, r.score, want)
+
+
+def test_training_is_bounded_in_bytes(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows + [(1000, "long " * 200_000)], "doc_id long, text string")
+    seen = spark.createDataFrame(labels + [(1000, 1)], "doc_id long, toxic int")
+    few, every = train(docs, seen, most_bytes=20_000), train(docs, seen)
+    assert 0 < len(few[0]) < len(every[0])
+    assert len(train(docs, seen, most_bytes=0)[0]) == 0
