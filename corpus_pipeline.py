@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethoflow.llm import decontaminate, ngram_join, pieces, pii, toxicity
-from ethoflow.llm.shared import join_small, written
+from ethoflow.llm.shared import join_small, released, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,18 +36,27 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return join_small(docs, gone, "doc_id", "left_anti", 16)
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = pii.personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "spans").dropDuplicates(["_d", "_m"])
-    told = written(told, "spans")
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    size = told.agg(F.sum(F.size("spans") * 40 + 48)).first()[0] or 0
+    own_id, mark, spans, held = (_free_name(docs, x) for x in ("own_id", "mark", "spans", "held"))
+    told = pii.personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(own_id), F.col("mark").alias(mark), F.col("spans").alias(spans))
+    told = written(told.dropDuplicates([own_id, mark]), "spans")
+    marked = docs.withColumn(held, F.xxhash64(F.coalesce("text", F.lit(""))))
+    size = told.agg(F.sum(F.size(spans) * 40 + 48)).first()[0] or 0
     rows = max(told.count(), 1)
-    on = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_m") == F.col("_mark"))
+    on = F.col(own_id).eqNullSafe(F.col("doc_id")) & (F.col(mark) == F.col(held))
     found = join_small(marked, told, on, "left", -(-size // rows))
-    text = F.when(F.col("spans").isNotNull(), pii.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    text = F.when(F.col(spans).isNotNull(), pii.masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -69,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            released(before)
+        before = docs
     return docs
