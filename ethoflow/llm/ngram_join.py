@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chu
     tokens = classes.select("doc_id", "n", "n0", share.alias("t")).select("doc_id", "n", "n0", "t.tok", "t.at")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     # a set's tokens that others have too, rarest first; those it has alone come before all of them
-    mine = tokens.join(shared.hint("shuffle_hash"), "tok").groupBy("doc_id", "n", "n0").agg(
+    mine = tokens.join(shared, "tok").groupBy("doc_id", "n", "n0").agg(
         F.collect_list(F.when(F.col("at") < 0, F.struct("df", "tok"))).alias("first"), F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "tok"))).alias("rest")
     )
     prefix = f"(n - ({num} * n + {den - 1}) div {den} + 1)"

@@ -11,7 +11,8 @@
    a suffix array or a suffix automaton (the caller's ``inspect``). Anchors with more than ``most`` classes,
    such as the edges of a very common passage, are split by window instead: windows are grouped by their
    own 128-bit digest, so no task holds one anchor's classes.
-5. Covered ranges of classes are joined back to occurrences and gathered by document.
+5. Covered ranges of classes are joined back to occurrences and gathered by document. Those of the commonest
+   classes are broadcast, so no task gets all occurrences of a passage.
 
 Anchors and classes are compared by 64-bit and 128-bit hashes; shards compare the units themselves.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import BROADCAST_BYTES, join_small, text_buffers, text_slices, written
+from .shared import BROADCAST_BYTES, join_small, released, text_buffers, text_slices, written
 
 U = np.uint64
 #: Classes of one anchor that a shard takes; a stretch has 368 bytes at most, so they stay below 2 MB.
@@ -180,7 +181,7 @@ def repeated_ranges(
     """(doc_id, mark, spans): flat unit ranges, by text, of windows that repeat.
 
     keep_first: of equal windows the first by (doc_id, place) stays; else all are told. ``inspect`` gets an
-    iterator of batches of classes (h, d1, d2, n, windows, content), sorted by h and first occurrence, and
+    iterator of batches of classes (h, d1, d2, n, ahead, windows, content), sorted by h and first occurrence, and
     yields (h, d1, d2, offs): offsets of windows that another (keep_first: an earlier) class of h holds.
     """
     spark = docs.sparkSession
@@ -188,7 +189,7 @@ def repeated_ranges(
     anchors = written(texts.select("doc_id", "text").mapInArrow(lambda it: _anchors(it, words, length, gram), "h long, doc_id long, k int"), "anchors")
     # written, so that the join below is one of two plain shuffles, of which Spark splits large partitions
     again = written(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "again")
-    wanted = anchors.join(again.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("k"))
+    wanted = anchors.join(again, "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("k"))
     run = "filter(k, (x, i) -> i = 0 or k[i - 1] + 1 < x)"
     stop = "filter(k, (x, i) -> i = size(k) - 1 or k[i + 1] > x + 1)"
     wanted = written(wanted.select("doc_id", F.expr(f"flatten(zip_with({run}, {stop}, (x, y) -> array(x, y + 1)))").alias("at")), "wanted")
@@ -197,8 +198,9 @@ def repeated_ranges(
     source = marked.join(F.broadcast(wanted) if size <= limit else wanted, "doc_id").select("doc_id", "text", "at", "mark")
     kinds = "h long, d1 long, d2 long, doc_id long, mark long, pos int, ahead int, windows int, content binary"
     found = written(source.mapInArrow(lambda it: _stretches(it, words, length, gram), kinds), "stretches")
+    released(anchors, again, wanted)
     key = ["h", "d1", "d2"]
-    classes = written(found.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "windows", "content")).alias("c")).select(*key, "n", "c.*"), "classes")
+    classes = written(found.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "ahead", "windows", "content")).alias("c")).select(*key, "n", "c.*"), "classes")
     # few anchors have more than ``most`` classes; the others go to shards with no join, so contents move once
     crowded = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where(f"kinds > {most}").select("h"), "crowded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -206,7 +208,7 @@ def repeated_ranges(
         join_small(classes, crowded, "h", "left_anti", 16)
         .repartition(parts, "h")
         .sortWithinPartitions("h", "doc_id", "pos")
-        .select(*key, "n", "windows", "content")
+        .select(*key, "n", "ahead", "windows", "content")
         .mapInArrow(inspect, "h long, d1 long, d2 long, offs array<int>")
     )
     hot = join_small(classes, crowded, "h", "left_semi", 16).select(*key, "doc_id", "pos", "windows", "content").mapInArrow(lambda it: _window_digests(it, words, length), "h long, d1 long, d2 long, doc_id long, pos int, o int, w1 long, w2 long")
@@ -217,7 +219,17 @@ def repeated_ranges(
         mine = mine.where("best < struct(doc_id, pos)")
     told = told.union(mine.groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("offs")))
     told = classes.select(*key, "n", F.col("doc_id").alias("doc0"), F.col("pos").alias("pos0")).join(told, key, "left").where("n > 1 or size(offs) > 0")
-    back = found.select(*key, "doc_id", "mark", "pos", "ahead", "windows").join(told, key)
+    told = written(told, "told")
+    released(classes, crowded, hot)
+    # classes of more than a 4096th of all stretches are 4096 at most, with one number for each window: these
+    # are broadcast, so a passage of a third of all documents isn't joined in one task; the others shuffle
+    back = found.select(*key, "doc_id", "mark", "pos", "ahead", "windows")
+    common = told.where(F.col("n") > max(back.count() / 4096, 1))
+    if common.isEmpty():
+        back = back.join(told, key)
+    else:
+        common = F.broadcast(common)
+        back = back.join(common, key).unionByName(back.join(common.select(key), key, "left_anti").join(told, key))
     offs = F.coalesce("offs", F.array().cast("array<int>"))
     every = F.sequence(F.lit(0), F.col("windows") - 1)
     is_first = (F.col("doc_id") == F.col("doc0")) & (F.col("pos") == F.col("pos0"))
@@ -232,7 +244,9 @@ def repeated_ranges(
         .select("doc_id", "mark", F.expr(f"flatten(zip_with(a, b, (x, y) -> array(low + x, low + y + {length})))").alias("r"))
     )
     spans = spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("r")).alias("spans"))
-    return written(spans.mapInArrow(_merged_spans, "doc_id long, mark long, spans array<int>"), "spans")
+    spans = written(spans.mapInArrow(_merged_spans, "doc_id long, mark long, spans array<int>"), "spans")
+    released(found, told)
+    return spans
 
 
 def _merged_spans(batches):
@@ -242,10 +256,10 @@ def _merged_spans(batches):
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, text, spans of every row of docs; spans null where nothing repeats."""
+    """shown, text, spans of every row of docs(doc_id, text, shown); spans null where nothing repeats."""
     size = spans.agg(F.sum(F.size("spans") * 4 + 40)).first()[0] or 0
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return marked.join(F.broadcast(spans) if size <= limit else spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    marked = docs.select("doc_id", "text", "shown", F.xxhash64("text").alias("mark"))
+    return marked.join(F.broadcast(spans) if size <= limit else spans, ["doc_id", "mark"], "left").select("shown", "text", "spans")
 
 
 def merged(flat) -> list[tuple[int, int]]:

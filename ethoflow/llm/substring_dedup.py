@@ -7,6 +7,7 @@ needs two shards. A passage of near copies meets in the shards of its anchors on
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,27 @@ def _told(rows):
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=_OUT)
 
 
-def _array_shards(batches, length: int, shard: int):
-    """Suffix array and permuted common prefixes of whole anchors' classes, about ``shard`` bytes at a time."""
+def _array_shards(batches, length: int, gram: int, shard: int):
+    """Suffix array and permuted common prefixes of whole anchors' classes, about ``shard`` bytes at a time.
+
+    A window reaches at least half of what it has beside its anchor to one side of it. So classes that share a
+    window share the anchor with that much before it, or with that much after it; the others stay out.
+    """
+    half = (length - gram + 1) // 2
     held, size = [], 0
     for _, table in key_groups(batches, ["h"]):
         if table.num_rows < 2 or pc.min(table.column("n")).as_py() > 1:
             continue  # one class has nothing to meet, and classes of several occurrences are removed anyway
-        rows = list(zip(*(table.column(k).to_pylist() for k in ("h", "d1", "d2", "windows", "content"))))
+        contents, ahead = table.column("content").to_pylist(), table.column("ahead").to_pylist()
+        before = [c[a - half : a + gram] if a >= half else None for c, a in zip(contents, ahead)]
+        after = [c[a : a + gram + half] if len(c) - a >= gram + half else None for c, a in zip(contents, ahead)]
+        left, right = Counter(before), Counter(after)
+        keep = [i for i, (x, y) in enumerate(zip(before, after)) if x is not None and left[x] > 1 or y is not None and right[y] > 1]
+        n = table.column("n").to_pylist()
+        if len(keep) < 2 or min(n[i] for i in keep) > 1:
+            continue
+        own = table.take(keep)
+        rows = list(zip(*(own.column(k).to_pylist() for k in ("h", "d1", "d2", "windows", "content"))))
         held += rows
         size += sum(len(r[4]) + 1 for r in rows)
         if size >= shard:
@@ -124,22 +139,24 @@ def _cut_words(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, removed)), pa.array(digests, pa.string())], names=names)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, stand_in: bool) -> DataFrame:
+    """doc_id, text, shown; with stand_in, rows without a doc_id get a number from their text in its place."""
+    own = docs.select(F.col("doc_id").cast("long").alias("shown"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.select("shown", "text", (F.coalesce("shown", F.xxhash64("text", F.lit("stand-in"))) if stand_in else F.col("shown")).alias("doc_id"))
 
 
-def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 32, shard: int = 1 << 21, most: int = MOST, limit: int = 0) -> DataFrame:
+def byte_dedup(docs: DataFrame, length: int = 200, gram: int = 64, shard: int = 1 << 21, most: int = MOST, limit: int = 0) -> DataFrame:
     """Without every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and kept_sha256 for each row of
     docs(doc_id, text, ...). A null text is empty. Repeated rows are copies of one another. Rows with a
-    null doc_id are returned whole and take no part in the comparison. Other columns are ignored.
+    null doc_id take part as the others do. Other columns are ignored.
 
     What is joined to the texts, marks of anchors and spans, grows with them,
     so by default it is never broadcast: the texts move by doc_id at every size. ``limit`` bytes allow it.
     """
-    own = _keyed(docs)
-    spans = repeated_ranges(own, False, length, gram, lambda it: _array_shards(it, length, shard), False, most, limit)
+    own = _keyed(docs, True)
+    spans = repeated_ranges(own, False, length, gram, lambda it: _array_shards(it, length, gram, shard), False, most, limit)
     return with_spans(own, spans, limit).mapInArrow(_cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -151,6 +168,6 @@ def word_dedup(docs: DataFrame, length: int = 20, gram: int = 6, most: int = MOS
     A null text has no words. Rows that share a doc_id count as one document, ordered by start alone, so
     equal rows keep their first windows both. Rows with a null doc_id are returned whole and take no part.
     """
-    own = _keyed(docs)
+    own = _keyed(docs, False)
     spans = repeated_ranges(own, True, length, gram, lambda it: _automaton_shards(it, length), True, most, limit)
     return with_spans(own, spans, limit).mapInArrow(_cut_words, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -83,5 +83,14 @@ def test_edges(spark):
     assert byte_dedup(none).collect() == [] and word_dedup(none).collect() == []
     long = " ".join(f"a{i}" for i in range(60))
     rows = spark.createDataFrame([(None, long), (1, long), (1, long), (2, None)], "doc_id long, text string")
-    assert sorted((str(r[0]), r[2]) for r in byte_dedup(rows).collect()) == [("1", len(long)), ("1", len(long)), ("2", 0), ("None", 0)]
+    assert sorted((str(r[0]), r[2]) for r in byte_dedup(rows).collect()) == [("1", len(long)), ("1", len(long)), ("2", 0), ("None", len(long))]
     assert sorted((str(r[0]), r[2]) for r in word_dedup(rows).collect()) == [("1", 0), ("1", 0), ("2", 0), ("None", 0)]
+
+
+def test_bytes_without_doc_id(spark):
+    r = random.Random(7)
+    text = "".join(r.choices("abcdefghij ", k=260))
+    other = "".join(r.choices("abcdefghij ", k=300))
+    docs = spark.createDataFrame([(None, text), (1, text), (None, other), (None, text[:230] + other[:100])], "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in byte_dedup(docs).collect())
+    assert got == sorted([("None", 260, 260), ("1", 260, 260), ("None", 300, 0), ("None", 330, 230)])
