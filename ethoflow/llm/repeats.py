@@ -189,7 +189,8 @@ def repeated_ranges(
     anchors = written(texts.select("doc_id", "text").mapInArrow(lambda it: _anchors(it, words, length, gram), "h long, doc_id long, k int"), "anchors")
     # written, so that the join below is one of two plain shuffles, of which Spark splits large partitions
     again = written(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "again")
-    wanted = anchors.join(again, "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("k"))
+    # sort-merge by name: these sides grow with the input, and a plan that broadcasts small ones tells nothing of large ones
+    wanted = anchors.join(again.hint("merge"), "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("k"))
     run = "filter(k, (x, i) -> i = 0 or k[i - 1] + 1 < x)"
     stop = "filter(k, (x, i) -> i = size(k) - 1 or k[i + 1] > x + 1)"
     wanted = written(wanted.select("doc_id", F.expr(f"flatten(zip_with({run}, {stop}, (x, y) -> array(x, y + 1)))").alias("at")), "wanted")
@@ -218,7 +219,7 @@ def repeated_ranges(
     if keep_first:
         mine = mine.where("best < struct(doc_id, pos)")
     told = told.union(mine.groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("offs")))
-    told = classes.select(*key, "n", F.col("doc_id").alias("doc0"), F.col("pos").alias("pos0")).join(told, key, "left").where("n > 1 or size(offs) > 0")
+    told = classes.select(*key, "n", F.col("doc_id").alias("doc0"), F.col("pos").alias("pos0")).join(told.hint("merge"), key, "left").where("n > 1 or size(offs) > 0")
     told = written(told, "told")
     released(classes, crowded, hot)
     # classes of more than a 4096th of all stretches are 4096 at most, with one number for each window: these
@@ -226,10 +227,10 @@ def repeated_ranges(
     back = found.select(*key, "doc_id", "mark", "pos", "ahead", "windows")
     common = told.where(F.col("n") > max(back.count() / 4096, 1))
     if common.isEmpty():
-        back = back.join(told, key)
+        back = back.join(told.hint("merge"), key)
     else:
         common = F.broadcast(common)
-        back = back.join(common, key).unionByName(back.join(common.select(key), key, "left_anti").join(told, key))
+        back = back.join(common, key).unionByName(back.join(common.select(key), key, "left_anti").join(told.hint("merge"), key))
     offs = F.coalesce("offs", F.array().cast("array<int>"))
     every = F.sequence(F.lit(0), F.col("windows") - 1)
     is_first = (F.col("doc_id") == F.col("doc0")) & (F.col("pos") == F.col("pos0"))

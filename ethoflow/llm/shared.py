@@ -110,3 +110,22 @@ def key_groups(batches, keys: list[str]):
         held.append(batch.slice(first))
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def whole_groups(batches, key: str):
+    """Tables of many groups each, from batches in which equal keys are neighbours; no group is parted."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = table.column(key).to_numpy()
+        edge = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(edge):
+            yield table.slice(0, int(edge[-1]) + 1).combine_chunks()
+            table = table.slice(int(edge[-1]) + 1)
+        held = table
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

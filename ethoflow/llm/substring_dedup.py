@@ -11,13 +11,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words
 from .repeats import MOST, merged, repeated_ranges, with_spans
-from .shared import BROADCAST_BYTES, key_groups, text_buffers, text_slices
+from .shared import BROADCAST_BYTES, key_groups, text_buffers, text_slices, whole_groups
 from .suffix import SuffixAutomaton, permuted_common_prefixes, suffix_array
 
 _OUT = ["h", "d1", "d2", "offs"]
@@ -36,28 +35,39 @@ def _array_shards(batches, length: int, gram: int, shard: int):
     """
     half = (length - gram + 1) // 2
     held, size = [], 0
-    for _, table in key_groups(batches, ["h"]):
-        if table.num_rows < 2 or pc.min(table.column("n")).as_py() > 1:
-            continue  # one class has nothing to meet, and classes of several occurrences are removed anyway
+    for table in whole_groups(batches, "h"):
+        # one class has nothing to meet, and classes of several occurrences are removed anyway
+        table = table.filter(pa.array(_can_tell(table)))
         contents, ahead = table.column("content").to_pylist(), table.column("ahead").to_pylist()
+        # a context holds the anchor, so equal ones are of one anchor
         before = [c[a - half : a + gram] if a >= half else None for c, a in zip(contents, ahead)]
         after = [c[a : a + gram + half] if len(c) - a >= gram + half else None for c, a in zip(contents, ahead)]
         left, right = Counter(before), Counter(after)
-        keep = [i for i, (x, y) in enumerate(zip(before, after)) if x is not None and left[x] > 1 or y is not None and right[y] > 1]
-        n = table.column("n").to_pylist()
-        if len(keep) < 2 or min(n[i] for i in keep) > 1:
-            continue
-        own = table.take(keep)
-        rows = list(zip(*(own.column(k).to_pylist() for k in ("h", "d1", "d2", "windows", "content"))))
-        held += rows
-        size += sum(len(r[4]) + 1 for r in rows)
-        if size >= shard:
-            yield from _array_shard(held, length)
-            held, size = [], 0
+        keep = [x is not None and left[x] > 1 or y is not None and right[y] > 1 for x, y in zip(before, after)]
+        table = table.filter(pa.array(keep, pa.bool_()))
+        table = table.filter(pa.array(_can_tell(table)))
+        rows = list(zip(*(table.column(k).to_pylist() for k in ("h", "d1", "d2", "windows", "content"))))
+        at = 0
+        for i, row in enumerate(rows):
+            size += len(row[4]) + 1
+            if size >= shard and (i + 1 == len(rows) or rows[i + 1][0] != row[0]):
+                yield from _array_shard(held + rows[at : i + 1], length)
+                held, size, at = [], 0, i + 1
+        held += rows[at:]
     if held:
         yield from _array_shard(held, length)
 
 
+def _can_tell(table: pa.Table) -> np.ndarray:
+    """Which rows are of anchors with several classes, one of which occurs once."""
+    h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
+    if not len(h):
+        return np.zeros(0, bool)
+    start = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    size = np.diff(np.concatenate([start, [len(h)]]))
+    return np.repeat((size > 1) & (np.minimum.reduceat(n, start) == 1), size)
+
+
 def _array_shard(rows, length: int):
     # texts are UTF-8, which has no byte 255: it parts the stretches, and 0 (no UTF-8 text needs it raised) ends
     joined = np.frombuffer(b"\xff".join(r[4] for r in rows), np.uint8)
