@@ -41,16 +41,19 @@ def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, U)
-    total, have, width = data.astype(U) + U(1), None, 1
-    # hashes of doubling widths are combined, so the cost is logarithmic in gram
+    total, width = data.astype(U) + U(1), 1
+    # hashes of doubling widths are combined, so the cost is logarithmic in gram; mixed once, at the end
     parts, left, at = [], gram, 0
+    steps = coefficients(gram.bit_length())
     while left:
         if left & 1:
             parts.append((total, at, width))
             at += width
         left >>= 1
         if left:
-            total = total[: len(total) - width] * U(0x9E3779B97F4A7C15) + mix(total[width:])
+            longer = total[: len(total) - width] * steps[width.bit_length() - 1]
+            longer += total[width:]
+            total = longer
             width *= 2
     have = np.zeros(n, U)
     for (part, at, width), c in zip(parts, coefficients(len(parts))):
@@ -196,7 +199,7 @@ def repeated_ranges(
     wanted = written(wanted.select("doc_id", F.expr(f"flatten(zip_with({run}, {stop}, (x, y) -> array(x, y + 1)))").alias("at")), "wanted")
     size = wanted.agg(F.sum(F.size("at") * 4 + 32)).first()[0] or 0
     marked = texts.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    source = marked.join(F.broadcast(wanted) if size <= limit else wanted, "doc_id").select("doc_id", "text", "at", "mark")
+    source = marked.join(F.broadcast(wanted) if size <= limit else wanted.hint("merge"), "doc_id").select("doc_id", "text", "at", "mark")
     kinds = "h long, d1 long, d2 long, doc_id long, mark long, pos int, ahead int, windows int, content binary"
     found = written(source.mapInArrow(lambda it: _stretches(it, words, length, gram), kinds), "stretches")
     released(anchors, again, wanted)
@@ -260,7 +263,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, limit: int = BROADCAST_BYTES)
     """shown, text, spans of every row of docs(doc_id, text, shown); spans null where nothing repeats."""
     size = spans.agg(F.sum(F.size("spans") * 4 + 40)).first()[0] or 0
     marked = docs.select("doc_id", "text", "shown", F.xxhash64("text").alias("mark"))
-    return marked.join(F.broadcast(spans) if size <= limit else spans, ["doc_id", "mark"], "left").select("shown", "text", "spans")
+    return marked.join(F.broadcast(spans) if size <= limit else spans.hint("merge"), ["doc_id", "mark"], "left").select("shown", "text", "spans")
 
 
 def merged(flat) -> list[tuple[int, int]]:

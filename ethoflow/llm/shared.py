@@ -44,10 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing will read again."""
+    """Deletes tables of ``written`` that nothing will read again, and lets Spark drop what it shuffled for them.
+
+    Spark cleans shuffle files once the driver's collector finds their plans gone, by default half-hourly; here it
+    is asked to look, so that the files of one step aren't kept beside those of the next.
+    """
     for df in tables:
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

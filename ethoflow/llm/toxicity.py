@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import released, text_buffers, text_slices, written
+from .shared import text_buffers, text_slices
 
 #: Hashed features: 2**BITS, of words and of their first so many bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7, 8, 9)
@@ -154,13 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
         # a share by hash, then the exact bound: the few rows that the top-k sees are ids and labels only
         own = own.withColumn("_r", F.xxhash64("doc_id")).orderBy("_r", "doc_id").limit(most_labelled).drop("_r")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
-    rows = written(rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("r"), F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size")), "labelled")
-    # at most most_labelled rows of numbers, or one for each copy of a doc_id, go to the window's one task
+    rows = rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("r"), F.xxhash64("text").alias("mark"))
+    # most_labelled rows of numbers at most go to the window's one task
     first = Window.orderBy("r", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.select("r", "doc_id", "mark", "size").orderBy("r", "doc_id", "mark").limit(most_labelled).withColumn("total", F.sum("size").over(first)).where(F.col("total") <= most_bytes)
-    kept = kept.select("doc_id", "mark").distinct()
+    kept = rows.select("r", "doc_id", "mark", F.octet_length("text").alias("size")).orderBy("r", "doc_id", "mark").limit(most_labelled)
+    kept = kept.withColumn("total", F.sum("size").over(first)).where(F.col("total") <= most_bytes).select("doc_id", "mark").distinct()
     table = rows.join(F.broadcast(kept), ["doc_id", "mark"]).select("text", "toxic", "doc_id").orderBy("doc_id", "text").limit(most_labelled).toPandas()
-    released(rows)
     return fit(table["text"].tolist(), table["toxic"].tolist())
 
 
@@ -168,7 +167,7 @@ def _scored(batches, chosen: np.ndarray, told: np.ndarray, bias: float, locate:
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = told
     for whole in batches:
-        for batch in text_slices(whole, "text"):
+        for batch in text_slices(whole, "text", 1 << 20):
             data, offsets = text_buffers(batch.column(1))
             s = Sentences(data, offsets)
             p = s.scores(weights, bias)
@@ -212,7 +211,7 @@ def _clean(batches, at: int, chosen: np.ndarray, told: np.ndarray, bias: float):
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = told
     for whole in batches:
-        for batch in text_slices(whole, "text"):
+        for batch in text_slices(whole, "text", 1 << 20):
             s = Sentences(*text_buffers(batch.column(at)))
             yield batch.filter(pa.array(s.noisy_or(s.scores(weights, bias)) < 0.5))
 
