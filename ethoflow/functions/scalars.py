@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 #: Default thresholds (fixed values: a switching user expects the same cut-offs).
 IMMOBILE_CM_S, IMMOBILE_PX_S = 2.0, 8.0
 FREEZING_CM_S, FREEZING_PX_S = 0.5, 2.0
-#: Keywords by zone role (fixed values), matched in lower-case names.
+#: Keywords by zone role: fixed values, found anywhere in a lower-case name.
 ZONE_WORDS = {
-    "novel": ["novel", "new", "object2", "obj2"],
-    "familiar": ["familiar", "object1", "obj1"],
+    "novel": ["novel", "novel_object", "new", "object1", "obj1"],
+    "familiar": ["familiar", "familiar_object", "old", "object2", "obj2"],
     "open": ["open"],
     "closed": ["closed", "close"],
-    "light": ["light", "lit", "bright"],
-    "dark": ["dark"],
-    "centre": ["center", "centre", "inner"],
-    "periphery": ["periphery", "outer", "border", "wall"],
-    "platform": ["platform"],
+    "light": ["light", "bright", "illuminated"],
+    "dark": ["dark", "black", "unilluminated", "shelter"],
+    "centre": ["center", "centre", "inner", "central"],
+    "periphery": ["peripher", "outer", "wall", "thigmo", "border"],
+    "platform": ["platform", "goal", "target", "escape"],
+    "quadrant": ["quadrant", "q1", "q2", "q3", "q4", "nw", "ne", "sw", "se", "north", "south", "east", "west"],
+    "arm": ["arm", "left", "right", "centre", "center", "novel", " a", " b", " c"],
 }
+#: A name that says the second role isn't of the first.
+_YIELDS = {"familiar": "novel", "dark": "light"}
 
 
 def valid(ok: Column, x: Column) -> Column:
@@ -56,11 +60,15 @@ def behaviour_state(tracked: Column, rearing: Column, is_freezing: Column, is_im
     return F.when(~tracked, "untracked").when(F.coalesce(rearing, F.lit(False)), "rearing").when(is_freezing, "freezing").when(is_immobile, "immobile").otherwise("mobile")
 
 
-def names_zone(name: Column, role: str, words: bool = True) -> Column:
-    """Whether a zone's name says the role. words: at the start of a word; else anywhere in the name."""
-    low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[_-]", "")
-    hits = [low.rlike(r"(^|[^a-z])" + w) if words else low.contains(w) for w in ZONE_WORDS[role]]
-    return reduce(lambda a, b: a | b, hits)
+def names_zone(name: Column, role: str) -> Column:
+    """Whether a zone's name says the role. Familiar gives way to novel, dark to light, and close (not closed) to open."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    if role in ("novel", "familiar"):
+        low = F.translate(low, " -", "__")
+    says = lambda r: reduce(lambda a, b: a | b, (low.contains(w) for w in ZONE_WORDS[r]))
+    if role == "closed":
+        return low.contains("closed") | (low.contains("close") & ~says("open"))
+    return says(role) & ~says(_YIELDS[role]) if role in _YIELDS else says(role)
 
 
 def time_label(seconds: Column) -> Column:
@@ -99,11 +107,12 @@ def entropy(vector: Column) -> Column:
 
 
 def motif_label(c: dict[str, Column]) -> Column:
-    """A name for a motif from its mean features: rearing, grooming, speed, turning and curvature."""
+    """A name for a motif from its mean features, missing ones as 0; thresholds and names are fixed values."""
+    c = {k: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for k, v in c.items()}
     return (
         F.when(c["rearing"] > 0.3, "rearing").when(c["grooming"] > 0.3, "grooming")
-        .when((c["speed"] < 0.1) & (c["turn"] < 0.2), "still").when((c["speed"] < 0.2) & (c["curvature"] > 0.25), "hunched")
-        .when(c["turn"] > 0.5, "turning").when(c["speed"] > 0.7, "running").when(c["speed"] > 0.3, "walking").otherwise("slow")
+        .when((c["speed"] < 0.1) & (c["turn"] < 0.1), "stillness").when((c["curvature"] > 0.25) & (c["speed"] < 0.3), "hunching")
+        .when((c["turn"] > 0.6) & (c["speed"] > 0.2), "turning").when(c["speed"] > 0.7, "running").when(c["speed"] > 0.3, "walking").otherwise("slow_movement")
     )
 
 

@@ -46,8 +46,11 @@ def studentized_range_upper(q: float, k: int, df: float, nodes: int = 64) -> flo
     z, wz = 8 * x, 8 * w
     phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
-    s, ws = (x + 1) * 2.0, w * 2.0  # s / sigma in (0, 4)
+    # s / sigma lies within 10 standard deviations of 1, which narrow as degrees of freedom grow
+    wide = 10 / math.sqrt(2 * df)
+    low, high = max(0.0, 1 - wide), 1 + wide
+    s, ws = low + (x + 1) / 2 * (high - low), w / 2 * (high - low)
     log = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2)
-    density = np.exp(log + (df - 1) * np.log(s) - df * s * s / 2)
+    density = np.exp(log + (df - 1) * np.log(np.maximum(s, 1e-300)) - df * s * s / 2)
     inner = np.array([(k * phi * wz * np.maximum(cdf(z) - cdf(z - q * v), 0) ** (k - 1)).sum() for v in s])
     return float(min(1.0, max(0.0, 1 - (inner * density * ws).sum() / (density * ws).sum())))

@@ -16,10 +16,14 @@ def _sum(flag: Column, value: str) -> Column:
     return F.coalesce(F.sum(F.when(flag, F.col(value))), F.lit(0))
 
 
-def novel_object(zones: DataFrame) -> DataFrame:
-    """Discrimination (n - f) / (n + f) and preference n / (n + f); of several matching zones the last counts."""
+def novel_object(zones: DataFrame, order: str = "zone_id") -> DataFrame:
+    """Discrimination (n - f) / (n + f) and preference n / (n + f).
+
+    Of several zones of a role the last counts, by the column ``order`` (the zones' own order where they have one).
+    """
     n, f = names_zone(F.col("zone_id"), "novel"), names_zone(F.col("zone_id"), "familiar")
-    own = zones.groupBy(S).agg(F.max_by(F.when(n, F.col("time_s")), F.when(n, F.col("zone_id"))).alias("novel_s"), F.max_by(F.when(f, F.col("time_s")), F.when(f, F.col("zone_id"))).alias("familiar_s"))
+    last = lambda flag: F.max_by(F.when(flag, F.col("time_s")), F.when(flag, F.col(order)))
+    own = zones.groupBy(S).agg(last(n).alias("novel_s"), last(f).alias("familiar_s"))
     total = F.col("novel_s") + F.col("familiar_s")
     return own.where(total > 0).withColumns({"discrimination": (F.col("novel_s") - F.col("familiar_s")) / total, "preference": F.col("novel_s") / total})
 

@@ -7,27 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geometry import wrap_degrees
+from ..functions.scalars import qc_grade, qc_tier
+from .islands import longest_gap
+from .recursive import moving_average
 
 S = "session_id"
 KPS = "map<string,struct<x:double,y:double,likelihood:double>>"
 CANONICAL = ["nose", "left_ear", "right_ear", "neck", "mid_spine", "hips", "tail_base"]
-#: Names under which trackers report the canonical landmarks (fixed values).
+#: Names under which trackers report the landmarks, and the point that stands for the body: fixed values.
 ALIASES = {
-    "nose": ["nose", "snout", "head"],
-    "left_ear": ["left_ear", "leftear", "ear_left", "l_ear"],
-    "right_ear": ["right_ear", "rightear", "ear_right", "r_ear"],
-    "neck": ["neck", "nape"],
-    "mid_spine": ["mid_spine", "spine", "body", "center", "centroid"],
-    "hips": ["hips", "hip", "pelvis"],
-    "tail_base": ["tail_base", "tailbase", "tail"],
+    "nose": ["nose", "snout", "head", "rostrum"],
+    "left_ear": ["left_ear", "leftear", "lear", "ear_left", "l_ear", "ear_l"],
+    "right_ear": ["right_ear", "rightear", "rear", "ear_right", "r_ear", "ear_r"],
+    "neck": ["neck", "throat", "nape", "cervical"],
+    "mid_spine": ["mid_spine", "midspine", "spine_mid", "mid_back", "dorsum", "back_mid", "spine2"],
+    "hips": ["hips", "hip", "rump", "sacrum", "pelvis", "haunch", "tail_root_up"],
+    "tail_base": ["tail_base", "tailbase", "tail1", "tail_root", "tailroot", "base_tail"],
 }
+BODY = ["mid_spine", "midspine", "spine2", "spine1", "center", "body", "thorax", "mid", "midbody", "mid_body", "back"]
+
+
+def _named(kps: Column, names: list[str]) -> Column:
+    """The keypoint of the first of these names; exact names go before those that differ in case."""
+    low = F.map_entries(kps)
+    folded = lambda n: F.get(F.filter(low, lambda e: F.lower(e["key"]) == n), F.lit(0))["value"]
+    return F.coalesce(*(F.try_element_at(kps, F.lit(n)) for n in names), *map(folded, names))
 
 
 def canonical(kps: Column) -> Column:
     """The seven landmarks by alias: exact names in order first, then without regard to case."""
-    low = F.transform_keys(kps, lambda k, v: F.lower(k))
-    found = lambda names: F.coalesce(*(F.try_element_at(kps, F.lit(n)) for n in names), *(F.try_element_at(low, F.lit(n)) for n in names))
-    whole = F.map_from_arrays(F.array(*map(F.lit, CANONICAL)), F.array(*(found(ALIASES[c]) for c in CANONICAL)))
+    whole = F.map_from_arrays(F.array(*map(F.lit, CANONICAL)), F.array(*(_named(kps, ALIASES[c]) for c in CANONICAL)))
     return F.map_filter(whole, lambda k, v: v.isNotNull())
 
 
@@ -41,12 +50,18 @@ def all_seven(kps: Column, least: float = 0.6) -> Column:
 
 
 def centroid(kps: Column) -> Column:
-    """The body point, else the mean of all keypoints."""
-    body = F.try_element_at(canonical(kps), F.lit("mid_spine"))
+    """The body point by its aliases, else the mean of all keypoints."""
+    body = _named(kps, BODY)
     mean = lambda f: F.aggregate(F.map_values(kps), F.lit(0.0), lambda a, v: a + v[f]) / F.size(kps)
     return F.when(F.size(kps) > 0, F.struct(F.coalesce(body["x"], mean("x")).alias("x"), F.coalesce(body["y"], mean("y")).alias("y")))
 
 
+def heading(kps: Column) -> Column:
+    """Direction from tail to nose in degrees, where they are more than 0.5 apart along an axis."""
+    dx, dy = _p(kps, "nose")["x"] - _p(kps, "tail_base")["x"], _p(kps, "nose")["y"] - _p(kps, "tail_base")["y"]
+    return F.when((F.abs(dx) > 0.5) | (F.abs(dy) > 0.5), F.degrees(F.atan2(dy, dx)))
+
+
 def _p(kps: Column, name: str) -> Column:
     return F.try_element_at(kps, F.lit(name))
 
@@ -124,6 +139,34 @@ def feature_rows(frames: DataFrame, fps: float) -> DataFrame:
     return own.select(S, "frame_index", features.alias("features")).withColumn("valid", ~F.exists("features", F.isnan))
 
 
+def body_means(rows: DataFrame, px_per_cm: float = 0.0, keys=(S,)) -> DataFrame:
+    """Mean body length (px, and cm where calibrated), ear span, curvature and head-body angle of the rows that have them."""
+    cm = F.round(F.col("mean_body_length_px") / px_per_cm, 2) if px_per_cm > 0 else F.lit(None).cast("double")
+    own = rows.groupBy(*keys).agg(F.round(F.avg("body_length"), 2).alias("mean_body_length_px"), F.round(F.avg("ear_span"), 2).alias("mean_ear_span_px"), F.round(F.avg("curvature"), 4).alias("mean_curvature"), F.round(F.avg("head_body_angle"), 2).alias("mean_head_body_deg"))
+    return own.withColumn("mean_body_length_cm", cm)
+
+
+def upper_median(rows: DataFrame, value: str, keys=(S,)) -> DataFrame:
+    """The middle value, the upper one of two."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    own = rows.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    return own.where(F.col("_r") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias("median"))
+
+
+def rearing(frames: DataFrame, value: str, fraction: float) -> DataFrame:
+    """session_id, frame_index and rearing: the value is below a fraction of its running average (current row included).
+
+    Body length goes with 0.55, a blob's area with 0.40. Rows without a value aren't rearing.
+    """
+    base = moving_average(frames, value)
+    own = frames.select(S, F.col("frame_index").cast("long").alias("frame_index"), value)
+    return own.join(base, [S, "frame_index"]).select(S, "frame_index", F.coalesce(F.col(value) < fraction * F.col("ema"), F.lit(False)).alias("rearing"))
+
+
+#: Limits of the graded measures, as (acceptable, borderline): fixed values. Jitter is graded by pixels and by body length.
+QC_LIMITS = {"valid_share": (0.75, 0.50), "likelihood": (0.70, 0.50), "length_cv": (0.08, 0.15), "max_gap": (15, 45), "jitter_px": (3.0, 6.0), "jitter_norm": (0.025, 0.05)}
+
+
 def quality(frames: DataFrame, least: float = 0.6) -> DataFrame:
     """By session and landmark: share of frames without it, mean likelihood, median jitter between consecutive frames."""
     w = Window.partitionBy(S, "kp").orderBy("frame_index")
@@ -133,7 +176,7 @@ def quality(frames: DataFrame, least: float = 0.6) -> DataFrame:
     before = F.lag(F.struct("frame_index", "p", "_good")).over(w)
     own = own.withColumn("_b", before)
     jitter = F.when(F.col("_good") & F.col("_b._good") & (F.col("_b.frame_index") + 1 == F.col("frame_index")), F.hypot(F.col("p.x") - F.col("_b.p.x"), F.col("p.y") - F.col("_b.p.y")))
-    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), F.avg("p.likelihood").alias("likelihood"), F.median(jitter).alias("jitter"))
+    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), F.avg(F.when(F.col("p").isNotNull(), F.coalesce(F.col("p.likelihood"), F.lit(1.0)))).alias("likelihood"), F.median(jitter).alias("jitter"))
 
 
 def length_quality(rows: DataFrame, value: str = "body_length") -> DataFrame:
@@ -142,3 +185,21 @@ def length_quality(rows: DataFrame, value: str = "body_length") -> DataFrame:
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     out = F.when((F.col(value) < q1 - 1.5 * (q3 - q1)) | (F.col(value) > q3 + 1.5 * (q3 - q1)), 1.0).when(F.col(value).isNotNull(), 0.0)
     return rows.join(q, S).groupBy(S).agg(F.first(F.col("_q")[1]).alias("median"), F.first(q3 - q1).alias("iqr"), F.first("cv").alias("cv"), F.avg(out).alias("outliers"))
+
+
+def quality_tiers(frames: DataFrame, least: float = 0.6) -> DataFrame:
+    """By session: the five measures of tracking quality (jitter in two units), their grades, and the tier."""
+    whole = frames.withColumn("_v", all_seven(F.col("kps"), least))
+    share = whole.groupBy(S).agg(F.avg(F.col("_v").cast("int")).alias("valid_share"))
+    gap = longest_gap(whole, ~F.col("_v")).select(S, "max_gap", "gaps_5")
+    by_point = quality(frames, least).groupBy(S).agg(F.min(F.coalesce("likelihood", F.lit(0.0))).alias("likelihood"), F.avg(F.coalesce("jitter", F.lit(0.0))).alias("jitter_px"))
+    size = length_quality(frames.select(S, _span(F.col("kps"), "nose", "tail_base").alias("body_length")))
+    # too few lengths have no spread
+    many = frames.groupBy(S).agg(F.count(_span(F.col("kps"), "nose", "tail_base")).alias("_n"))
+    own = share.join(gap, S).join(by_point, S).join(size.select(S, "median", F.col("cv").alias("length_cv")), S).join(many, S)
+    own = own.withColumns({"length_cv": F.when(F.col("_n") > 2, F.coalesce("length_cv", F.lit(0.0))).otherwise(0.0), "jitter_norm": F.when(F.col("median") > 0, F.col("jitter_px") / F.col("median")).otherwise(0.0)})
+    high = {"valid_share", "likelihood"}
+    grade = {k: qc_grade(F.col(k), a, b, k not in high) for k, (a, b) in QC_LIMITS.items()}
+    worse = F.greatest(grade["jitter_px"], grade["jitter_norm"])
+    five = {"g_valid": grade["valid_share"], "g_likelihood": grade["likelihood"], "g_length": grade["length_cv"], "g_gap": grade["max_gap"], "g_jitter": worse}
+    return own.withColumns(five).withColumn("tier", qc_tier(*map(F.col, five))).select(S, *QC_LIMITS, "gaps_5", *five, "tier")

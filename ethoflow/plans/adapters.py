@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value", "props")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ok = F.col("event_type") != "error"
     k = F.get_json_object("props", "$.k").cast("int")
     out = e.withColumn("frame_index", (F.row_number().over(w) - 1).cast("long"))
-    return out.select(F.col("user_id").alias("session_id"), "frame_index", (F.col("frame_index") / F.lit(FPS)).alias("t_sec"), ok.alias("ok"), F.when(ok, F.col("value")).alias("x"), F.when(ok, k * 5.0).alias("y"), "event_type")
+    return out.select(F.col("user_id").alias("session_id"), "frame_index", (F.col("frame_index") / F.lit(FPS)).alias("t_sec"), ok.alias("ok"), F.when(ok, F.col("value")).alias("x"), F.when(ok, k * 5.0).alias("y"), "event_type", *more)
 
 
 def zones_column():
@@ -97,3 +97,39 @@ def islands(source: str, state: str, name: str = "i", keys: str = "session_id",
 {name}2 AS (SELECT *, sum(chg) OVER (PARTITION BY {keys} ORDER BY frame_index) AS run_id FROM {name}1),
 {name}3 AS (SELECT {keys}, run_id, any_value(state) AS state, min(t_sec) AS start_t, max(t_sec) AS last_t, count(*) AS n{extra} FROM {name}2 GROUP BY {keys}, run_id),
 {name} AS (SELECT *, coalesce(lead(start_t) OVER (PARTITION BY {keys} ORDER BY run_id), last_t) AS end_t FROM {name}3)"""
+
+
+#: Keypoints of a frame: landmark, the raw name of its tracker, and its offsets from the frame's point by event_id.
+KEYPOINTS = [
+    ("nose", "Snout", "10 + event_id % 7 - 3", "event_id % 5"),
+    ("left_ear", "leftear", "6", "4 + event_id % 3"),
+    ("right_ear", "ear_r", "6", "-4 - event_id % 2"),
+    ("neck", "nape", "4", "event_id % 4 - 1"),
+    ("mid_spine", "mid_back", "0", "event_id % 9 - 4"),
+    ("hips", "Rump", "-6", "event_id % 3"),
+    ("tail_base", "tail1", "-12", "-(event_id % 4)"),
+]
+
+
+def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with kps under raw names; a point is missing where (event_id + its number) mod 11 is 0."""
+    f = frames(spark, sf_dir, "event_id")
+    point = lambda j, x, y: F.when((F.col("event_id") + j) % 11 != 0, F.struct(F.expr(f"cast(x + {x} as double)").alias("x"), F.expr(f"cast(y + {y} as double)").alias("y"), F.expr(f"(event_id * 7 + {j * 13}) % 100 / 100d").alias("likelihood")))
+    whole = F.map_from_arrays(F.array(*(F.lit(raw) for _, raw, _, _ in KEYPOINTS)), F.array(*(point(j, x, y) for j, (_, _, x, y) in enumerate(KEYPOINTS))))
+    none = F.create_map().cast("map<string,struct<x:double,y:double,likelihood:double>>")
+    return f.withColumn("kps", F.when(F.col("ok"), F.map_filter(whole, lambda k, v: v.isNotNull())).otherwise(none))
+
+
+_points = ", ".join(f"CASE WHEN ok AND (event_id + {j}) % 11 <> 0 THEN x + {x} END AS {n}_x, CASE WHEN ok AND (event_id + {j}) % 11 <> 0 THEN y + {y} END AS {n}_y, CASE WHEN ok AND (event_id + {j}) % 11 <> 0 THEN (event_id * 7 + {j * 13}) % 100 / 100e0 END AS {n}_l" for j, (n, _, x, y) in enumerate(KEYPOINTS))
+_hyp = lambda a, b: f"sqrt(({a}_x - {b}_x) ** 2 + ({a}_y - {b}_y) ** 2)"
+_norm = f"({_hyp('nose', 'neck')} * {_hyp('hips', 'neck')})"
+_axis = "sqrt((tail_base_x - nose_x) ** 2 + (tail_base_y - nose_y) ** 2)"
+#: kp: points by landmark; pm: the measures of a frame.
+SQL["kp"] = f"kp AS (SELECT session_id, frame_index, ok, {_points} FROM (SELECT f.*, event_id FROM f JOIN (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, event_id FROM events) USING (session_id, frame_index)))"
+SQL["pm"] = f"""pm AS (SELECT session_id, frame_index, round({_hyp('nose', 'tail_base')}, 2) AS body_length, round({_hyp('left_ear', 'right_ear')}, 2) AS ear_span,
+CASE WHEN abs(nose_x - tail_base_x) > 0.5 OR abs(nose_y - tail_base_y) > 0.5 THEN degrees(atan2(nose_y - tail_base_y, nose_x - tail_base_x)) END AS heading,
+coalesce(CASE WHEN abs(nose_x - neck_x) > 0.3 OR abs(nose_y - neck_y) > 0.3 THEN degrees(atan2(nose_y - neck_y, nose_x - neck_x)) END,
+CASE WHEN abs(nose_x - (left_ear_x + right_ear_x) / 2) > 0.3 OR abs(nose_y - (left_ear_y + right_ear_y) / 2) > 0.3 THEN degrees(atan2(nose_y - (left_ear_y + right_ear_y) / 2, nose_x - (left_ear_x + right_ear_x) / 2)) END) AS head_angle,
+CASE WHEN {_axis} >= 1 THEN round(abs((tail_base_x - nose_x) * (nose_y - mid_spine_y) - (nose_x - mid_spine_x) * (tail_base_y - nose_y)) / ({_axis} * {_axis}), 4) END AS curvature,
+CASE WHEN {_norm} > 1e-9 THEN degrees(acos(greatest(-1, least(1, ((nose_x - neck_x) * (hips_x - neck_x) + (nose_y - neck_y) * (hips_y - neck_y)) / {_norm})))) END AS head_body_angle,
+coalesce({' AND '.join(f'{n}_l >= 0.6' for n, *_ in KEYPOINTS)}, FALSE) AS all_seven FROM kp)"""
