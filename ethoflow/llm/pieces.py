@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import small_batches, text_slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class DoubleArray:
@@ -212,6 +212,7 @@ def encoded(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
 
     Repeated rows are encoded row by row; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary, whatever the input
     own = docs.select("doc_id", "text")
     key = str(shared.id) if hasattr(shared, "id") else repr(shared)
@@ -229,5 +230,9 @@ def decoded(rows: DataFrame, vocabulary: Pieces) -> DataFrame:
 
 def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, text, ids, n_fallback and the decoded text of every row of docs."""
-    vocabulary = load(path)
-    return decoded(encoded(docs, vocabulary), vocabulary).select("doc_id", "text", "ids", "n_fallback", F.col("decoded"))
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    own = docs.select("doc_id", "text")
+    key, kind = str(getattr(shared, "id", repr(shared))), own.select("doc_id").dtypes[0][1]
+    # one worker encodes and decodes
+    return own.mapInArrow(lambda it: _decode(_encode(it, shared, key), shared), f"doc_id {kind}, text string, ids array<int>, n_fallback long, decoded string")

@@ -63,6 +63,16 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, l
     return big.join(F.broadcast(small) if n * row_bytes <= limit else small, on, how)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2000 rows in place of Spark's default of 10,000, for operators that pass whole texts to Python.
+
+    A worker and its executor each hold a batch or two, so this is memory for every core. A session's own value stays.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) == 10_000:
+        spark.conf.set(rows, "2000")
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cuts a batch so that no piece holds more than ``most`` bytes of text (one row at least)."""
     import numpy as np

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import text_buffers, text_slices
+from .shared import small_batches, text_buffers, text_slices
 
 #: Hashed features: 2**BITS, of words and of their first so many bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7, 8, 9)
@@ -72,7 +72,7 @@ class Sentences:
         return -np.expm1(np.bincount(self.text, np.log1p(-np.minimum(scores, 1 - 1e-12)), minlength=self.n_texts))
 
 
-def _pieces(texts: list[str], most: int = 4 << 20):
+def _pieces(texts: list[str], most: int = 1 << 20):
     held: list[bytes] = []
     size = 0
     for t in texts:
@@ -195,6 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     Without usable labels of both kinds the score is constant. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     chosen, weights, bias = train(docs, labels, most_labelled) if model is None else model
     shared = spark.sparkContext.broadcast((chosen, weights, float(bias)))  # 2**BITS numbers at most, whatever the input
     kind = "doc_id long, score double" + ", sentences array<struct<start:int,stop:int,score:double>>" * locate
@@ -218,6 +219,7 @@ def _clean(batches, at: int, chosen: np.ndarray, told: np.ndarray, bias: float):
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """The rows of docs, with all their columns, that score below 0.5."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_labelled))
     at = docs.columns.index("text")
     return docs.mapInArrow(lambda it: _clean(it, at, *shared.value), docs.schema)
