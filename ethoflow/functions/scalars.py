@@ -50,9 +50,13 @@ def freezing(speed_px: Column, speed_cm: Column, px_per_cm: Column, limit_px: fl
 
 
 def freezing_override(speed_px: Column, speed_cm: Column, px_per_cm: Column, override_cm: Column) -> Column:
-    """Freezing under a session's own cm/s threshold where that is positive; px threshold follows calibration."""
-    own = F.coalesce(F.when(speed_cm.isNotNull(), speed_cm < override_cm).otherwise(F.when(px_per_cm > 0, speed_px < override_cm * px_per_cm).otherwise(speed_px < FREEZING_PX_S)), F.lit(False))
-    return F.when(override_cm > 0, own).otherwise(freezing(speed_px, speed_cm, px_per_cm))
+    """Freezing under a session's own cm/s threshold where that is positive, else the default one.
+
+    A known cm speed decides whatever the calibration; the px threshold follows it.
+    """
+    limit = F.when(override_cm > 0, override_cm).otherwise(FREEZING_CM_S)
+    px = F.when(px_per_cm > 0, limit * px_per_cm).otherwise(FREEZING_PX_S)
+    return F.coalesce(F.when(speed_cm.isNotNull(), speed_cm < limit).otherwise(speed_px < px), F.lit(False))
 
 
 def behaviour_state(tracked: Column, rearing: Column, is_freezing: Column, is_immobile: Column) -> Column:

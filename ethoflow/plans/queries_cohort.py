@@ -12,6 +12,9 @@ from .registry import query
 
 _C = A.with_("c")
 _M = f"{_C}, m AS (SELECT feature, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM c WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"
+#: Two-sided p of t and df by Simpson's rule over the angle whose tangent is t / sqrt(df).
+T_P = lambda source, keys: f"""simpson AS (SELECT i, CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 1001) r(i)),
+tp AS (SELECT {keys}, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * s * th / 3000) AS p FROM (SELECT {keys}, any_value(df) AS df, any_value(th) AS th, sum(w * pow(cos(th * i / 1000), df - 1)) AS s FROM (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM {source}) CROSS JOIN simpson GROUP BY {keys}))"""
 _P = f"{_M}, p AS (SELECT x.feature, x.grp AS a, y.grp AS b, x.n AS na, y.n AS nb, x.m AS ma, y.m AS mb, x.v AS va, y.v AS vb FROM m x JOIN m y ON x.feature = y.feature AND x.grp < y.grp)"
 
 
@@ -33,13 +36,17 @@ def anova(spark, sf):
     return _r(stats.anova(_values(spark, sf)), "f")
 
 
-@query()
+@query(f"""{_M}, g AS (SELECT feature, count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS grand, sum((n - 1) * v) AS ssw FROM m GROUP BY 1), b AS (SELECT m.feature, sum(m.n * pow(m - grand, 2)) AS ssb FROM m JOIN g ON g.feature = m.feature GROUP BY 1),
+fx AS (SELECT feature, (ssb / (k - 1)) / (ssw / (n - k)) AS f, (n - k) / 2e0 AS h FROM g JOIN b USING (feature)), x AS (SELECT *, 2 * h / (2 * h + 4 * f) AS x FROM fx),
+pv AS (SELECT feature, f, pow(x, h) * (1 + h * (1 - x)) AS p FROM x)
+SELECT feature, 'anova' AS test, round(f, 6) AS statistic, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM pv""")
 def group_tests(spark, sf):
     """STA1, STA5, SCL29: tests with p and stars."""
     return _r(stats.group_test(_values(spark, sf)), "statistic", "p", digits=6)
 
 
-@query()
+@query(f"""{_P}, ts AS (SELECT feature, a, b, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM p), {T_P('ts', 'feature, a, b')}
+SELECT feature, a, b, round(least(1, p * count(*) OVER (PARTITION BY feature)), 6) AS p_adjusted FROM tp""")
 def post_hoc(spark, sf):
     """STA5: Bonferroni-corrected Welch pairs."""
     return _r(stats.post_hoc(_values(spark, sf)).select("feature", "a", "b", "p_adjusted"), "p_adjusted", digits=6)

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import queries_cohort, queries_pose, queries_sequence, queries_track  # noqa: E402, F401
+from . import queries_cohort, queries_more, queries_pose, queries_sequence, queries_track  # noqa: E402, F401
