@@ -189,3 +189,30 @@ scored AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM b J
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import branched, placed, prefix_trie
+    from .shared import written
+
+    rows = written(placed(table(spark, sf_dir, "conversations")), "placed")
+    return prefix_trie(branched(rows), rows.select("conv_id")).drop("k1", "k2")
+
+
+# the list of crc steps holds each digit's code and seven zeros, one for each bit
+ORACLES["op13_conversation_trie"] = r"""
+WITH c AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS source, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384))) % 9 AS h FROM (SELECT DISTINCT conv_id FROM c)),
+turns AS (SELECT i.conv_id, pos, r, t FROM ids i JOIN c ON c.conv_id = source WHERE pos < h UNION ALL SELECT conv_id, pos, r, t FROM c JOIN ids USING (conv_id) WHERE pos >= h),
+built AS (SELECT conv_id, coalesce(l, []) AS l FROM ids LEFT JOIN (SELECT conv_id, list({'r': r, 't': t} ORDER BY pos) AS l FROM turns GROUP BY conv_id) USING (conv_id)),
+pre AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM built),
+node AS (SELECT l[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len(l)), '') AS done FROM pre GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+told AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+anc AS (SELECT *, unnest(range(0, d + 1)) AS a FROM told),
+roll AS (SELECT k[1:a] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[d].t) END) AS saved FROM anc GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.done) AS ends_sha256
+FROM told n JOIN roll USING (k) LEFT JOIN node p ON n.d > 0 AND p.k = n.k[1:n.d - 1]
+"""
