@@ -32,7 +32,7 @@ def _kept(side: DataFrame, size: Column, limit: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 13, limit: int = BROADCAST_BYTES, salt: int = 32) -> DataFrame:
-    """doc_id, n_words, n_hit, hits and item_ids (strings, sorted) of every row of docs(doc_id, text, ...).
+    """doc_id, n_words, n_hit, hits, item_ids (strings, sorted) and mark (xxhash64 of the text) of every row of docs(doc_id, text, ...).
 
     A window: ``length`` consecutive words of an item; an item of fewer words, but not none, is one window.
     n_hit counts document words inside any occurrence of a window; hits are the word ranges [start, stop) of
@@ -82,7 +82,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 13, limit: in
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
     covered = "aggregate(hits, struct(0 as total, 0 as end), (a, x) -> struct(a.total + greatest(0, x.stop - greatest(a.end, x.start)) as total, greatest(a.end, x.stop) as end), a -> cast(a.total as long))"
-    out = hits.select("doc_id", "n_words", F.expr(covered).alias("n_hit"), "hits", "item_ids", "copies")
+    out = hits.select("doc_id", "n_words", F.expr(covered).alias("n_hit"), "hits", "item_ids", "mark", "copies")
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 

@@ -33,6 +33,7 @@ from .shared import BROADCAST_BYTES, join_small, released, text_buffers, text_sl
 U = np.uint64
 #: Classes of one anchor that a shard takes; a stretch has 368 bytes at most, so they stay below 2 MB.
 MOST = 4096
+#: A place takes the low 28 bits beside its hash; longer texts (268 million bytes, or words) are an error.
 _AT = U((1 << 28) - 1)
 
 
@@ -68,6 +69,8 @@ def elected(grams: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: in
     m = n - wide + 1
     if m <= 0:
         return (np.zeros(0, np.int64),) * 3
+    if n > int(_AT):
+        raise ValueError(f"a text of {n} units: places take 28 bits, so a text may have {int(_AT)} bytes (words) at most")
     keys = (grams & ~_AT) | np.arange(n, dtype=U)
     blocks = -(-n // wide)
     padded = np.full(blocks * wide, np.iinfo(np.uint64).max, U)

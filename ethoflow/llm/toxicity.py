@@ -8,9 +8,11 @@ bytes of text, picked by a hash of the id); scoring reads every row once, withou
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
@@ -145,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     """The model from documents with a label and crc32(doc_id) mod 5 other than 0.
 
     They are a sample picked by hash: ``most_labelled`` labels at most, and of their documents, in the order of the hash,
-    those whose texts together take ``most_bytes`` at most. Both bound what the driver holds; texts are taken whole.
+    each whose text still fits in ``most_bytes`` with those before it; a text that doesn't fit is passed over, and the next one is
+    looked at. Both bound what the driver holds; texts are taken whole. A sample of one kind only warns: nothing can be learnt.
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -155,11 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
         own = own.withColumn("_r", F.xxhash64("doc_id")).orderBy("_r", "doc_id").limit(most_labelled).drop("_r")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
     rows = rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("r"), F.xxhash64("text").alias("mark"))
-    # most_labelled rows of numbers at most go to the window's one task
-    first = Window.orderBy("r", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.select("r", "doc_id", "mark", F.octet_length("text").alias("size")).orderBy("r", "doc_id", "mark").limit(most_labelled)
-    kept = kept.withColumn("total", F.sum("size").over(first)).where(F.col("total") <= most_bytes).select("doc_id", "mark").distinct()
+    # most_labelled rows of numbers at most come to the driver, which skips the texts that no longer fit
+    sizes = rows.select("r", "doc_id", "mark", F.octet_length("text").alias("size")).orderBy("r", "doc_id", "mark").limit(most_labelled).collect()
+    kept, total = set(), 0
+    for row in sizes:
+        if total + row["size"] <= most_bytes:
+            total += row["size"]
+            kept.add((row.doc_id, row.mark))
+    kept = docs.sparkSession.createDataFrame(sorted(kept), "doc_id long, mark long")
     table = rows.join(F.broadcast(kept), ["doc_id", "mark"]).select("text", "toxic", "doc_id").orderBy("doc_id", "text").limit(most_labelled).toPandas()
+    if table["toxic"].nunique() < 2:
+        warnings.warn("toxicity: no labelled texts of both kinds, so all documents score alike", stacklevel=2)
     return fit(table["text"].tolist(), table["toxic"].tolist())
 
 

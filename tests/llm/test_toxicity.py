@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ethoflow.llm.hashing import coefficients, mix
 from ethoflow.llm.toxicity import BEGINNINGS, BITS, SENTENCE, fit, toxicity, train
@@ -90,3 +92,25 @@ def test_training_is_bounded_in_bytes(spark):
     few, every = train(docs, seen, most_bytes=20_000), train(docs, seen)
     assert 0 < len(few[0]) < len(every[0])
     assert len(train(docs, seen, most_bytes=0)[0]) == 0
+
+
+def test_a_long_first_text_does_not_end_the_sample(spark):
+    rows, labels = corpus(300)
+    first = spark.range(1000, 3000).orderBy(F.xxhash64("id")).where(F.crc32(F.col("id").cast("string")) % 5 != 0).first().id
+    docs = spark.createDataFrame(rows + [(first, "long " * 200_000)], "doc_id long, text string")
+    seen = spark.createDataFrame(labels + [(first, 1)], "doc_id long, toxic int")
+    bound = sum(len(t) for _, t in rows)
+    assert sorted(train(docs, seen, most_bytes=bound)[0]) == sorted(train(docs.where(F.col("doc_id") < 1000), seen)[0])
+
+
+def test_one_kind_of_label_warns(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="both kinds"):
+        assert {r.predicted for r in toxicity(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")).collect()} == {0}
+
+
+def test_quality_on_the_stored_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    told = toxicity(docs, labels, locate=False).where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).join(labels, "doc_id").collect()
+    pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in told if a.toxic == 1 for b in told if b.toxic == 0]
+    assert len(pairs) > 100 and sum(pairs) / len(pairs) > 0.95
