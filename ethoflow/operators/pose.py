@@ -45,8 +45,11 @@ def likely(kps: Column, least: float = 0.6) -> Column:
     return F.map_filter(kps, lambda k, v: F.coalesce(v["likelihood"], F.lit(1.0)) >= least)
 
 
-def all_seven(kps: Column, least: float = 0.6) -> Column:
-    return F.forall(F.array(*map(F.lit, CANONICAL)), lambda n: F.coalesce(F.coalesce(F.try_element_at(kps, n)["likelihood"], F.when(F.try_element_at(kps, n).isNotNull(), 1.0)) >= least, F.lit(False)))
+def all_seven(kps, least: float = 0.6) -> Column:
+    good = F.lit(True)
+    for p in (_p(kps, c) for c in CANONICAL):
+        good = good & F.coalesce(F.coalesce(p["likelihood"], F.when(p.isNotNull(), 1.0)) >= least, F.lit(False))
+    return good
 
 
 def centroid(kps: Column) -> Column:
@@ -62,11 +65,25 @@ def heading(kps: Column) -> Column:
     return F.when((F.abs(dx) > 0.5) | (F.abs(dy) > 0.5), F.degrees(F.atan2(dy, dx)))
 
 
-def _p(kps: Column, name: str) -> Column:
-    return F.try_element_at(kps, F.lit(name))
+def landmarks(frames: DataFrame, kps: str = "kps") -> DataFrame:
+    """frames with a column for each landmark (lm_nose, ...), found by alias once a row.
 
+    The columns come from a generator, behind which no expression is copied: measures of many landmarks stay short plans.
+    """
+    seven = F.struct(*(_named(F.col(kps), ALIASES[c]).alias(f"lm_{c}") for c in CANONICAL))
+    return frames.select("*", F.inline(F.array(seven)))
+
+
+def bound() -> dict[str, Column]:
+    """The columns of ``landmarks`` by name, which all measures below take in place of a map."""
+    return {c: F.col(f"lm_{c}") for c in CANONICAL}
+
+
+def _p(kps, name: str) -> Column:
+    return kps[name] if isinstance(kps, dict) else F.try_element_at(kps, F.lit(name))
 
-def _span(kps: Column, a: str, b: str) -> Column:
+
+def _span(kps, a: str, b: str) -> Column:
     return F.hypot(_p(kps, a)["x"] - _p(kps, b)["x"], _p(kps, a)["y"] - _p(kps, b)["y"])
 
 
@@ -124,25 +141,36 @@ def normalised(kps: Column) -> Column:
     return F.when((length >= 1) & (have >= 4), values)
 
 
-def feature_rows(frames: DataFrame, fps: float) -> DataFrame:
-    """features (20 numbers) and valid by frame: normalised pose, speed and turning over their session's 95th percentile,
-    curvature, sine and cosine of the head-body angle, ear span over body length, grooming, rearing."""
-    w = Window.partitionBy(S).orderBy("frame_index")
-    kps = F.col("kps")
-    own = frames.withColumns({"_n": normalised(kps), "_c": curvature(kps), "_a": F.radians(head_body_angle(kps)), "_e": _span(kps, "left_ear", "right_ear") / _span(kps, "nose", "tail_base"), "_h": head_angle(kps)})
+FEATURES = [f"{k}_{a}" for k in ("nose", "left_ear", "right_ear", "neck", "hips", "tail_base") for a in "xy"] + ["speed", "turning", "curvature", "sin_angle", "cos_angle", "ear_span", "grooming", "rearing"]
+
+
+def feature_rows(frames: DataFrame, fps: float, kps: str = "kps") -> DataFrame:
+    """features (20 numbers, in the order of FEATURES) and valid, for frames(session_id, frame_index, kps, speed, rearing):
+    normalised pose, speed and turning over their session's 95th percentile, curvature, sine and cosine of the head-body
+    angle, ear span over body length, grooming, rearing. What can't be told is NaN; a frame without NaN is valid."""
+    w, whole = Window.partitionBy(S).orderBy("frame_index"), Window.partitionBy(S)
+    k = bound()
+    own = landmarks(frames, kps).select(S, "frame_index", "speed", "rearing", normalised(k).alias("_n"), curvature(k).alias("_c"), head_body_angle(k).alias("_d"), F.try_divide(_span(k, "left_ear", "right_ear"), _span(k, "nose", "tail_base")).alias("_e"), head_angle(k).alias("_h"))
     own = own.withColumn("_t", F.abs(wrap_degrees(F.col("_h") - F.lag("_h").over(w))) * fps)
-    scale = own.groupBy(S).agg(*(F.greatest(F.lit(1e-6), F.coalesce(F.percentile(c, 0.95), F.lit(1.0))).alias(f"_p{c}") for c in ("speed", "_t")))
-    own = own.join(scale, S)
+    # the same exchange and sort serve the lag and the percentiles
+    scale = lambda c: F.greatest(F.lit(1e-6), F.coalesce(F.percentile(c, 0.95).over(whole), F.lit(1.0)))
+    own = own.withColumns({"_ps": scale("speed"), "_pt": scale("_t")})
     nan = lambda c: F.coalesce(c, F.lit(float("nan")))
-    more = [F.col("speed") / F.col("_pspeed"), F.col("_t") / F.col("_p_t"), F.col("_c"), F.sin("_a"), F.cos("_a"), F.col("_e"), grooming(F.col("_c"), F.degrees("_a")).cast("double"), F.coalesce(F.col("rearing"), F.lit(False)).cast("double")]
+    angle = F.radians("_d")
+    more = [F.col("speed") / F.col("_ps"), F.col("_t") / F.col("_pt"), F.col("_c"), F.sin(angle), F.cos(angle), F.col("_e"), grooming(F.col("_c"), F.col("_d")).cast("double"), F.coalesce(F.col("rearing"), F.lit(False)).cast("double")]
     features = F.concat(F.coalesce(F.col("_n"), F.array_repeat(F.lit(float("nan")), 12)), F.array(*map(nan, more)))
     return own.select(S, "frame_index", features.alias("features")).withColumn("valid", ~F.exists("features", F.isnan))
 
 
+def _mean(c) -> Column:
+    """The mean of measures as decimals: sums that no order of rows changes."""
+    return F.avg(F.col(c).cast("decimal(24,12)") if isinstance(c, str) else c.cast("decimal(24,12)")).cast("double")
+
+
 def body_means(rows: DataFrame, px_per_cm: float = 0.0, keys=(S,)) -> DataFrame:
     """Mean body length (px, and cm where calibrated), ear span, curvature and head-body angle of the rows that have them."""
     cm = F.round(F.col("mean_body_length_px") / px_per_cm, 2) if px_per_cm > 0 else F.lit(None).cast("double")
-    own = rows.groupBy(*keys).agg(F.round(F.avg("body_length"), 2).alias("mean_body_length_px"), F.round(F.avg("ear_span"), 2).alias("mean_ear_span_px"), F.round(F.avg("curvature"), 4).alias("mean_curvature"), F.round(F.avg("head_body_angle"), 2).alias("mean_head_body_deg"))
+    own = rows.groupBy(*keys).agg(F.round(_mean("body_length"), 2).alias("mean_body_length_px"), F.round(_mean("ear_span"), 2).alias("mean_ear_span_px"), F.round(_mean("curvature"), 4).alias("mean_curvature"), F.round(_mean("head_body_angle"), 2).alias("mean_head_body_deg"))
     return own.withColumn("mean_body_length_cm", cm)
 
 
@@ -176,7 +204,7 @@ def quality(frames: DataFrame, least: float = 0.6) -> DataFrame:
     before = F.lag(F.struct("frame_index", "p", "_good")).over(w)
     own = own.withColumn("_b", before)
     jitter = F.when(F.col("_good") & F.col("_b._good") & (F.col("_b.frame_index") + 1 == F.col("frame_index")), F.hypot(F.col("p.x") - F.col("_b.p.x"), F.col("p.y") - F.col("_b.p.y")))
-    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), F.avg(F.when(F.col("p").isNotNull(), F.coalesce(F.col("p.likelihood"), F.lit(1.0)))).alias("likelihood"), F.median(jitter).alias("jitter"))
+    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), _mean(F.when(F.col("p").isNotNull(), F.coalesce(F.col("p.likelihood"), F.lit(1.0)))).alias("likelihood"), F.median(jitter).alias("jitter"))
 
 
 def length_quality(rows: DataFrame, value: str = "body_length") -> DataFrame:
@@ -189,7 +217,7 @@ def length_quality(rows: DataFrame, value: str = "body_length") -> DataFrame:
 
 def quality_tiers(frames: DataFrame, least: float = 0.6) -> DataFrame:
     """By session: the five measures of tracking quality (jitter in two units), their grades, and the tier."""
-    whole = frames.withColumn("_v", all_seven(F.col("kps"), least))
+    whole = landmarks(frames.select(S, "frame_index", "t_sec", "kps")).withColumn("_v", all_seven(bound(), least)).select(S, "frame_index", "t_sec", "_v")
     share = whole.groupBy(S).agg(F.avg(F.col("_v").cast("int")).alias("valid_share"))
     gap = longest_gap(whole, ~F.col("_v")).select(S, "max_gap", "gaps_5")
     by_point = quality(frames, least).groupBy(S).agg(F.min(F.coalesce("likelihood", F.lit(0.0))).alias("likelihood"), F.avg(F.coalesce("jitter", F.lit(0.0))).alias("jitter_px"))

@@ -166,9 +166,12 @@ def time_bins(spark, sf):
     return _r(session.time_bins(_steps(spark, sf), still(), freeze(), target_s=10.0).drop("label"), "distance_px", "mean_speed", "valid_fraction")
 
 
-@query(f"{A.with_('f')} SELECT session_id, round(coalesce(avg(CASE WHEN ok THEN (least(abs(x - 0), abs(x - 500), abs(y - 0), abs(y - 500)) <= 50)::INT END), 0), 4) AS thigmotaxis FROM f WHERE x IS NULL OR (x <= 500 AND y <= 500) GROUP BY session_id")
+_EDGES = ", ".join(f"sqrt((x - {px}) ** 2 + (y - {py}) ** 2)" for px, py in (("0", "least(500, greatest(0, y))"), ("500", "least(500, greatest(0, y))"), ("least(500, greatest(0, x))", "0"), ("least(500, greatest(0, x))", "500")))
+
+
+@query(f"{A.with_('f')} SELECT session_id, round(coalesce(avg(CASE WHEN ok THEN (least({_EDGES}) <= 50)::INT END), 0), 4) AS thigmotaxis FROM f GROUP BY session_id")
 def thigmotaxis(spark, sf):
-    """SCL10, AGG8: border of the [0, 500] square, for every valid frame. The SQL leaves out points outside the square."""
+    """SCL10, AGG8: border of the [0, 500] square, for every valid frame, by the distance to its nearest edge."""
     arena = F.array(*(F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in geometry.rectangle(0, 0, 500, 500)))
     return _r(zones.thigmotaxis(A.frames(spark, sf), arena), "thigmotaxis")
 
@@ -236,18 +239,18 @@ def novel_object(spark, sf):
 
 
 @query(f"""{_ZM}, ra AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_s DESC, zone_id) AS r, sum(time_s) OVER (PARTITION BY session_id) AS t FROM zm)
-SELECT session_id, {', '.join(f"round(max(CASE WHEN r = {i + 1} AND t > 0 THEN 100 * time_s / t END), 4) AS {n}" for i, n in enumerate(('target_pct', 'opposite_pct', 'left_pct', 'right_pct')))}, CAST(NULL AS DOUBLE) AS platform_latency_s FROM ra GROUP BY session_id""")
+SELECT session_id, {', '.join(f"round(max(CASE WHEN r = {i + 1} AND t > 0 THEN 100 * time_s / t END), 4) AS {n}" for i, n in enumerate(('target_pct', 'opposite_pct', 'left_pct', 'right_pct')))} FROM ra GROUP BY session_id""")
 def water_maze(spark, sf):
-    """AGG16, WIN14."""
-    return _r(paradigms.water_maze(_zone_metrics(spark, sf), [r[0] for r in A.RECTANGLES]), "target_pct", "opposite_pct", "left_pct", "right_pct")
+    """AGG16, WIN14: shares of quadrants; ``water_maze_platform`` has the latency."""
+    return _r(paradigms.water_maze(_zone_metrics(spark, sf), [r[0] for r in A.RECTANGLES]).drop("platform_latency_s"), "target_pct", "opposite_pct", "left_pct", "right_pct")
 
 
-@query(f"""{A.with_('f', 'k', 'z')}, {A.islands('z', 'zone_id')}, v AS (SELECT session_id, state AS s, lag(state, 1) OVER w AS s1, lag(state, 2) OVER w AS s2 FROM i WHERE state IN ('center', 'open_n', 'closed_e') WINDOW w AS (PARTITION BY session_id ORDER BY start_t)),
+@query(f"""{A.with_('f', 'k', 'z')}, {A.islands('z', 'zone_id')}, v AS (SELECT session_id, state AS s, lag(state, 1) OVER w AS s1, lag(state, 2) OVER w AS s2 FROM i WHERE state IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY start_t)),
 g AS (SELECT session_id, count(*) AS visits, count(DISTINCT s) AS arms, count(*) FILTER (WHERE s <> s1 AND s1 <> s2 AND s <> s2) AS alternations FROM v GROUP BY 1)
 SELECT *, round(100 * alternations / greatest(1, visits - 2), 4) AS alternation_pct FROM g WHERE visits >= 3 AND arms >= 3""")
 def y_maze(spark, sf):
-    """AGG17."""
-    return _r(paradigms.y_maze(islands.zone_events(_zoned(spark, sf)), ["center", "open_n", "closed_e"]), "alternation_pct")
+    """AGG17: every zone is an arm."""
+    return _r(paradigms.y_maze(islands.zone_events(_zoned(spark, sf)), [r[0] for r in A.RECTANGLES]), "alternation_pct")
 
 
 @query(f"""{A.with_('f', 'k')}, ep AS (SELECT 0 AS epoch_id, 'baseline' AS name, 0e0 AS a, 10e0 AS b UNION ALL SELECT 1, 'tone', 12e0, 20e0), r AS (SELECT k.*, epoch_id, name, b - a AS span FROM k JOIN ep ON t_sec BETWEEN a AND b WHERE ok),
