@@ -22,3 +22,8 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
     (rows.write.mode("overwrite").partitionBy(by) if by else rows.write.mode("overwrite")).parquet(path)
+
+
+def write_manifest(picks: DataFrame, path: str) -> None:
+    """The rows of ``sampling.diverse`` as one CSV file with header, in the order in which they were taken; few by nature."""
+    picks.orderBy("picked").drop("picked").coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
