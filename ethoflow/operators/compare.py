@@ -41,10 +41,10 @@ def compare(rows: DataFrame, a: str, b: str, few: int = 10, shuffles: int = 10_0
 
 
 def quality_by_genotype(rows: DataFrame, value: str) -> DataFrame:
-    """(genotype, value) rows: means of the first two genotypes, by name, that have two values or more, with U and z."""
+    """(genotype, value) rows: means of the first two genotypes, by name, that have two values or more, with U, z and p."""
     own = rows.where(F.col(value).isNotNull()).select(F.coalesce("genotype", F.lit("unknown")).alias("group"), F.lit(value).alias("feature"), F.col(value).cast("double").alias("value"))
     means = own.groupBy("group").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     two = means.where("n >= 2").orderBy("group").limit(2)
     u = mann_whitney(own.join(F.broadcast(two.select("group")), "group", "left_semi"))
     side = lambda n: means.select(F.col("group").alias(n), F.col("mean").alias(f"mean_{n}"))
-    return u.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "mean_a", "mean_b", "u", "z")
+    return u.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "mean_a", "mean_b", "u", "z", "p")

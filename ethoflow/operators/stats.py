@@ -5,6 +5,8 @@ Tail probabilities need a special function; they are computed over the few rows
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,22 +92,50 @@ def tukey(rows: DataFrame) -> DataFrame:
     return own.select("feature", "a", "b", q.alias("q"), q_p(q, "k", "d2").alias("p"))
 
 
-def mann_whitney(rows: DataFrame) -> DataFrame:
-    """U of a against b for every pair of groups, with the normal approximation's z (tie and continuity corrected)."""
-    own = _known(rows)
-    g = own.select("feature", "group").distinct()
-    p = g.withColumnRenamed("group", "a").join(g.withColumnRenamed("group", "b"), "feature").where("a < b")
-    both = own.join(p, "feature").where("`group` = a or `group` = b")
-    w = Window.partitionBy("feature", "a", "b")
-    rank = F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("feature", "a", "b", "value")) - 1) / 2.0
-    ties = F.count("*").over(Window.partitionBy("feature", "a", "b", "value"))
-    ranked = both.withColumns({"r": rank, "_t": ties})
-    s = ranked.groupBy("feature", "a", "b").agg(F.sum(F.when(F.col("group") == F.col("a"), F.col("r"))).alias("ra"), F.count_if(F.col("group") == F.col("a")).alias("na"), F.count_if(F.col("group") == F.col("b")).alias("nb"), F.sum(F.col("_t") * F.col("_t") - 1).alias("tie"))
-    n = F.col("na") + F.col("nb")
-    u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
-    sd = F.sqrt(F.col("na") * F.col("nb") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
-    z = F.when(sd > 0, (F.abs(u - F.col("na") * F.col("nb") / 2) - 0.5) / sd)
-    return s.select("feature", "a", "b", "na", "nb", u.alias("u"), z.alias("z"))
+@F.pandas_udf(DoubleType())
+def u_p(u: pd.Series, z: pd.Series, na: pd.Series, nb: pd.Series, tie: pd.Series) -> pd.Series:
+    def one(u, z, a, b, tie):
+        if min(a, b) <= 8 and tie == 0 and a * b <= special.MOST_EXACT:
+            return special.mann_whitney_exact(u, int(a), int(b))
+        return min(1.0, math.erfc(z / math.sqrt(2))) if z == z else float("nan")
+
+    return pd.Series([one(*x) for x in zip(u.astype(float), z.astype(float), na, nb, tie)])
+
+
+def mann_whitney(rows: DataFrame, buckets: int = 256) -> DataFrame:
+    """U of a against b for every pair of groups, the normal approximation's z (tie and continuity corrected) and p.
+
+    p is two-sided: exact where a group has eight values at most and the pair no ties, else by z; null where all values of
+    the pair are one. Values are counted by group; what lies below a value is the sum of the buckets before its own
+    and of the bucket's smaller values, so no task orders a feature's values. Groups are a handful: each is a column of counts.
+    """
+    own = _known(rows).select("feature", F.col("group").cast("string").alias("group"), F.col("value").cast("double").alias("value"))
+    levels = sorted(r.group for r in own.select("group").distinct().collect())
+    g = range(len(levels))
+    empty = "feature string, a string, b string, na long, nb long, u double, z double, p double"
+    if len(levels) < 2:
+        return rows.sparkSession.createDataFrame([], empty)
+    per = own.groupBy("feature", "value").agg(*(F.count_if(F.col("group") == x).alias(f"n{i}") for i, x in zip(g, levels)))
+    cuts = own.groupBy("feature").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    per = per.join(cuts, "feature").withColumn("k", F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col("value")))).drop("cuts")
+    before = Window.partitionBy("feature").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    inside = Window.partitionBy("feature", "k").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    totals = per.groupBy("feature", "k").agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in g))
+    totals = totals.select("feature", "k", *(F.coalesce(F.sum(f"t{i}").over(before), none).alias(f"t{i}") for i in g))
+    below = per.join(totals, ["feature", "k"]).select("feature", *(f"n{i}" for i in g), *((F.col(f"t{i}") + F.coalesce(F.sum(f"n{i}").over(inside), none)).alias(f"c{i}") for i in g))
+    n = lambda i: F.col(f"n{i}")
+    t = lambda i, j: n(i) + n(j)
+    pairs_ = [(i, j) for i in g for j in g if i < j]
+    sums = [x for i, j in pairs_ for x in (F.sum(n(i) * (2 * F.col(f"c{j}") + n(j))).alias(f"u{i}_{j}"), F.sum(t(i, j).cast("double") ** 3 - t(i, j)).alias(f"e{i}_{j}"))]
+    whole = below.groupBy("feature").agg(*(F.sum(n(i)).alias(f"n{i}") for i in g), *sums)
+    each = F.array(*(F.struct(F.lit(levels[i]).alias("a"), F.lit(levels[j]).alias("b"), n(i).alias("na"), n(j).alias("nb"), (F.col(f"u{i}_{j}") / 2).alias("u"), F.col(f"e{i}_{j}").alias("tie")) for i, j in pairs_))
+    s = whole.select("feature", F.inline(each)).where("na > 0 and nb > 0")
+    size = F.col("na") + F.col("nb")
+    sd = F.sqrt(F.col("na") * F.col("nb") / 12.0 * ((size + 1) - F.try_divide(F.col("tie"), size * (size - 1))))
+    z = F.when(sd > 0, (F.abs(F.col("u") - F.col("na") * F.col("nb") / 2) - 0.5) / sd)
+    s = s.withColumn("z", z)
+    return s.select("feature", "a", "b", "na", "nb", "u", "z", F.nanvl(u_p("u", "z", "na", "nb", "tie"), F.lit(None).cast("double")).alias("p"))
 
 
 def fdr(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -49,12 +49,52 @@ def p95(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy(S).agg(F.greatest(F.lit(1e-6), F.coalesce(F.percentile(value, 0.95), F.lit(1.0))).alias("p95"))
 
 
+def medians(rows: DataFrame, dims: list[str], most: int = 10_000) -> dict[str, float | None]:
+    """The exact median of each column over its known values, by selection.
+
+    A bracket around the middle is narrowed by approximate percentiles of what lies in it, until it has ``most`` different
+    values at most; those are counted, and the values of the middle ranks read off. Nothing is ordered but these.
+    """
+    clean = lambda d: F.when(~F.isnan(d), F.col(d).cast("double"))
+    own = rows.select(*(clean(d).alias(d) for d in dims))
+    first = own.agg(*(x for i, d in enumerate(dims) for x in (F.count(d).alias(f"n{i}"), F.min(d).alias(f"a{i}"), F.max(d).alias(f"b{i}")))).first()
+    total = {i: first[f"n{i}"] for i in range(len(dims)) if first[f"n{i}"]}
+    # values in [low, high]: the middle ranks are among them; below: how many are smaller than low
+    low, high = ({i: first[f"{x}{i}"] for i in total} for x in "ab")
+    below, within = dict.fromkeys(total, 0), dict(total)
+    open_ = {i for i in total if low[i] < high[i] and total[i] > most}
+    while open_:
+        aim = {i: (((total[i] - 1) // 2 - below[i]) / within[i], (total[i] // 2 + 1 - below[i]) / within[i]) for i in open_}
+        inside = {i: F.when(F.col(dims[i]).between(low[i], high[i]), F.col(dims[i])) for i in open_}
+        share = [F.percentile_approx(inside[i], [max(a - 2e-4, 0.0), min(b + 2e-4, 1.0)], 10_000).alias(f"p{i}") for i, (a, b) in aim.items()]
+        got = own.agg(*share).first()
+        tried = {i: got[f"p{i}"] for i in open_}
+        told = own.agg(*(x for i, (a, b) in tried.items() for x in (F.count_if(F.col(dims[i]) < a).alias(f"l{i}"), F.count_if(F.col(dims[i]).between(a, b)).alias(f"w{i}")))).first()
+        for i, (a, b) in tried.items():
+            lower, count = told[f"l{i}"], told[f"w{i}"]
+            # an approximation that misses the middle leaves the bracket as it is, which is then counted whole
+            if lower > (total[i] - 1) // 2 or lower + count <= total[i] // 2 or (a, b) == (low[i], high[i]):
+                open_.discard(i)
+                continue
+            low[i], high[i], below[i], within[i] = a, b, lower, count
+            if a == b or count <= most:
+                open_.discard(i)
+    if not total:
+        return dict.fromkeys(dims)
+    pair = F.array(*(F.struct(F.lit(i).alias("i"), F.when(F.col(dims[i]).between(low[i], high[i]), F.col(dims[i])).alias("v")) for i in total))
+    counts = own.select(F.inline(pair)).where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
+    ranks = rows.sparkSession.createDataFrame([(i, below[i], total[i]) for i in total], "i int, below long, total long")
+    placed = counts.withColumn("c", upto).join(F.broadcast(ranks), "i").withColumn("c", F.col("c") + F.col("below"))
+    at = lambda r: F.min(F.when(F.col("c") > r, F.col("v")))
+    middle = {r.i: (r.a + r.b) / 2 for r in placed.groupBy("i").agg(at(F.expr("(total - 1) div 2")).alias("a"), at(F.expr("total div 2")).alias("b")).collect()}
+    return {d: middle.get(i) for i, d in enumerate(dims)}
+
+
 def median_filled(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """Nulls and NaNs replaced by the column's exact median over all rows."""
-    clean = lambda d: F.when(~F.isnan(d), F.col(d))
-    medians = rows.agg(*(F.median(clean(d)).alias(f"_m_{d}") for d in dims))
-    own = rows.crossJoin(F.broadcast(medians))  # one row
-    return own.withColumns({d: F.coalesce(clean(d), F.col(f"_m_{d}")) for d in dims}).drop(*(f"_m_{d}" for d in dims))
+    """Nulls and NaNs replaced by the column's exact median over all rows; a column without values stays null."""
+    filled = medians(rows, dims)
+    return rows.withColumns({d: F.coalesce(F.when(~F.isnan(d), F.col(d)), F.lit(filled[d]).cast("double")) for d in dims})
 
 
 def standardized(rows: DataFrame, dims: list[str]) -> DataFrame:

@@ -82,16 +82,16 @@ s AS (SELECT animal, grp, avg(v) AS m, var_pop(v) * 4 AS ssw FROM v GROUP BY ALL
 t AS (SELECT count(*) AS n, sum(ssw) / (3 * count(*)) AS msw, 4 * sum((m - mu) ** 2) / count(*) AS msb, sum(ssw) AS ssw FROM g),
 p AS (SELECT n, CASE WHEN msb > msw THEN msw ELSE (ssw + msb * n) / (4 * n) END AS scale, CASE WHEN msb > msw THEN (msb - msw) / 4 ELSE 0 END AS group_var FROM t),
 e AS (SELECT grp, avg(m) AS mu, count(*) AS k, row_number() OVER (ORDER BY grp) AS r FROM s GROUP BY grp), b AS (SELECT mu AS mu0, k AS k0 FROM e WHERE r = 1),
-q AS (SELECT CASE WHEN r = 1 THEN 'Intercept' ELSE 'segment[' || grp || ']' END AS parameter, CASE WHEN r = 1 THEN mu ELSE mu - mu0 END AS estimate, sqrt((scale + 4 * group_var) / 4 * (1e0 / k + CASE WHEN r = 1 THEN 0 ELSE 1e0 / k0 END)) AS std_error, scale, group_var, n FROM e, b, p)
-SELECT 'phenotype' AS outcome, parameter, round(estimate, 5) + 0e0 AS estimate, round(std_error, 5) AS std_error, round(estimate / std_error, 4) + 0e0 AS z, round(group_var, 5) AS group_var, round(scale, 5) AS scale,
-round(-2e0 * n * (ln(2 * pi()) + 1) - 3e0 * n / 2 * ln(scale) - n / 2e0 * ln(scale + 4 * group_var), 3) AS log_likelihood, 4 * n AS n_obs FROM q""")
+q AS (SELECT CASE WHEN r = 1 THEN 'Intercept' ELSE 'segment[' || grp || ']' END AS parameter, CASE WHEN r = 1 THEN mu ELSE mu - mu0 END AS estimate, sqrt((scale + 4 * group_var) / 4 * (1e0 / k + CASE WHEN r = 1 THEN 0 ELSE 1e0 / k0 END)) AS std_error, scale, group_var, n FROM e, b, p), y AS (SELECT *, abs(estimate / std_error) AS z FROM q)
+SELECT 'phenotype' AS outcome, parameter, round(estimate, 5) + 0e0 AS estimate, round(std_error, 5) AS std_error, round(estimate / std_error, 4) + 0e0 AS z, round({A.normal_p('z')}, 4) AS p_value, round(group_var, 5) AS group_var, round(scale, 5) AS scale,
+round(-2e0 * n * (ln(2 * pi()) + 1) - 3e0 * n / 2 * ln(scale) - n / 2e0 * ln(scale + 4 * group_var), 3) AS log_likelihood, 4 * n AS n_obs FROM y""")
 def mixed_effects(spark, sf):
     """STA12: the scaled features of a customer are its repeated measures, the market segment is the fixed effect. All have four, so the SQL is closed."""
     own = A.cohort(spark, sf).select("animal", F.col("group").alias("segment"), "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
     m = own.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     own = own.join(F.broadcast(m), "feature").withColumn("value", (F.col("value") - F.col("m")) / F.col("s")).withColumn("outcome", F.lit("phenotype"))
-    told = mixed.mixed_effects(own, ["outcome"], "animal", "segment").drop("p_value")
-    return _r(_r(_r(told, "estimate", "std_error", "group_var", "scale"), "z", digits=4), "log_likelihood", digits=3)
+    told = mixed.mixed_effects(own, ["outcome"], "animal", "segment")
+    return _r(_r(_r(told, "estimate", "std_error", "group_var", "scale"), "z", "p_value", digits=4), "log_likelihood", digits=3)
 
 
 @query()

@@ -43,14 +43,18 @@ def _genotype():
     return F.expr(_GENOTYPE)
 
 
-@query(f"""{A.with_('f')}, v AS (SELECT session_id, {_GENOTYPE} AS grp, avg(ok::INT) AS value FROM f GROUP BY ALL), g AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1 HAVING count(*) >= 2 ORDER BY grp LIMIT 2),
+@query(f"""{A.with_('f').replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT session_id, {_GENOTYPE} AS grp, avg(ok::INT) AS value FROM f GROUP BY ALL), g AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1 HAVING count(*) >= 2 ORDER BY grp LIMIT 2),
 r AS (SELECT grp, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY value) AS t FROM v SEMI JOIN g USING (grp)),
-s AS (SELECT (SELECT min(grp) FROM g) AS a, (SELECT max(grp) FROM g) AS b, sum(r) FILTER (WHERE grp = (SELECT min(grp) FROM g)) AS ra, sum(t * t - 1) AS tie FROM r)
-SELECT a, b, x.n AS na, y.n AS nb, round(x.mean, 6) AS mean_a, round(y.mean, 6) AS mean_b, ra - x.n * (x.n + 1) / 2e0 AS u, round((abs(ra - x.n * (x.n + 1) / 2e0 - x.n * y.n / 2e0) - 0.5e0) / sqrt(x.n * y.n / 12e0 * ((x.n + y.n + 1) - tie / ((x.n + y.n) * (x.n + y.n - 1e0)))), 5) AS z FROM s JOIN g x ON x.grp = a JOIN g y ON y.grp = b""")
+s AS (SELECT (SELECT min(grp) FROM g) AS a, (SELECT max(grp) FROM g) AS b, sum(r) FILTER (WHERE grp = (SELECT min(grp) FROM g)) AS ra, sum(t * t - 1) AS tie FROM r),
+u AS (SELECT a, b, x.n AS na, y.n AS nb, round(x.mean, 6) AS mean_a, round(y.mean, 6) AS mean_b, ra - x.n * (x.n + 1) / 2e0 AS u, (abs(ra - x.n * (x.n + 1) / 2e0 - x.n * y.n / 2e0) - 0.5e0) / sqrt(x.n * y.n / 12e0 * ((x.n + y.n + 1) - tie / ((x.n + y.n) * (x.n + y.n - 1e0)))) AS z, least(x.n, y.n) <= 8 AND tie = 0 AS exact FROM s JOIN g x ON x.grp = a JOIN g y ON y.grp = b),
+dp AS (SELECT 0 AS i, 0 AS k, 0 AS v, CAST(1 AS HUGEINT) AS c, CAST(na AS INT) AS na, CAST(nb AS INT) AS nb FROM u WHERE exact
+UNION ALL SELECT i + 1, k, v, CAST(sum(c) AS HUGEINT), na, nb FROM (SELECT i, k + t AS k, v + t * (i - k) AS v, c, na, nb FROM dp, (VALUES (0), (1)) AS q(t) WHERE i < na + nb AND k + t <= na AND i + 1 - k - t <= nb) GROUP BY ALL),
+ex AS (SELECT least(1, 2e0 * sum(c) FILTER (WHERE v <= (SELECT least(u, na * nb - u) FROM u)) / sum(c)) AS p FROM dp WHERE i = na + nb)
+SELECT a, b, na, nb, mean_a, mean_b, u, round(z, 5) AS z, round(CASE WHEN exact THEN (SELECT p FROM ex) ELSE {A.normal_p('z')} END, 6) AS p FROM u""")
 def quality_by_genotype(spark, sf):
-    """AGG21: valid share of sessions between the first two genotypes."""
+    """AGG21: valid share of sessions between the first two genotypes; the SQL counts arrangements where p is exact."""
     own = A.frames(spark, sf).groupBy("session_id").agg(F.avg(F.col("ok").cast("int")).alias("valid")).withColumn("genotype", _genotype())
-    return _r(_r(compare.quality_by_genotype(own, "valid"), "mean_a", "mean_b", digits=6), "z", digits=5)
+    return _r(_r(compare.quality_by_genotype(own, "valid"), "mean_a", "mean_b", "p", digits=6), "z", digits=5)
 
 
 _ENOUGH = "ls AS (SELECT * FROM s WHERE label >= 0 QUALIFY count(*) OVER (PARTITION BY session_id) >= 4), al AS (SELECT count(DISTINCT session_id) AS sessions FROM s)"

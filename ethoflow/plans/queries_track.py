@@ -366,12 +366,13 @@ def kalman_tracks(spark, sf):
     return _r(kalman(A.frames(spark, sf)), "x", "y")
 
 
-@query()
+@query(f"""{A.with_('f')}, v AS (SELECT session_id, frame_index, list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY session_id ORDER BY frame_index) AS past FROM f)
+SELECT session_id, frame_index, round(CASE WHEN len(past) > 0 THEN list_reduce(past, lambda a, x: 0.97e0 * a + 0.03e0 * x) END + 1e-9, 4) AS ema FROM v""")
 def moving_average(spark, sf):
-    """WIN5."""
+    """WIN5. Averages of hundredths are often exact halves of the last digit told: both sides lift them over the edge."""
     from ..operators.recursive import moving_average as ema
 
-    return _r(ema(A.frames(spark, sf), "x"), "ema")
+    return _r(ema(A.frames(spark, sf), "x").withColumn("ema", F.col("ema") + 1e-9), "ema")
 
 
 @query()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.recursive import Filter, assigned
+
 
 def binned(stream: DataFrame, time: str = "ts", width: str = "5 minutes", late: str = "10 minutes", key: str = "session_id", value: str = "value") -> DataFrame:
     """Count and sum of a value by tumbling window and key; rows later than the watermark are dropped."""
@@ -45,3 +49,52 @@ def live_track(stream: DataFrame, trail: int = 121) -> DataFrame:
 
     own = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("t_sec").cast("double").alias("t_sec"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return own.groupBy("session_id").applyInPandasWithState(step, LIVE, "x double, y double, t double, distance double, n int", "append", "NoTimeout")
+
+
+FILTERED = "session_id string, frame_index long, x double, y double, quality string, ema double"
+
+
+def live_filtered(stream: DataFrame, dt: float, decay: float = 0.97) -> DataFrame:
+    """Smoothed x, y, quality and the moving average of ``value`` for each frame(session_id, frame_index, ok, x, y, value).
+
+    The rows are those of ``recursive.kalman`` with the same dt and of ``recursive.moving_average``, however the frames
+    are cut into micro-batches. State by session: the filter's seven numbers and the average. Frames of a batch are
+    taken in order; a frame that comes after a later one of its session was seen is filtered where it comes.
+    """
+
+    def step(key, batches, state):
+        held = json.loads(state.get[0]) if state.exists else {"filter": None, "ema": None}
+        own, e = Filter(dt, held["filter"] and tuple(held["filter"])), held["ema"]
+        out = []
+        for r in pd.concat(list(batches)).sort_values("frame_index").itertuples():
+            x, y, quality = own.step(bool(r.ok) and r.x == r.x and r.x is not None, r.x, r.y)
+            if r.value == r.value and r.value is not None:
+                e = float(r.value) if e is None else decay * e + (1 - decay) * float(r.value)
+            out.append((key[0], r.frame_index, x, y, quality, e))
+        state.update((json.dumps({"filter": own.state, "ema": e}),))
+        yield pd.DataFrame(out, columns=["session_id", "frame_index", "x", "y", "quality", "ema"]).astype({"x": float, "y": float, "ema": float})
+
+    own = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("frame_index").cast("long").alias("frame_index"), F.coalesce("ok", F.lit(False)).alias("ok"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "value")))
+    return own.groupBy("session_id").applyInPandasWithState(step, FILTERED, "state string", "append", "NoTimeout")
+
+
+ASSIGNED = "session_id string, frame_index long, animal_ix int, x double, y double"
+
+
+def live_assigned(stream: DataFrame, n_animals: int, reach: float = 200.0, greedy: bool = False) -> DataFrame:
+    """Each track's point by frame, as ``recursive.tracks`` gives them, from detections(session_id, frame_index, x, y).
+
+    State by session: the tracks' last positions. A frame's detections come in one micro-batch.
+    """
+
+    def step(key, batches, state):
+        last = [p and tuple(p) for p in json.loads(state.get[0])] if state.exists else [None] * n_animals
+        out = []
+        for frame, rows in pd.concat(list(batches)).sort_values(["frame_index", "x", "y"]).groupby("frame_index"):
+            points = list(zip(rows["x"].tolist(), rows["y"].tolist()))
+            out += [(key[0], int(frame), i, *(p or (None, None))) for i, p in enumerate(assigned(last, points, reach, greedy))]
+        state.update((json.dumps(last),))
+        yield pd.DataFrame(out, columns=["session_id", "frame_index", "animal_ix", "x", "y"]).astype({"x": float, "y": float})
+
+    own = stream.where("x is not null and y is not null and frame_index is not null").select(F.col("session_id").cast("string").alias("session_id"), F.col("frame_index").cast("long").alias("frame_index"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return own.groupBy("session_id").applyInPandasWithState(step, ASSIGNED, "state string", "append", "NoTimeout")
