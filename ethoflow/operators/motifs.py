@@ -1,20 +1,24 @@
-"""Motif discovery with pyspark.ml: scaling, PCA, k-means over a sweep of k, choice of k, stability, classification."""
+"""Motif discovery: scaling, PCA, k-means over a sweep of k, choice of k, stability, classification.
+
+All k-means fits of a sweep (each k, each start, each bootstrap draw) take their steps together: the centres of all fits go to
+the tasks, one scan of the windows returns the sums of every cluster of every fit, and fits that stand still leave the scan.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from .recursive import assign_optimal
 
-#: Steps of one k-means fit, and fits at a time.
-MOST_STEPS, AT_ONCE = 300, 8
+#: Steps of one k-means fit, and the share of the mean variance below which centres count as standing still.
+MOST_STEPS, STILL = 300, 1e-4
 
 
 def scaled(rows: DataFrame, column: str = "features") -> DataFrame:
@@ -34,19 +38,114 @@ def reduced(rows: DataFrame, most: int = 15, column: str = "scaled") -> DataFram
     return PCA(k=k, inputCol=column, outputCol="pca").fit(rows).transform(rows)
 
 
-def best_kmeans(rows: DataFrame, ks: list[int], starts: int = 5, seed: int = 42, column: str = "pca") -> dict:
-    """The k-means model of least cost over several seeds, by k. Fits are small jobs, so ``AT_ONCE`` of them share the cluster."""
+@dataclass
+class Fit:
+    """A k-means fit: of the windows in draw ``bag`` (-1: all)."""
+
+    k: int
+    seed: int
+    bag: int = -1
+    centres: np.ndarray | None = None
+    cost: float = np.inf
+
+
+def _points(rows: DataFrame, bags=None) -> DataFrame:
+    return rows.select(vector_to_array("pca").alias("p"), (F.lit(0) if bags is None else bags).cast("long").alias("bags"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _sums(batches, fits: list[tuple[int, np.ndarray]]):
+    """One task: n, cost and sums of each cluster of each fit."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, bags = _matrix(batch.column(0)), batch.column(1).to_numpy()
+        if held is None:
+            held = [np.zeros((len(c), x.shape[1] + 2)) for _, c in fits]
+        own = {bag: x if bag < 0 else x[(bags >> bag) & 1 == 1] for bag in {b for b, _ in fits}}
+        for (bag, centres), total in zip(fits, held):
+            some = own[bag]
+            d = np.maximum((centres**2).sum(1) - 2 * some @ centres.T + (some**2).sum(1)[:, None], 0)
+            near = d.argmin(1)
+            total[:, 0] += np.bincount(near, minlength=len(centres))
+            np.add.at(total[:, 1], near, d[np.arange(len(some)), near])
+            np.add.at(total[:, 2:], near, some)
+    for i, total in enumerate(held or []):
+        k = len(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), *(pa.array(c) for c in total.T)], names=["fit", "cluster", "n", "cost", *(f"s{j}" for j in range(total.shape[1] - 2))])
+
+
+def _scan(points: DataFrame, fits: list[Fit], d: int) -> list[np.ndarray]:
+    """For each fit a row for each cluster: n, cost and the sums of its windows."""
+    shared = points.sparkSession.sparkContext.broadcast([(f.bag, f.centres) for f in fits])
+    names = ["n", "cost", *(f"s{j}" for j in range(d))]
+    told = points.mapInArrow(lambda it: _sums(it, shared.value), "fit int, cluster int, " + ", ".join(f"{c} double" for c in names))
+    out = [np.zeros((f.k, d + 2)) for f in fits]
+    for r in told.groupBy("fit", "cluster").agg(*(F.sum(c).alias(c) for c in names)).collect():  # clusters of all fits
+        out[r.fit][r.cluster] = [r[c] for c in names]
+    shared.destroy()
+    return out
 
-    def fit(run):
-        k, i = run
-        return k, KMeans(k=k, seed=seed + i, featuresCol=column, predictionCol="label", maxIter=MOST_STEPS).fit(rows)
 
-    best = {}
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        for k, m in pool.map(inheritable_thread_target(rows.sparkSession)(fit), [(k, i) for k in ks for i in range(starts)]):
-            if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = m
-    return best
+def _spread(some: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """First centres by k-means++ (Arthur and Vassilvitskii, 2007), each the best of a few draws."""
+    draw, tries = np.random.default_rng(seed), 2 + int(np.log(k))
+    at = [int(draw.integers(len(some)))]
+    d = ((some - some[at[0]]) ** 2).sum(1)
+    while len(at) < k:
+        total = d.sum()
+        tried = np.searchsorted(np.cumsum(d), draw.random(tries) * total, side="right").clip(0, len(some) - 1) if total > 0 else draw.integers(0, len(some), tries)
+        left = [np.minimum(d, ((some - some[i]) ** 2).sum(1)) for i in tried]
+        best = int(np.argmin([x.sum() for x in left]))
+        at.append(int(tried[best]))
+        d = left[best]
+    return some[at].copy()
+
+
+def kmeans(points: DataFrame, fits: list[Fit], some: np.ndarray, bags: np.ndarray | None = None) -> list[Fit]:
+    """The fits with centres and cost, over points(p array, bags long); ``some`` is a bounded sample of p that the first centres come from.
+
+    A fit of draw j sees the windows whose bit j of bags is set. A cluster that loses all its windows keeps its centre.
+    """
+    d = some.shape[1]
+    for f in fits:
+        own = some if f.bag < 0 or bags is None else some[(bags >> f.bag) & 1 == 1]
+        f.centres = _spread(own if len(own) >= f.k else some, f.k, f.seed)
+    still = STILL * float(some.var(0).mean())
+    moving = list(fits)
+    for _ in range(MOST_STEPS):
+        if not moving:
+            break
+        left = []
+        for f, total in zip(moving, _scan(points, moving, d)):
+            f.cost = float(total[:, 1].sum())
+            now = np.where(total[:, :1] > 0, total[:, 2:] / np.maximum(total[:, :1], 1), f.centres)
+            shift = float(((now - f.centres) ** 2).sum())
+            f.centres = now
+            if shift > still:
+                left.append(f)
+        moving = left
+    for f, total in zip(fits, _scan(points, fits, d)):
+        f.cost = float(total[:, 1].sum())
+    return fits
+
+
+def _best(fits: list[Fit], of) -> dict:
+    out: dict = {}
+    for f in fits:
+        if of(f) not in out or f.cost < out[of(f)].cost:
+            out[of(f)] = f
+    return out
+
+
+def nearest(centres: np.ndarray):
+    """The number of the nearest centre to the vector pca; ties go to the first."""
+    d = [F.aggregate(F.zip_with(vector_to_array("pca"), F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) for c in centres]
+    return (F.array_position(F.array(*d), F.array_min(F.array(*d))) - 1).cast("int")
 
 
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
@@ -82,50 +181,73 @@ def _keys(rows: DataFrame) -> list[str]:
 def discover(windows: DataFrame, most_k: int = 20, starts: int = 5, sample: int = 5000, seed: int = 42, last_starts: int = 20):
     """(labelled windows, k, sweep): sweep rows are (k, cost, silhouette). Needs ten windows with vectors in ``features``.
 
-    The silhouette is taken on a bounded sample of ``sample`` windows, chosen by hash. The chosen k is fitted
+    First centres and the silhouette come from a bounded sample of ``sample`` windows, chosen by hash. The chosen k is fitted
     again with ``last_starts`` starts, and labels are of that fit.
     """
     n = windows.count()
     if n < 10:
         raise ValueError(f"ten valid windows are needed, there are {n}")
-    points = reduced(scaled(windows)).repartition(1 + n // 1000).cache()  # hundreds of passes follow: no tasks of a few rows
-    some = np.array([r.pca.toArray() for r in points.orderBy(F.xxhash64(*_keys(windows))).limit(sample).select("pca").collect()])
-    sweep = []
-    for k, m in best_kmeans(points, list(range(2, min(most_k, n // 5) + 1)), starts, seed).items():
-        near = np.stack([((some - c) ** 2).sum(1) for c in m.clusterCenters()], 1).argmin(1)
-        sweep.append((k, float(m.summary.trainingCost), silhouette(some, near)))
-    k = choose_k([s[0] for s in sweep], [s[2] for s in sweep], [s[1] for s in sweep])
-    return best_kmeans(points, [k], last_starts, seed)[k].transform(points), k, sweep
-
-
-def stability(labelled: DataFrame, k: int, times: int = 10, share: float = 0.8, starts: int = 5, seed: int = 42) -> float:
+    reduced_ = reduced(scaled(windows))
+    some = _sample(reduced_, windows, sample)
+    points = _points(reduced_).repartition(1 + n // 1000).persist()  # dozens of scans follow: no tasks of a few rows
+    try:
+        ks = range(2, min(most_k, n // 5) + 1)
+        best = _best(kmeans(points, [Fit(k, seed + i) for k in ks for i in range(starts)], some), lambda f: f.k)
+        sweep = [(k, f.cost, silhouette(some, ((some[:, None] - f.centres) ** 2).sum(2).argmin(1))) for k, f in best.items()]
+        k = choose_k([x[0] for x in sweep], [x[2] for x in sweep], [x[1] for x in sweep])
+        last = _best(kmeans(points, [Fit(k, seed + i) for i in range(last_starts)], some), lambda f: f.k)[k]
+    finally:
+        points.unpersist()
+    return reduced_.withColumn("label", nearest(last.centres)), k, sweep
+
+
+def _sample(rows: DataFrame, keyed: DataFrame, n: int) -> np.ndarray:
+    own = rows.orderBy(F.xxhash64(*_keys(keyed)), *_keys(keyed)).limit(n).select(vector_to_array("pca").alias("p")).toArrow()
+    return np.array(own.column("p").to_pylist())
+
+
+def stability(labelled: DataFrame, k: int, times: int = 10, share: float = 0.8, starts: int = 5, seed: int = 42, sample: int = 5000) -> float:
     """Mean agreement of ``label`` with k-means of a share of the windows, on the others; ``times`` draws by hash.
 
-    Needs the columns of ``discover``. A draw that leaves fewer than two windows is left out; 0 without draws.
+    Needs the columns of ``discover``; at most 62 draws. A draw that leaves fewer than two windows is left out; 0 without draws.
     """
-    rows = labelled.withColumnRenamed("label", "was").cache()
+    keys = _keys(labelled)
+    drawn = [F.pmod(F.xxhash64(*keys, F.lit(seed + i)), F.lit(1_000_000)) < int(share * 1_000_000) for i in range(times)]
+    bags = sum((F.when(c, F.lit(1 << i)).otherwise(0) for i, c in enumerate(drawn)), F.lit(0).cast("long"))
+    rows = labelled.select(*keys, "pca", F.col("label").alias("was"), bags.alias("bags"))
+    n = rows.count()
+    first = rows.orderBy(F.xxhash64(*keys), *keys).limit(sample).select(vector_to_array("pca").alias("p"), "bags").toArrow()
+    some, its = np.array(first.column("p").to_pylist()), first.column("bags").to_numpy()
+    points = _points(rows, F.col("bags")).repartition(1 + n // 1000).persist()
+    try:
+        best = _best(kmeans(points, [Fit(k, seed + i, b) for b in range(times) for i in range(starts)], some, its), lambda f: f.bag)
+    finally:
+        points.unpersist()
+    each = F.array(*(F.struct(F.lit(b).alias("draw"), nearest(f.centres).alias("label"), (F.shiftright("bags", b).bitwiseAND(F.lit(1).cast("long")) == 0).alias("held")) for b, f in best.items()))
+    counts = rows.select("was", F.inline(each)).where("held").groupBy("draw", "was", "label").count().collect()  # times * k * k at most
     got = []
-    for i in range(times):
-        drawn = F.pmod(F.xxhash64(*_keys(labelled), F.lit(seed + i)), F.lit(1_000_000)) < int(share * 1_000_000)
-        held = rows.where(~drawn)
-        if held.count() >= 2:
-            some = rows.where(drawn).select("pca").cache()
-            got.append(agreement(best_kmeans(some, [k], starts, seed)[k].transform(held), "was", "label"))
-            some.unpersist()
+    for b in best:
+        own = [(r.was, r.label, r["count"]) for r in counts if r.draw == b]
+        if sum(c for *_, c in own) >= 2:
+            got.append(_matched(own))
     return float(np.mean(got)) if got else 0.0
 
 
-def agreement(labels: DataFrame, a: str, b: str) -> float:
-    """Share of rows on which two labelings agree under the best matching of their labels."""
-    rows = labels.groupBy(a, b).count().collect()  # k * k at most
-    ka, kb = sorted({r[a] for r in rows}), sorted({r[b] for r in rows})
+def _matched(counts: list[tuple]) -> float:
+    """Of counts (a, b, n): the share in which a and b agree under the best matching of their values."""
+    ka, kb = sorted({c[0] for c in counts}), sorted({c[1] for c in counts})
     table = np.zeros((len(ka), len(kb)))
-    for r in rows:
-        table[ka.index(r[a]), kb.index(r[b])] = r["count"]
+    for a, b, n in counts:
+        table[ka.index(a), kb.index(b)] = n
     match = assign_optimal(table.max() - table)
     return float(sum(table[i, j] for i, j in enumerate(match) if 0 <= j < len(kb)) / table.sum())
 
 
+def agreement(labels: DataFrame, a: str, b: str) -> float:
+    """Share of rows on which two labelings agree under the best matching of their labels."""
+    return _matched([(r[a], r[b], r["count"]) for r in labels.groupBy(a, b).count().collect()])  # k * k at most
+
+
 def classification_metrics(rows: DataFrame, buckets: int = 256) -> DataFrame:
     """From (y, pred, score), y and pred 0 or 1: balanced accuracy, sensitivity, specificity and AUC by rank.
 
@@ -148,24 +270,3 @@ def classification_metrics(rows: DataFrame, buckets: int = 256) -> DataFrame:
     sens, spec = F.try_divide("tp", "pos"), F.try_divide("tn", "neg")
     auc = F.try_divide(F.col("rp") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg"))
     return s.select("tp", "tn", "pos", "neg", sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"), auc.alias("auc"))
-
-
-def leave_one_out(rows: DataFrame, kind: str = "lr", seed: int = 42) -> DataFrame:
-    """(animal, y, pred, score) by leave-one-out over a study's animals: logistic regression or a random forest.
-
-    Each fold scales on its own training rows. A fold per animal: for studies, not for fact tables.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    rows = rows.cache()
-    ids = [r.animal for r in rows.select("animal").distinct().orderBy("animal").collect()]
-    out = None
-    for i in ids:
-        train, test = rows.where(F.col("animal") != F.lit(i)), rows.where(F.col("animal") == F.lit(i))
-        scale = StandardScaler(inputCol="features", outputCol="_x", withMean=True, withStd=True)
-        model = LogisticRegression(featuresCol="_x", labelCol="y", regParam=1.0 / max(len(ids) - 1, 1), standardization=False, elasticNetParam=0.0) if kind == "lr" else RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=200, seed=seed)
-        got = Pipeline(stages=[scale, model]).fit(train).transform(test).select("animal", "y", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
-        out = got if out is None else out.union(got)
-    return out

@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -172,6 +173,94 @@ def permutation(rows: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     return both.groupBy("feature", "a", "b").applyInPandas(one, "feature string, a string, b string, p double")
 
 
+#: Permutations of a block, whose sums travel together.
+PERMUTATIONS = 500
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of splitmix64 (public domain constants)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _dealt(batches, tests: dict, n: int, seed: int):
+    """One task: for each test and permutation how many of its rows are dealt to the first group, and their sum."""
+    marks = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    held: dict = {}
+    for batch in batches:
+        feature, group = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        value, mark = batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+        of = {}
+        for i, f in enumerate(zip(feature, group)):
+            of.setdefault(f, []).append(i)
+        for (f, g), rows in of.items():
+            for low in range(0, len(rows), 64):
+                some = np.array(rows[low : low + 64])
+                for first in range(0, n, PERMUTATIONS):
+                    drawn = _mixed(mark[some][:, None] ^ marks[first : first + PERMUTATIONS])
+                    for test, share, middle in tests.get((f, g), ()):
+                        mine = drawn < np.uint64(min(int(share * 2**64), 2**64 - 1))
+                        counts, sums = held.setdefault(test, (np.zeros(n), np.zeros(n)))
+                        counts[first : first + PERMUTATIONS] += mine.sum(0)
+                        sums[first : first + PERMUTATIONS] += (value[some] - middle) @ mine
+    for test, (counts, sums) in held.items():
+        low = np.arange(0, n, PERMUTATIONS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), test, np.int32)), pa.array((low // PERMUTATIONS).astype(np.int32)), *(pa.array([x[a : a + PERMUTATIONS].tolist() for a in low], pa.list_(pa.float64())) for x in (counts, sums))], names=["test", "block", "counts", "sums"])
+
+
+def _extreme(batches, sizes: dict):
+    """Blocks in order, from all tasks: how many permutations were defined, and how many as extreme as what was seen."""
+    now, held = None, None
+
+    def told():
+        n, total, seen = sizes[now[0]]
+        a = held[0]
+        good = (a > 0) & (a < n)
+        gap = np.abs(held[1][good] / a[good] - (total - held[1][good]) / (n - a[good]))
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([int(good.sum())]), pa.array([int((gap >= seen - 1e-12 * max(seen, 1)).sum())])], names=["test", "n", "c"])
+
+    for batch in batches:
+        for test, block, counts, sums in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (test, block) != now:
+                if now is not None:
+                    yield told()
+                now, held = (test, block), [np.zeros(len(counts)), np.zeros(len(counts))]
+            held[0] += counts
+            held[1] += sums
+    if now is not None:
+        yield told()
+
+
+def permutation_whole(rows: DataFrame, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
+    """feature, a, b, na, nb, difference of means and its two-sided permutation p, for groups of any size.
+
+    In a permutation each row of a pair goes to the first group with probability na / (na + nb), by a hash of its ``key``
+    and the permutation's number; so sizes vary, as they don't in ``permutation``, which holds a pair in one task. Tasks return the
+    counts and sums of each permutation, and only these meet. p = (c + 1) / (m + 1) over the m permutations in which neither
+    group is empty. key tells rows of a feature apart. Groups and features are few: n numbers of each pair travel.
+    """
+    spark = rows.sparkSession
+    own = _known(rows.select("feature", F.col("group").cast("string").alias("group"), F.col("value").cast("double").alias("value"), F.col(key).alias("key"))).select("feature", "group", "value", F.xxhash64("key").alias("mark"))
+    told = {(r.feature, r["group"]): (r.n, r.m) for r in own.groupBy("feature", "group").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
+    tests, sizes, names = {}, {}, []
+    for f, a in sorted(told):
+        for g, b in sorted(told):
+            if f == g and a < b:
+                (na, ma), (nb, mb), t = told[f, a], told[g, b], len(names)
+                middle = (na * ma + nb * mb) / (na + nb)  # sums about the mean keep their digits
+                for x in (a, b):
+                    tests.setdefault((f, x), []).append((t, na / (na + nb), middle))
+                sizes[t] = (na + nb, 0.0, abs(ma - mb))
+                names.append((t, f, a, b, na, nb, ma - mb))
+    kinds = "test int, feature string, a string, b string, na long, nb long, difference double"
+    shared = spark.sparkContext.broadcast((tests, sizes))
+    blocks = own.mapInArrow(lambda it: _dealt(it, shared.value[0], n, seed), "test int, block int, counts array<double>, sums array<double>")
+    counts = blocks.repartition("test", "block").sortWithinPartitions("test", "block").mapInArrow(lambda it: _extreme(it, shared.value[1]), "test int, n long, c long")
+    p = counts.groupBy("test").agg(((F.sum("c") + 1) / (F.sum("n") + 1)).alias("p"))
+    return p.join(F.broadcast(spark.createDataFrame(names, kinds)), "test").select("feature", "a", "b", "na", "nb", "difference", "p")
+
+
 def rough_p(t: Column, na: Column, nb: Column) -> Column:
     """p of z = t (1 - 1 / (4 df)), df the smaller group less one, by a rational approximation of erf."""
     df = F.least(na, nb) - 1

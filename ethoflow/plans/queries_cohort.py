@@ -82,6 +82,13 @@ def permutation_tests(spark, sf):
     return stats.permutation(own)
 
 
+@query()
+def permutation_whole(spark, sf):
+    """STA9 over all customers: every pair of segments, every feature."""
+    told = stats.permutation_whole(A.cohort(spark, sf), "animal")
+    return _r(told.select("feature", "a", "b", "na", "nb", "difference", "p"), "difference", digits=4)
+
+
 @query()
 def manova(spark, sf):
     """STA13."""

@@ -59,3 +59,40 @@ def test_live_track_carries_state(spark, tmp_path):
     assert out.awaitTermination(120)
     got = [(r.t_sec, r.speed, r.distance, r.points) for r in spark.table("live_points").orderBy("t_sec").collect()]
     assert got == [(0.0, None, 0.0, 1), (1.0, 5.0, 5.0, 2), (2.0, 0.0, 5.0, 3), (3.0, 5.0, 10.0, 4)]
+
+
+def test_tracking_folder_of_two_layouts(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    _file(folder, "a.csv", "time,x,y,zone\n0,1,2,A\n1,3,4,\n")
+    _file(folder, "b.csv", "note,Pos Y,Pos X\nk,20,10\n,40,30\nz,,5\n")
+    _file(folder, "c.csv", "time,x,y,zone\n5,6,7,B\n")
+    _file(folder, "empty.csv", "")
+    rows = tracking.read_tracking_csv(spark, str(folder), fps=10).orderBy("session_id", "frame_index").collect()
+    assert [(r.session_id, r.frame_index, r.t_sec, r.ok, r.x, r.y, r.zone_id) for r in rows] == [
+        ("a", 0, 0.0, True, 1.0, 2.0, "A"), ("a", 1, 1.0, True, 3.0, 4.0, None),
+        ("b", 0, 0.0, True, 10.0, 20.0, None), ("b", 1, 0.1, True, 30.0, 40.0, None), ("b", 2, 0.2, False, 5.0, None, None),
+        ("c", 0, 5.0, True, 6.0, 7.0, "B"),
+    ]
+    _file(folder, "bad.csv", "a,b\n1,2\n")
+    with pytest.raises(ValueError, match="no x and y"):
+        tracking.read_tracking_csv(spark, str(folder))
+
+
+def test_pose_folder_of_two_layouts(spark, tmp_path):
+    folder = tmp_path / "poses"
+    folder.mkdir()
+    _file(folder, "one.csv", "scorer,n,n,n,n\nbodyparts,nose,nose,tail,tail\ncoords,x,y,x,y\n0,1,2,3,4\n1,5,6,,8\n")
+    _file(folder, "two.csv", "scorer,n,n,n\nindividuals,a,a,a\nbodyparts,ear,ear,ear\ncoords,likelihood,y,x\n0,0.9,2,1\n1,0.2,2,1\n")
+    got = {(r.session_id, r.individual, r.frame_index): {k: (p.x, p.y, p.likelihood) for k, p in r.kps.items()} for r in tracking.read_pose_csv(spark, str(folder)).collect()}
+    assert got == {("one", "animal", 0): {"nose": (1.0, 2.0, 1.0), "tail": (3.0, 4.0, 1.0)}, ("one", "animal", 1): {"nose": (5.0, 6.0, 1.0)}, ("two", "a", 0): {"ear": (1.0, 2.0, 0.9)}}
+
+
+def test_json_documents(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    _file(folder, "a.json", '{"id": 1,\n "name": "x"}')
+    _file(folder, "b.json", '{"id": oops')
+    rows = tracking.read_json(spark, str(folder), "id long, name string").where("id is not null").collect()
+    assert [(r.id, r.name) for r in rows] == [(1, "x")]
+    assert tracking.read_json(spark, str(folder), "id long, name string").count() == 1
