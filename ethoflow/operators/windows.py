@@ -44,9 +44,9 @@ def frame_labels(frames: DataFrame, windows: DataFrame, length: int = LENGTH, st
     return hit.groupBy(S, "frame_index").agg(F.coalesce(F.max_by(F.col("label"), F.when(F.col("label").isNotNull(), F.col("window_start"))), F.lit(-1)).alias("label"))
 
 
-def p95(rows: DataFrame, value: str) -> DataFrame:
+def p95(rows: DataFrame, value: str, keys=(S,)) -> DataFrame:
     """The interpolated 95th percentile of each session, 1e-6 at least, 1.0 without values."""
-    return rows.groupBy(S).agg(F.greatest(F.lit(1e-6), F.coalesce(F.percentile(value, 0.95), F.lit(1.0))).alias("p95"))
+    return rows.groupBy(*keys).agg(F.greatest(F.lit(1e-6), F.coalesce(F.percentile(value, 0.95), F.lit(1.0))).alias("p95"))
 
 
 def medians(rows: DataFrame, dims: list[str], most: int = 10_000) -> dict[str, float | None]:

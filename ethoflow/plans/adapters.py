@@ -17,6 +17,8 @@ IMMOBILE, FREEZING = 150.0, 60.0
 #: Zones of the adapter: (id, x0, y0, x1, y1), first match wins.
 RECTANGLES = [("center", 150, 150, 350, 350), ("open_n", 200, 0, 300, 150), ("closed_e", 350, 200, 500, 300), ("periphery", 0, 0, 500, 500)]
 ZONES = literal_zones
+#: Of an embedding.
+DIMENSIONS = 64
 EVENT_TYPES = "('click', 'error', 'purchase', 'signup', 'view')"
 
 
@@ -48,12 +50,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("session_id", "frame_index", label.cast("int").alias("label"))
 
 
-def features(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """Feature rows of embeddings: session = label, frames in vec_id order, the first n dimensions; every 13th is invalid."""
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows of embeddings: session = label, frames in vec_id order, all dimensions; every 13th is invalid."""
     w = Window.partitionBy("label").orderBy("vec_id")
     own = table(spark, sf_dir, "embeddings").withColumn("frame_index", (F.row_number().over(w) - 1).cast("long"))
     valid = F.col("vec_id") % 13 != 0
-    return own.select(F.col("label").alias("session_id"), "frame_index", valid.alias("valid"), *(F.when(valid, F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(n)))
+    return own.select(F.col("label").alias("session_id"), "frame_index", valid.alias("valid"), *(F.when(valid, F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(DIMENSIONS)))
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +78,7 @@ k AS (SELECT *, CASE WHEN ok AND pok THEN sqrt((x - px) * (x - px) + (y - py) *
 CASE WHEN ok AND pok THEN sqrt((x - px) * (x - px) + (y - py) * (y - py)) / (t_sec - pt) END AS speed_px_s FROM p)""",
     "z": f"z AS (SELECT *, {_zone_case} AS zone_id FROM k)",
     "s": """s AS (SELECT session_id, frame_index, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 WHEN 'error' THEN -1 ELSE 4 END AS label FROM f)""",
-    "e": """e AS (SELECT label AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, vec_id % 13 <> 0 AS valid,
-CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[1] AS DOUBLE) END AS d0, CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[2] AS DOUBLE) END AS d1,
-CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[3] AS DOUBLE) END AS d2, CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[4] AS DOUBLE) END AS d3 FROM embeddings)""",
+    "e": "e AS (SELECT label AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, vec_id % 13 <> 0 AS valid, " + ", ".join(f"CASE WHEN vec_id % 13 <> 0 THEN CAST(embedding[{i + 1}] AS DOUBLE) END AS d{i}" for i in range(DIMENSIONS)) + " FROM embeddings)",
     "c": """o AS (SELECT o_custkey, sum(o_totalprice) AS spent, avg(o_totalprice) AS mean_order, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY o_custkey),
 w AS (SELECT c_custkey AS animal, c_mktsegment AS grp, c_acctbal AS balance, spent, mean_order, orders FROM customer LEFT JOIN o ON c_custkey = o_custkey),
 c AS (SELECT animal, grp, 'balance' AS feature, balance AS value FROM w UNION ALL SELECT animal, grp, 'spent', spent FROM w

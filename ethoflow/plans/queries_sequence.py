@@ -10,7 +10,7 @@ from .queries_track import _r
 from .registry import query
 
 K = 5
-DIMS = ["d0", "d1", "d2", "d3"]
+DIMS = [f"d{i}" for i in range(A.DIMENSIONS)]
 _L = f"{A.with_('f', 's')}, l AS (SELECT * FROM s WHERE label >= 0), b AS (SELECT *, lead(label, 1) OVER w AS j, lead(label, 2) OVER w AS c FROM l WINDOW w AS (PARTITION BY session_id ORDER BY frame_index)), n AS (SELECT session_id, label AS i, j, count(*) AS n FROM b WHERE j IS NOT NULL GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY session_id, i) AS p FROM n)"
 
 
@@ -84,10 +84,11 @@ def frame_labels(spark, sf):
     return windows.frame_labels(f, w)
 
 
-@query(f"{A.with_('e')} SELECT session_id, round(greatest(1e-6, quantile_cont(d0, 0.95)), 6) AS p95 FROM e GROUP BY session_id")
+@query(f"{A.with_('e')}, l AS (UNPIVOT (SELECT session_id, {', '.join(DIMS)} FROM e) ON {', '.join(DIMS)} INTO NAME dim VALUE v) SELECT session_id, dim, round(greatest(1e-6, quantile_cont(v, 0.95)), 6) AS p95 FROM l GROUP BY ALL")
 def p95_scale(spark, sf):
-    """AGG23."""
-    return _r(windows.p95(A.features(spark, sf), "d0"), "p95", digits=6)
+    """AGG23: every dimension of each session."""
+    own = A.features(spark, sf).unpivot(["session_id"], DIMS, "dim", "v")
+    return _r(windows.p95(own, "v", ("session_id", "dim")), "p95", digits=6)
 
 
 @query(f"{A.with_('e')}, m AS (SELECT {', '.join(f'median({d}) AS m{d}' for d in DIMS)} FROM e) SELECT session_id, frame_index, {', '.join(f'round(coalesce({d}, m{d}), 6) AS {d}' for d in DIMS)} FROM e CROSS JOIN m")
@@ -103,7 +104,7 @@ def standard_scaling(spark, sf):
     return _r(windows.standardized(own, DIMS).select("session_id", "frame_index", *DIMS), *DIMS, digits=5)
 
 
-_CENTRES = [[0.2, 0.0, 0.0, 0.0], [-0.2, 0.1, 0.0, 0.1], [0.0, -0.2, 0.2, 0.0]]
+_CENTRES = [[(-1) ** (i + j) * (j + 1) / 100 for j in range(A.DIMENSIONS)] for i in range(2)] + [[((j * 7) % 11 - 5) / 20 for j in range(A.DIMENSIONS)]]
 _D2 = lambda c: " + ".join(f"({d} - ({v}e0)) * ({d} - ({v}e0))" for d, v in zip(DIMS, c))
 
 
@@ -113,13 +114,16 @@ def nearest_centroid(spark, sf):
     return windows.nearest_centroid(A.features(spark, sf).where("valid"), DIMS, _CENTRES).select("session_id", "frame_index", "label")
 
 
+_FILLED = lambda d: f"round(CASE WHEN g.valid THEN g.{d} WHEN b - a - 1 <= 5 THEN p.{d} + (g.frame_index - a) * (q.{d} - p.{d}) / (b - a) END, 5) AS {d}"
+
+
 @query(f"""{A.with_('e')}, g AS (SELECT *, max(CASE WHEN valid THEN frame_index END) OVER (PARTITION BY session_id ORDER BY frame_index) AS a, min(CASE WHEN valid THEN frame_index END) OVER (PARTITION BY session_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM e)
-SELECT g.session_id, g.frame_index, g.valid OR coalesce(b - a - 1 <= 5, FALSE) AS valid, round(CASE WHEN g.valid THEN g.d0 WHEN b - a - 1 <= 5 THEN p.d0 + (g.frame_index - a) * (q.d0 - p.d0) / (b - a) END, 5) AS d0
+SELECT g.session_id, g.frame_index, g.valid OR coalesce(b - a - 1 <= 5, FALSE) AS valid, {', '.join(map(_FILLED, DIMS))}
 FROM g LEFT JOIN e p ON p.session_id = g.session_id AND p.frame_index = a LEFT JOIN e q ON q.session_id = g.session_id AND q.frame_index = b""")
 def feature_imputation(spark, sf):
     """WIN8."""
-    own = windows.imputed(A.features(spark, sf), DIMS).select("session_id", "frame_index", F.coalesce("valid", F.lit(False)).alias("valid"), "d0")
-    return _r(own, "d0", digits=5)
+    own = windows.imputed(A.features(spark, sf), DIMS).select("session_id", "frame_index", F.coalesce("valid", F.lit(False)).alias("valid"), *DIMS)
+    return _r(own, *DIMS, digits=5)
 
 
 @query(f"{A.with_('e')} SELECT session_id, round(avg(valid::INT), 6) AS valid_fraction, avg(valid::INT) < 0.2 AS warning FROM e GROUP BY 1")
