@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import time_label, valid
-from .islands import runs
+from .islands import episodes, runs
+from .pose import CANONICAL, landmarks
+from .zones import thigmotaxis
 
 
 def summary(steps: DataFrame) -> DataFrame:
@@ -83,20 +85,86 @@ def rearing_by_zone(frames: DataFrame) -> DataFrame:
     return n.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("zone_id", F.greatest(F.lit(1), F.expr("cast(n div 3 as int)")).alias("n"))))).alias("rearing"))
 
 
-def frame_export(frames: DataFrame) -> DataFrame:
-    """Per-frame CSV columns with their digits; null as '', booleans as 0 and 1."""
+def rounded(frames: DataFrame) -> DataFrame:
+    """frames with the digits of the per-frame file, under their own names; booleans as 0 and 1, nested columns left out."""
     digits = {"t_sec": 4, "x": 2, "y": 2, "area_px": 2, "speed_px_s": 3, "speed_cm_s": 3, "heading_deg": 2, "heading_delta_deg": 2, "angular_velocity_deg_s": 3}
     flags = ("ok", "rearing", "grooming")
     return frames.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c).cast("int").alias(c) if c in flags else F.col(c) for c in frames.columns if frames.schema[c].dataType.simpleString().split("<")[0] not in ("array", "map", "struct")))
 
 
-def unpivoted(rows: DataFrame, key: str, units: dict[str, str]) -> DataFrame:
-    """Wide metrics as (key, metric, value, unit)."""
-    parts = ", ".join(f"'{m}', cast(`{m}` as double), '{u}'" for m, u in units.items())
-    return rows.select(key, F.expr(f"stack({len(units)}, {parts}) as (metric, value, unit)"))
+#: Columns of the per-frame file and the digits of those that are rounded: fixed names and digits.
+FRAME_COLUMNS = {"frame": None, "t_sec": 4, "x_px": 2, "y_px": 2, "x_cm": 3, "y_cm": 3, "zone_id": None, "speed_px_s": 3, "speed_cm_s": 3, "heading_deg": 2, "body_length_px": 2, "rearing": None, "grooming": None, "ear_span_px": 2, "spine_curvature": 4, "head_body_angle_deg": 2, "quality": None}
 
 
-def batch_export(metrics: DataFrame, zones: DataFrame, zone_names: list[str]) -> DataFrame:
-    """One row for each session with zone_<name>_{time_s,entries,latency_s}, in the given order of names."""
-    wide = zones.groupBy("session_id").pivot("zone_id", zone_names).agg(F.first("time_s").alias("time_s"), F.first("entries").alias("entries"), F.first("latency_s").alias("latency_s"))
-    return metrics.join(wide.select("session_id", *(F.col(f"{z}_{m}").alias(f"zone_{z}_{m}") for z in zone_names for m in ("time_s", "entries", "latency_s"))), "session_id", "left")
+def frame_export(frames: DataFrame, px_per_cm: float = 0.0, kps: str | None = None) -> DataFrame:
+    """session_id and the columns of the per-frame file; with ``kps``, a map of landmarks, x, y and likelihood of each.
+
+    A column that frames lack is null (quality is ok); rearing and grooming are 0 or 1; cm need a calibration. Centimetres and
+    landmarks are rounded like the rest. Writers leave nulls empty.
+    """
+    have = set(frames.columns)
+    of = lambda c: F.col(c) if c in have else F.lit(None)
+    cm = lambda c: F.col(c) / px_per_cm if px_per_cm > 0 else F.lit(None)
+    flag = lambda c: F.coalesce(of(c).cast("boolean"), F.lit(False)).cast("int")
+    raw = {"frame": F.col("frame_index"), "x_px": F.col("x"), "y_px": F.col("y"), "x_cm": cm("x"), "y_cm": cm("y"), "zone_id": of("zone_id").cast("string"), "rearing": flag("rearing"), "grooming": flag("grooming"), "quality": of("quality").cast("string") if "quality" in have else F.lit("ok")}
+    base = [(raw[c] if c in raw else of(c)).alias(c) if d is None else F.round((raw[c] if c in raw else of(c)).cast("double"), d).alias(c) for c, d in FRAME_COLUMNS.items()]
+    if kps is None:
+        return frames.select("session_id", *base)
+    point = lambda c, f, d: F.round(F.col(f"lm_{c}")[f], d).alias(f"{c}_{f}")
+    whole = landmarks(frames, kps)
+    likely = lambda c: F.when(F.col(f"lm_{c}").isNotNull(), F.round(F.coalesce(F.col(f"lm_{c}")["likelihood"], F.lit(1.0)), 3)).alias(f"{c}_likelihood")
+    return whole.select("session_id", *base, *(x for c in CANONICAL for x in (point(c, "x", 2), point(c, "y", 2), likely(c))))
+
+
+def metrics(steps: DataFrame, freezing, immobile, arena, px_per_cm: float = 0.0, min_s: float = 1.0, rearing_min_s: float = 0.2) -> DataFrame:
+    """The metrics of a session under the names and digits of its summary file, from ``track.kinematics`` rows.
+
+    freezing and immobile are conditions on a row; a column rearing, where there is one, gives rearing times. Mobile time is what of
+    the duration isn't immobile. Centimetres are null without calibration.
+    """
+    base = summary(steps).drop("frames")
+    num = lambda c, d: F.round(F.col(c), d)
+    cm = lambda c, d: F.round(F.col(c) / px_per_cm, d) if px_per_cm > 0 else F.lit(None).cast("double")
+    base = base.select(
+        "session_id", num("duration_s", 3).alias("duration_s"), num("valid_fraction", 4).alias("valid_fraction"), num("distance_px", 2).alias("total_distance_px"), cm("distance_px", 3).alias("total_distance_cm"),
+        num("mean_speed", 3).alias("mean_speed_px_s"), cm("mean_speed", 3).alias("mean_speed_cm_s"), num("max_speed", 3).alias("max_speed_px_s"), cm("max_speed", 3).alias("max_speed_cm_s"),
+        "path_efficiency", num("rotations_cw", 2).alias("clockwise_rotations"), num("rotations_ccw", 2).alias("anticlockwise_rotations"),
+    )
+    rears = F.col("rearing") if "rearing" in steps.columns else F.lit(False)
+    for name, condition, least in (("freezing", freezing, min_s), ("immobile", immobile, min_s), ("rearing", rears, rearing_min_s)):
+        own = episodes(steps, condition, least).select("session_id", F.round("total_s", 3).alias(f"total_time_{name}_s"), F.col("episodes").alias(f"{name}_episodes"))
+        base = base.join(own, "session_id")
+    base = base.withColumn("total_time_mobile_s", F.round(F.greatest(F.lit(0.0), F.col("duration_s") - F.col("total_time_immobile_s")), 3)).drop("immobile_episodes")
+    near = thigmotaxis(steps, arena, px_per_cm).select("session_id", F.round("thigmotaxis", 4).alias("thigmotaxis_fraction"))
+    return base.join(near, "session_id")
+
+
+#: Rows of the summary file: metric, the column of ``metrics`` and the unit; fixed names, in their order.
+SUMMARY = [
+    ("duration", "duration_s", "s"), ("tracked_fraction", "valid_fraction", ""), ("total_distance_px", "total_distance_px", "px"), ("total_distance_cm", "total_distance_cm", "cm"),
+    ("mean_speed_px_s", "mean_speed_px_s", "px/s"), ("mean_speed_cm_s", "mean_speed_cm_s", "cm/s"), ("max_speed_px_s", "max_speed_px_s", "px/s"), ("max_speed_cm_s", "max_speed_cm_s", "cm/s"),
+    ("time_mobile_s", "total_time_mobile_s", "s"), ("time_immobile_s", "total_time_immobile_s", "s"), ("time_freezing_s", "total_time_freezing_s", "s"), ("freezing_episodes", "freezing_episodes", ""), ("thigmotaxis_fraction", "thigmotaxis_fraction", ""),
+]
+
+
+def summary_export(rows: DataFrame) -> DataFrame:
+    """``metrics`` as (session_id, position, metric, value, unit), thirteen rows a session."""
+    each = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(u).alias("unit")) for i, (m, c, u) in enumerate(SUMMARY)))
+    return rows.select("session_id", F.inline(each))
+
+
+#: Fixed columns of the batch file, in their order.
+META = ["animal_id", "treatment", "trial", "session", "experiment_id", "experimenter"]
+BATCH = ["job_id", *META, "duration_s", "total_distance_cm", "total_distance_px", "mean_speed_cm_s", "mean_speed_px_s", "max_speed_cm_s", "total_time_mobile_s", "total_time_immobile_s", "total_time_freezing_s", "freezing_episodes", "thigmotaxis_fraction", "path_efficiency", "clockwise_rotations", "anticlockwise_rotations", "total_time_rearing_s", "rearing_episodes", "valid_fraction"]
+
+
+def batch_export(rows: DataFrame, meta: DataFrame, zones: DataFrame, zone_names: list[str]) -> DataFrame:
+    """One row for each session: the fixed columns, then zone_<name>_{time_s,entries,latency_s} in the given order of names.
+
+    rows: of ``metrics``; meta: session_id with any of META, others are empty; zones: of ``zones.zone_metrics``.
+    """
+    wide = zones.groupBy("session_id").pivot("zone_id", zone_names).agg(F.round(F.first("time_s"), 3).alias("time_s"), F.first("entries").alias("entries"), F.round(F.first("latency_s"), 3).alias("latency_s"))
+    wide = wide.select("session_id", *(F.col(f"`{z}_{m}`").alias(f"zone_{z}_{m}") for z in zone_names for m in ("time_s", "entries", "latency_s")))
+    own = meta.select("session_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in meta.columns else F.lit("").alias(c) for c in META))
+    whole = rows.withColumn("job_id", F.col("session_id").cast("string")).join(own, "session_id", "left").join(wide, "session_id", "left")
+    return whole.select(*(F.coalesce(c, F.lit("")).alias(c) if c in META else c for c in BATCH), *wide.columns[1:])

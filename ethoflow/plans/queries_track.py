@@ -312,29 +312,6 @@ def social_proximity(spark, sf):
     return _r(session.social(d, 150.0), "mean_distance")
 
 
-_UNITS = {"frames": "", "distance_px": "px", "mean_speed": "px/s", "max_speed": "px/s", "duration_s": "s", "valid_fraction": ""}
-
-
-@query(f"""{A.with_('f', 'k')}, a AS (SELECT session_id, CAST(count(*) AS DOUBLE) AS frames, coalesce(sum(dist_px), 0) AS distance_px, avg(speed_px_s) AS mean_speed, max(speed_px_s) AS max_speed, arg_max(t_sec, frame_index) AS duration_s, avg(ok::INT) AS valid_fraction FROM k GROUP BY 1)
-{' UNION ALL '.join(f"SELECT session_id, '{m}' AS metric, round({m}, 3) AS value, '{u}' AS unit FROM a" for m, u in _UNITS.items())}""")
-def summary_unpivot(spark, sf):
-    """SNK2."""
-    return _r(session.unpivoted(session.summary(_steps(spark, sf)), "session_id", _UNITS), "value", digits=3)
-
-
-@query(f"""{_ZM} SELECT session_id, {', '.join(f"any_value(time_s) FILTER (WHERE zone_id = '{z}') AS zone_{z}_time_s, any_value(entries) FILTER (WHERE zone_id = '{z}') AS zone_{z}_entries, any_value(latency_s) FILTER (WHERE zone_id = '{z}') AS zone_{z}_latency_s" for z in ('center', 'open_n'))} FROM zm GROUP BY session_id""")
-def batch_export(spark, sf):
-    """SNK3: pivot with a given zone order."""
-    zm = _zone_metrics(spark, sf)
-    return session.batch_export(zm.select("session_id").distinct(), zm, ["center", "open_n"])
-
-
-@query(f"{A.with_('f', 'k')} SELECT session_id, frame_index, round(t_sec, 4) AS t_sec, ok::INT AS ok, round(x, 2) AS x, round(y, 2) AS y, round(speed_px_s, 3) AS speed_px_s FROM k")
-def frame_export(spark, sf):
-    """SNK1."""
-    return session.frame_export(_steps(spark, sf).select("session_id", "frame_index", "t_sec", "ok", "x", "y", "speed_px_s"))
-
-
 @query(f"{A.with_('f', 'k', 'z')}, {A.islands('z', 'zone_id')} SELECT session_id, state AS zone_id, count(*) AS events, sum(end_t - start_t) AS seconds, round(100 * sum(end_t - start_t) / any_value(dur), 4) AS pct FROM i JOIN (SELECT session_id, max(t_sec) AS dur FROM f GROUP BY 1) USING (session_id) WHERE state IS NOT NULL AND dur > 0 GROUP BY ALL")
 def event_log(spark, sf):
     """AGG50, AGG51, SRT4, SNK8."""

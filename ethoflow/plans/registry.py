@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import queries_cohort, queries_models, queries_more, queries_pose, queries_sequence, queries_track  # noqa: E402, F401
+from . import queries_cohort, queries_exports, queries_models, queries_more, queries_pose, queries_sequence, queries_track  # noqa: E402, F401

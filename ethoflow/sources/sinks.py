@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.session import frame_export
+from ..operators.session import frame_export, rounded
 
 
 def write_frame_csv(frames: DataFrame, path: str) -> None:
-    """Per-frame CSV with rounded columns; nulls are empty, booleans 0 and 1."""
-    frame_export(frames).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """Frames as CSV under their own column names, rounded; nulls are empty, booleans 0 and 1."""
+    rounded(frames).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def write_frame_file(frames: DataFrame, path: str, px_per_cm: float = 0.0, kps: str | None = None) -> None:
+    """The per-frame CSV with its fixed columns, and landmarks where ``kps`` names their map."""
+    frame_export(frames, px_per_cm, kps).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -96,3 +96,14 @@ def test_json_documents(spark, tmp_path):
     rows = tracking.read_json(spark, str(folder), "id long, name string").where("id is not null").collect()
     assert [(r.id, r.name) for r in rows] == [(1, "x")]
     assert tracking.read_json(spark, str(folder), "id long, name string").count() == 1
+
+
+def test_frame_file(spark, tmp_path):
+    p = lambda x, y: {"x": x, "y": y, "likelihood": 0.98765}
+    df = spark.createDataFrame([("s", 0, 0.04, 10.0, 5.0, True, {"Snout": p(1.006, 2.0)}), ("s", 1, 0.08, None, None, None, {})], "session_id string, frame_index long, t_sec double, x double, y double, rearing boolean, kps map<string,struct<x:double,y:double,likelihood:double>>")
+    sinks.write_frame_file(df.coalesce(1), str(tmp_path / "file"), 4.0, "kps")
+    head, first, second = next(iter((tmp_path / "file").glob("part-*"))).read_text().splitlines()
+    assert head.split(",")[:8] == ["session_id", "frame", "t_sec", "x_px", "y_px", "x_cm", "y_cm", "zone_id"] and len(head.split(",")) == 1 + 17 + 21
+    got = dict(zip(head.split(","), first.split(",")))
+    assert (got["x_cm"], got["rearing"], got["quality"], got["nose_x"], got["nose_likelihood"], got["neck_x"]) == ("2.5", "1", "ok", "1.01", "0.988", "")
+    assert second.split(",")[3:7] == [""] * 4 and second.split(",")[12:14] == ["0", "0"]
