@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pii import let, scan
+
 #: Placeholder names by part type.
 KINDS = ("image", "audio", "document")
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
@@ -46,7 +48,10 @@ def flattened(parts: Column) -> Column:
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull() & (p["type"].isin("text", *KINDS)))
     attached = F.filter(parts, lambda p: p["type"] != "text")
-    order = F.transform(parts, lambda p, i: F.when(p["type"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), p["type"], F.lit(":"), (F.size(F.filter(F.slice(parts, 1, i + 1), lambda q: q["type"] != "text")) - 1).cast("string"), F.lit(">"))))
+    named = lambda p, n: F.concat(F.lit("<"), p["type"], F.lit(":"), (n - 1).cast("string"), F.lit(">"))
+    shown = lambda ps, so_far: F.transform(ps, lambda p, i: F.when(p["type"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(named(p, F.get(so_far, i))))
+    count = lambda ps: scan(F.transform(ps, lambda p: (p["type"] != "text").cast("int")), lambda x, y: x + y)
+    order = let(parts, lambda ps: let(count(ps), lambda so_far: shown(ps, so_far)))
     records = F.transform(attached, lambda p, i: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"), i.cast("int").alias("order")))
     return F.struct(F.array_join(order, "").alias("body"), records.alias("attachments"))
 
@@ -81,16 +86,20 @@ def parsed(text: Column) -> Column:
 
 def masked(turns: Column, role: str = "assistant") -> Column:
     """The loss mask: code point ranges [start, stop) of the formatted string, of the turns of ``role``."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-    step = lambda a, t: F.struct((a["at"] + t["n"] + F.lit(len(_CLOSE))).alias("at"), F.when(t["role"] == role, F.concat(a["spans"], F.array(F.struct((a["at"] + t["start"]).alias("start"), (a["at"] + t["stop"]).alias("stop"))))).otherwise(a["spans"]).alias("spans"))
-    return F.aggregate(turns, zero, step, lambda a: a["spans"])
+    ends = lambda ts: scan(F.transform(ts, lambda t: t["n"] + F.lit(len(_CLOSE))), lambda x, y: x + y)
+
+    def spans(ts, end):
+        at = lambda t, i: F.get(end, i) - t["n"] - F.lit(len(_CLOSE))
+        one = lambda t, i: F.when(t["role"] == role, F.struct((at(t, i) + t["start"]).alias("start"), (at(t, i) + t["stop"]).alias("stop")))
+        return F.filter(F.transform(ts, one), lambda x: x.isNotNull())
+
+    return let(turns, lambda ts: let(ends(ts), lambda end: spans(ts, end)))
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What a reader of the formatted strings finds: counts and digests by conversation."""
+    """What a reader of the formatted strings finds: counts and digests by conversation. Texts under the mask are those of the pieces read."""
     read = chats.select("conv_id", "formatted", parsed(F.col("formatted")).alias("t"))
-    read = read.select("conv_id", "formatted", "t", masked(F.col("t")).alias("spans"))
-    loss = F.array_join(F.transform("spans", lambda s: unescaped(F.substr(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
-    read = read.withColumn("loss", loss)
-    said = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    loss = F.array_join(F.transform(F.filter("t", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    read = read.select("conv_id", "formatted", F.size("t").alias("n"), F.sha2(F.array_join(F.transform("t", said), ""), 256).alias("turns_sha256"), loss.alias("loss"))
+    return read.select("conv_id", F.col("n").cast("long").alias("n_turns"), "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -144,6 +144,21 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(captures, entries)
 
 
+# crc32 by its bits, over the bytes of the host; the fixed rules of the query give the intervals outright
+ORACLES["op7_url_filters"] = r"""
+WITH p AS (SELECT row_number() OVER () AS n, page_id, url, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (page_id % 365) AS t,
+  rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host, regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS raw FROM pages),
+h AS (SELECT host AS domain, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(0, strlen(host)), lambda i: [CAST('0x' || substr(hex(host), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384))) AS c FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+r AS (SELECT 'hosts' AS list, domain, '/' AS path, 'block' AS verdict, c % 200 AS a, c % 200 + 60 AS b FROM h WHERE c % 7 < 3 UNION ALL SELECT 'paths', domain, '/en/', 'block', 100, 100000 FROM h WHERE c % 7 = 3
+  UNION ALL SELECT 'zones', 'example.net', '/', 'allow', 0, 180 UNION ALL SELECT 'zones', 'example.net', '/', 'block', 180, 100000),
+v AS (SELECT * REPLACE (TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * a AS a, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * b AS b) FROM r),
+m AS (SELECT n, list, domain, path, verdict, row_number() OVER (PARTITION BY n ORDER BY length(domain) DESC, length(path) DESC, a DESC, list DESC, verdict DESC) AS k, count(*) OVER (PARTITION BY n) AS n_active
+  FROM p JOIN v ON t >= a AND t < b AND (host = domain OR ends_with(host, '.' || domain)) AND starts_with(CASE WHEN raw = '' THEN '/' ELSE raw END, path) WHERE url IS NOT NULL)
+SELECT page_id, host, coalesce(verdict, 'pass') AS verdict, list || ' ' || domain || path AS rule, coalesce(n_active, 0) AS n_active FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
+"""
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import tokens

@@ -46,12 +46,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return own.where("e.action = 'add'").select("list", "domain", "path", F.col("e.verdict").alias("verdict"), F.col("at").alias("valid_from"), "valid_to")
 
 
-def filtered(captures: DataFrame, entries: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def filtered(captures: DataFrame, entries: DataFrame, limit: int = BROADCAST_BYTES, salt: int = 32) -> DataFrame:
     """Every capture(page_id, url, fetched_at) with verdict, the deciding rule and how many were active.
 
     The most specific active rule decides: longest domain, then longest path, then latest start, then list
     name, then verdict; no active rule means 'pass'. A rule of path p covers paths that begin with p. A null
     url or fetch time matches nothing. Repeated captures are judged row by row. Other columns are ignored.
+
+    The rules are broadcast while they take ``limit`` bytes at most. Beyond, captures of domains without a rule leave
+    first, and the others shuffle, each domain dealt over ``salt`` tasks.
     """
     rules = written(intervals(entries), "intervals")
     size = rules.agg(F.sum(F.length("list") + F.length("domain") + F.length("path") + 96)).first()[0] or 0
@@ -59,8 +62,15 @@ def filtered(captures: DataFrame, entries: DataFrame, limit: int = BROADCAST_BYT
     keys = own.where("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()
     host = host_of(F.col("url"))
     probes = keys.select("url", "fetched_at", path_of(F.col("url")).alias("p"), F.explode(domains_of(host)).alias("domain"))
-    side = F.broadcast(rules) if size <= limit else rules
-    active = probes.join(side, "domain").where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to) and startswith(p, path)")
+    if size <= limit:
+        met = probes.join(F.broadcast(rules), "domain")
+    else:
+        named = written(rules.select("domain").distinct(), "domains")
+        small = (named.agg(F.sum(F.length("domain") + 32)).first()[0] or 0) <= limit
+        some = probes.join(F.broadcast(named) if small else named, "domain", "left_semi")
+        some = some.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(salt)))
+        met = some.join(rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["domain", "salt"])
+    active = met.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to) and startswith(p, path)")
     best = F.max(F.struct(F.length("domain").alias("d"), F.length("path").alias("n"), "valid_from", "list", "verdict", "domain", "path"))
     judged = active.groupBy("url", "fetched_at").agg(F.count("*").alias("n_active"), best.alias("b"))
     out = own.join(judged, ["url", "fetched_at"], "left")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,3 +42,31 @@ def test_parts(spark):
 
 def test_sql(spark):
     compare(spark, QUERIES["op9_chat_formatting"], ORACLES["op9_chat_formatting"], "/root/testdata/sf0.01")
+
+
+def test_one_long_conversation(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<é~"), F.col("id").cast("string")).alias("text"))
+    start = time.monotonic()
+    chats = formatted(rows.withColumn("parts", text_parts(F.col("text"))))
+    got = digests(chats).first()
+    spans = chats.select(F.size(masked(parsed(F.col("formatted")))).alias("n")).first().n
+    took = time.monotonic() - start
+    said = "".join(f"{'assistant' if i % 2 else 'user'}\n<é~{i}\n" for i in range(n))
+    loss = "".join(f"<é~{i}" for i in range(1, n, 2))
+    assert (got.n_turns, got.turns_sha256) == (n, hashlib.sha256(said.encode()).hexdigest())
+    assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()) and spans == n // 2
+    assert took < 60
+
+
+def test_mask_lies_on_the_formatted_text(spark):
+    df = spark.createDataFrame([(1, t, "assistant" if t % 3 else "user", f"[{t}]~é") for t in range(700)], "conv_id long, turn long, role string, text string")
+    r = formatted(df.withColumn("parts", text_parts(F.col("text")))).withColumn("m", masked(parsed(F.col("formatted")))).first()
+    back = lambda x: x.replace("~3", "]").replace("~2", "[").replace("~1", "<").replace("~0", "~")
+    assert [back(r.formatted[m.start : m.stop]) for m in r.m] == [f"[{t}]~é" for t in range(700) if t % 3]
+
+
+def test_many_parts(spark):
+    parts = [("image" if i % 2 else "text", f"t{i}", f"r{i}", i) for i in range(900)]
+    r = formatted(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{PART}>")).first()
+    assert r.formatted == "<s>[user]" + "".join(f"<image:{i // 2}>" if i % 2 else f"t{i}" for i in range(900)) + "[/user]</s>"

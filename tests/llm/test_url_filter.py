@@ -5,8 +5,9 @@ from urllib.parse import urlsplit
 
 import pytest
 
-from ethoflow.llm.queries import QUERIES
+from ethoflow.llm.queries import ORACLES, QUERIES
 from ethoflow.llm.url_filter import filtered
+from tests.oracle import compare
 
 DAY0 = datetime(2024, 1, 1)
 
@@ -67,3 +68,8 @@ def test_query(spark):
     got = sorted(((str(x[0]), *tuple(x)[1:]) for x in QUERIES["op7_url_filters"](spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute([(p.page_id, p.url, day(p.page_id % 365)) for p in pages], entries)
     assert len({x[2] for x in got}) == 3
+
+
+def test_sql(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        compare(spark, QUERIES["op7_url_filters"], ORACLES["op7_url_filters"], f"/root/testdata/{sf}")
