@@ -148,20 +148,25 @@ def nearest(centres: np.ndarray):
     return (F.array_position(F.array(*d), F.array_min(F.array(*d))) - 1).cast("int")
 
 
-def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette of a bounded sample."""
-    d = np.sqrt(np.maximum((points**2).sum(1)[:, None] + (points**2).sum(1) - 2 * points @ points.T, 0))
-    kinds = np.unique(labels)
+def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 256) -> float:
+    """Mean Euclidean silhouette of a bounded sample, some rows of distances at a time."""
+    kinds, own = np.unique(labels, return_inverse=True)
     if len(kinds) < 2:
         return 0.0
-    sums = np.stack([d[:, labels == c].sum(1) for c in kinds], 1)
-    n = np.array([(labels == c).sum() for c in kinds])
-    own = np.searchsorted(kinds, labels)
-    a = sums[np.arange(len(d)), own] / np.maximum(n[own] - 1, 1)
-    other = sums / n
-    other[np.arange(len(d)), own] = np.inf
-    b = other.min(1)
-    return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
+    of = np.eye(len(kinds))[own]
+    n, sizes, total = of.sum(0), (points**2).sum(1), 0.0
+    for low in range(0, len(points), block):
+        some, mine = points[low : low + block], own[low : low + block]
+        at = np.arange(len(some))
+        d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + sizes - 2 * some @ points.T, 0))
+        d[at, low + at] = 0
+        sums = d @ of
+        a = sums[at, mine] / np.maximum(n[mine] - 1, 1)
+        other = sums / n
+        other[at, mine] = np.inf
+        b = other.min(1)
+        total += float(np.where(n[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum())
+    return total / len(points)
 
 
 def choose_k(ks: list[int], scores: list[float], costs: list[float], flat: float = 0.05) -> int:
