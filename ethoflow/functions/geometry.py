@@ -49,7 +49,10 @@ def regular_polygon(cx: float, cy: float, r: float, n: int = 36) -> list[dict]:
 
 
 def apparatus(kind: str, w: float, h: float) -> list[tuple[str, list[dict]]]:
-    """Zone names and polygons of a standard apparatus that fills a w x h image with a margin of a tenth."""
+    """Zone names and polygons of a standard apparatus that fills a w x h image with a margin of a tenth.
+
+    kind: open_field, circular_field, plus_maze, y_maze, light_dark, three_chamber, water_maze, novel_object or fear_conditioning.
+    """
     m = 0.1 * min(w, h)
     x0, y0, x1, y1 = m, m, w - m, h - m
     cx, cy = w / 2, h / 2
@@ -71,4 +74,20 @@ def apparatus(kind: str, w: float, h: float) -> list[tuple[str, list[dict]]]:
         return [(n, rectangle(*b)) for n, *b in quarters] + [("platform", regular_polygon(cx + r / 2, cy + r / 2, r / 8)), ("pool", pool)]
     if kind == "novel_object":
         return [("object_1", regular_polygon(x0 + (x1 - x0) / 4, cy, 2 * arm)), ("object_2", regular_polygon(x1 - (x1 - x0) / 4, cy, 2 * arm))]
+    if kind == "circular_field":
+        r = min(x1 - x0, y1 - y0) / 2
+        return [("center", regular_polygon(cx, cy, 0.35 * r)), ("periphery", regular_polygon(cx, cy, r))]
+    if kind == "y_maze":
+        return [(f"arm {name}", turned_arm(cx, cy, 120 * i - 90, 2 * arm, min(x1 - x0, y1 - y0) / 2, 2 * arm)) for i, name in enumerate("abc")]
+    if kind == "fear_conditioning":
+        quarter = (x1 - x0) / 4
+        return [(n, rectangle(x0 + i * quarter, y0, x0 + (i + 1) * quarter, y1)) for i, n in enumerate(("baseline", "cs tone 1", "iti 1", "cs tone 2"))]
     raise ValueError(f"unknown apparatus {kind!r}")
+
+
+def turned_arm(cx: float, cy: float, degrees: float, near: float, far: float, half: float) -> list[dict]:
+    """A rectangle from ``near`` to ``far`` of a centre in one direction, twice ``half`` wide."""
+    import math
+
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return [{"x": cx + a * c - b * s, "y": cy + a * s + b * c} for a, b in ((near, half), (far, half), (far, -half), (near, -half))]

@@ -270,14 +270,48 @@ def rough_p(t: Column, na: Column, nb: Column) -> Column:
     return poly * F.exp(-z * z)
 
 
+def _manova_f(roots: np.ndarray, p: int, q: int, v: float) -> list[tuple]:
+    """(statistic, value, F, df of hypothesis, df of error) from the roots of E^-1 H: the usual F approximations (Rao; Pillai).
+
+    p features, q degrees of freedom between and v within groups.
+    """
+    s, m, n = min(p, q), (abs(p - q) - 1) / 2, (v - p - 1) / 2
+    wilks = float(np.prod(1 / (1 + roots)))
+    t = math.sqrt((p * p * q * q - 4) / (p * p + q * q - 5)) if p * p + q * q > 5 else 1.0
+    error = (v - (p - q + 1) / 2) * t - (p * q - 2) / 2
+    share = wilks ** (1 / t)
+    out = [("wilks", wilks, (1 - share) / share * error / (p * q) if share > 0 else math.inf, p * q, error)]
+    pillai = float((roots / (1 + roots)).sum())
+    d1, d2 = s * (2 * m + s + 1), s * (2 * n + s + 1)
+    out.append(("pillai", pillai, d2 / d1 * pillai / (s - pillai) if pillai < s else math.inf, d1, d2))
+    trace = float(roots.sum())
+    if n > 1:
+        b = (p + 2 * n) * (q + 2 * n) / (2 * (2 * n + 1) * (n - 1))
+        d1, d2 = p * q, 4 + (p * q + 2) / (b - 1)
+        f = d2 / d1 * trace / ((d2 - 2) / (2 * n))
+    else:
+        d1, d2 = s * (2 * m + s + 1), s * (s * n + 1)
+        f = d2 / d1 / s * trace
+    out.append(("hotelling_lawley", trace, f, d1, d2))
+    most, r = float(roots.max()), max(p, q)
+    return [*out, ("roy", most, (v - r + q) / r * most, r, v - r + q)]
+
+
 def manova(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """Pillai, Wilks, Hotelling-Lawley and Roy over features of ``dims`` by group; features without spread are dropped.
+    """Pillai, Wilks, Hotelling-Lawley and Roy over features of ``dims`` by group, each with F, its degrees of freedom and p.
 
-    Sums and cross products are aggregated; only groups * dims^2 numbers come to the driver.
+    Features without spread are dropped, rows without group or with an unknown feature too; nothing is told of fewer than two
+    groups or features, or too few rows. Sums and cross products are aggregated about the means; only groups * dims^2 numbers
+    come to the driver.
     """
-    spark = rows.sparkSession
+    spark, kind = rows.sparkSession, "statistic string, value double, f double, df_hyp double, df_err double, p double"
+    own = rows.where(" and ".join(["`group` is not null", *(f"`{d}` is not null and not isnan(`{d}`)" for d in dims)])).select("group", *(F.col(d).cast("double").alias(d) for d in dims))
+    middle = own.agg(*(F.avg(d).alias(d) for d in dims)).first()
+    if any(middle[d] is None for d in dims):
+        return spark.createDataFrame([], kind)
+    own = own.withColumns({d: F.col(d) - middle[d] for d in dims})  # squares keep their digits
     cross = [(i, j) for i in range(len(dims)) for j in range(i, len(dims))]
-    got = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(d).alias(f"s{i}") for i, d in enumerate(dims)), *(F.sum(F.col(dims[i]) * F.col(dims[j])).alias(f"c{i}_{j}") for i, j in cross)).collect()
+    got = own.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(d).alias(f"s{i}") for i, d in enumerate(dims)), *(F.sum(F.col(dims[i]) * F.col(dims[j])).alias(f"c{i}_{j}") for i, j in cross)).collect()
     n = np.array([r.n for r in got], float)
     s = np.array([[r[f"s{i}"] for i in range(len(dims))] for r in got], float)
     total = np.zeros((len(dims), len(dims)))
@@ -287,10 +321,12 @@ def manova(rows: DataFrame, dims: list[str]) -> DataFrame:
             total[j, i] = total[i, j]
     mean = s.sum(0) / n.sum()
     spread = np.sqrt(np.maximum(np.diag(total) / n.sum() - mean**2, 0)) > 1e-6
+    p, q, v = int(spread.sum()), len(got) - 1, float(n.sum() - len(got))
+    if p < 2 or q < 1 or v < p + 1:
+        return spark.createDataFrame([], kind)
     between = (s.T / n) @ s - n.sum() * np.outer(mean, mean)
     within = total - (s.T / n) @ s
     h, e = between[np.ix_(spread, spread)], within[np.ix_(spread, spread)]
-    roots = np.real(np.linalg.eigvals(np.linalg.pinv(e) @ h)) if spread.any() else np.zeros(1)
-    roots = np.maximum(roots, 0)
-    out = [("pillai", float((roots / (1 + roots)).sum())), ("wilks", float(np.prod(1 / (1 + roots)))), ("hotelling_lawley", float(roots.sum())), ("roy", float(roots.max()))]
-    return spark.createDataFrame(out, "statistic string, value double")
+    roots = np.sort(np.maximum(np.real(np.linalg.eigvals(np.linalg.pinv(e) @ h)), 0))[::-1][: min(p, q)]
+    told = [(name, x, f, float(d1), float(d2), special.f_upper(f, d1, d2) if math.isfinite(f) else 0.0) for name, x, f, d1, d2 in _manova_f(roots, p, q, v)]
+    return spark.createDataFrame(told, kind)

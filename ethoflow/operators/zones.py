@@ -8,7 +8,6 @@ from pyspark.sql import Window
 
 from ..functions.geometry import border_distance, point_in_polygon
 from ..functions.scalars import valid
-from .islands import zone_events
 
 POINTS = "array<struct<x:double,y:double>>"
 ZONE = f"struct<zone_order:int,zone_id:string,zone_name:string,points:{POINTS}>"
@@ -42,18 +41,22 @@ def zone_metrics(frames: DataFrame, zones: DataFrame, fps: float) -> DataFrame:
     """For each session and zone: time (frames / fps), entries, first latency, mean speed and distance in the zone.
 
     Steps join consecutive rows inside the zone, so they bridge the gaps between visits. zones(zone_id) lists
-    what is reported, with 0 where a zone has no frame.
+    what is reported, with 0 where a zone has no frame: they gather in one row, as a session's zones are a handful. Frames are
+    read and exchanged once: visits, steps and sums share their partitioning by session.
     """
-    own = frames.where(valid(F.col("ok"), F.col("x")) & F.col("zone_id").isNotNull())
-    w = Window.partitionBy("session_id", "zone_id").orderBy("frame_index")
-    step = own.withColumn("_p", F.lag(F.struct("x", "y", "t_sec")).over(w))
+    s = Window.partitionBy("session_id").orderBy("frame_index")
+    w = Window.partitionBy("session_id", "_z").orderBy("frame_index")
+    own = frames.select("session_id", "frame_index", "t_sec", "x", "y", F.when(valid(F.col("ok"), F.col("x")), F.col("zone_id")).alias("_z"))
+    own = own.withColumn("_e", (~F.lag("_z").over(s).eqNullSafe(F.col("_z"))).cast("int")).withColumn("_p", F.lag(F.struct("x", "y", "t_sec")).over(w))
     d, dt = F.hypot(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")), F.col("t_sec") - F.col("_p.t_sec")
-    inside = step.groupBy("session_id", "zone_id").agg((F.count("*") / F.lit(float(fps))).alias("time_s"), F.min("t_sec").alias("latency_s"), F.avg(F.when(dt > 0, d / dt)).alias("mean_speed"), F.sum(d).alias("distance"))
-    entries = zone_events(frames).groupBy("session_id", "zone_id").agg(F.count("*").alias("entries"))
-    every = frames.select("session_id").distinct().crossJoin(F.broadcast(zones.select("zone_id").distinct()))  # a handful of zones
-    out = every.join(inside, ["session_id", "zone_id"], "left").join(entries, ["session_id", "zone_id"], "left")
+    inside = own.groupBy("session_id", "_z").agg((F.count("*") / F.lit(float(fps))).alias("time_s"), F.sum("_e").alias("entries"), F.min("t_sec").alias("latency_s"), F.avg(F.when(dt > 0, d / dt)).alias("mean_speed"), F.sum(d).alias("distance"))
+    values = ["time_s", "entries", "latency_s", "mean_speed", "distance"]
+    # frames outside all zones keep their session in the result
+    by = inside.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("_z").isNotNull(), F.struct("_z", F.struct(*values))))).alias("_m"))
+    listed = zones.agg(F.collect_set("zone_id").alias("_zones"))  # one row
+    out = by.crossJoin(F.broadcast(listed)).select("session_id", "_m", F.explode("_zones").alias("zone_id")).withColumn("_v", F.try_element_at("_m", "zone_id"))
     zero = F.lit(0.0)
-    return out.select("session_id", "zone_id", F.coalesce("time_s", zero).alias("time_s"), F.coalesce("entries", F.lit(0).cast("long")).alias("entries"), "latency_s", "mean_speed", F.coalesce("distance", zero).alias("distance"))
+    return out.select("session_id", "zone_id", F.coalesce("_v.time_s", zero).alias("time_s"), F.coalesce("_v.entries", F.lit(0).cast("long")).alias("entries"), "_v.latency_s", "_v.mean_speed", F.coalesce("_v.distance", zero).alias("distance"))
 
 
 def thigmotaxis(frames: DataFrame, arena, px_per_cm: float = 0.0, margin_cm: float = 5.0, margin_px: float = 50.0) -> DataFrame:

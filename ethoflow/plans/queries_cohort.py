@@ -91,9 +91,10 @@ def permutation_whole(spark, sf):
 
 @query()
 def manova(spark, sf):
-    """STA13."""
-    wide = _values(spark, sf).groupBy("animal", "group").pivot("feature", ["balance", "spent", "orders"]).agg(F.first("value")).na.drop()
-    return _r(stats.manova(wide, ["balance", "spent", "orders"]), "value", digits=6)
+    """STA13: all four features."""
+    dims = ["balance", "spent", "mean_order", "orders"]
+    wide = _values(spark, sf).groupBy("animal", "group").pivot("feature", dims).agg(F.first("value"))
+    return _r(_r(stats.manova(wide, dims), "value", "p", digits=6), "f", "df_err", digits=4)
 
 
 @query(f"""{_C}, v AS (SELECT animal, grp, feature, coalesce(value, 0) AS value FROM c), r AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM v WHERE grp = 'BUILDING' GROUP BY 1)

@@ -151,19 +151,20 @@ def tracking_gaps(spark, sf):
     return islands.longest_gap(A.frames(spark, sf), ~F.col("ok"))
 
 
+_CLOCK = lambda s: f"(CAST(floor({s} / 60) AS INT) || ':' || lpad(CAST(CAST(floor({s}) AS INT) % 60 AS VARCHAR), 2, '0'))"
 _BINS = f"""{A.with_('f', 'k')}, du AS (SELECT session_id, arg_max(t_sec, frame_index) AS dur FROM f GROUP BY 1), bb AS (SELECT k.*, dur, greatest(2, least(12, CAST(floor(dur / 10e0) AS INT))) AS bins FROM k JOIN du USING (session_id) WHERE dur > 0),
 bq AS (SELECT *, CAST(floor(t_sec / (dur / bins)) AS INT) AS bin FROM bb), br AS (SELECT *, row_number() OVER (PARTITION BY session_id, bin ORDER BY frame_index) = 1 AS fst FROM bq WHERE bin < bins),
 {A.islands('br', f'ok AND coalesce(speed_px_s < {A.FREEZING}, FALSE)', 'x', 'session_id, bin')}, {A.islands('br', f'ok AND coalesce(speed_px_s < {A.IMMOBILE}, FALSE)', 'y', 'session_id, bin')},
 xs AS (SELECT session_id, bin, coalesce(sum(end_t - start_t) FILTER (WHERE state AND end_t - start_t >= 1), 0) AS freezing_s, count(*) FILTER (WHERE state AND end_t - start_t >= 1) AS freezing_episodes FROM x GROUP BY ALL),
 ys AS (SELECT session_id, bin, coalesce(sum(end_t - start_t) FILTER (WHERE state AND end_t - start_t >= 1), 0) AS immobile_s, count(*) FILTER (WHERE state AND end_t - start_t >= 1) AS immobile_episodes FROM y GROUP BY ALL)
 SELECT session_id, bin, any_value(bins) AS bins, round(coalesce(sum(dist_px) FILTER (WHERE NOT fst), 0), 4) AS distance_px, round(avg(speed_px_s) FILTER (WHERE NOT fst), 4) AS mean_speed, round(avg(ok::INT), 4) AS valid_fraction,
-any_value(freezing_s) AS freezing_s, any_value(freezing_episodes) AS freezing_episodes, any_value(immobile_s) AS immobile_s, any_value(immobile_episodes) AS immobile_episodes FROM br JOIN xs USING (session_id, bin) JOIN ys USING (session_id, bin) GROUP BY session_id, bin"""
+any_value(freezing_s) AS freezing_s, any_value(freezing_episodes) AS freezing_episodes, any_value(immobile_s) AS immobile_s, any_value(immobile_episodes) AS immobile_episodes, {_CLOCK('bin * any_value(dur / bins)')} || ' – ' || {_CLOCK('(bin + 1) * any_value(dur / bins)')} AS label FROM br JOIN xs USING (session_id, bin) JOIN ys USING (session_id, bin) GROUP BY session_id, bin"""
 
 
 @query(_BINS)
 def time_bins(spark, sf):
     """AGG9, with bins of about 10 s."""
-    return _r(session.time_bins(_steps(spark, sf), still(), freeze(), target_s=10.0).drop("label"), "distance_px", "mean_speed", "valid_fraction")
+    return _r(session.time_bins(_steps(spark, sf), still(), freeze(), target_s=10.0), "distance_px", "mean_speed", "valid_fraction")
 
 
 _EDGES = ", ".join(f"sqrt((x - {px}) ** 2 + (y - {py}) ** 2)" for px, py in (("0", "least(500, greatest(0, y))"), ("500", "least(500, greatest(0, y))"), ("least(500, greatest(0, x))", "0"), ("least(500, greatest(0, x))", "500")))
