@@ -18,6 +18,10 @@ tp AS (SELECT {keys}, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df /
 _P = f"{_M}, p AS (SELECT x.feature, x.grp AS a, y.grp AS b, x.n AS na, y.n AS nb, x.m AS ma, y.m AS mb, x.v AS va, y.v AS vb FROM m x JOIN m y ON x.feature = y.feature AND x.grp < y.grp)"
 
 
+#: The features of a customer.
+_FEATURES = ["balance", "spent", "mean_order", "orders"]
+
+
 def _values(spark, sf):
     return A.cohort(spark, sf)
 
@@ -92,9 +96,8 @@ def permutation_whole(spark, sf):
 @query()
 def manova(spark, sf):
     """STA13: all four features."""
-    dims = ["balance", "spent", "mean_order", "orders"]
-    wide = _values(spark, sf).groupBy("animal", "group").pivot("feature", dims).agg(F.first("value"))
-    return _r(_r(stats.manova(wide, dims), "value", "p", digits=6), "f", "df_err", digits=4)
+    wide = _values(spark, sf).groupBy("animal", "group").pivot("feature", _FEATURES).agg(F.first("value"))
+    return _r(_r(stats.manova(wide, _FEATURES), "value", "p", digits=6), "f", "df_err", digits=4)
 
 
 @query(f"""{_C}, v AS (SELECT animal, grp, feature, coalesce(value, 0) AS value FROM c), r AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM v WHERE grp = 'BUILDING' GROUP BY 1)
@@ -106,11 +109,11 @@ def phenotype_z(spark, sf):
 
 
 @query(f"""{_C}, v AS (SELECT animal, grp, feature, coalesce(value, 0) AS value FROM c), r AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM v WHERE grp = 'BUILDING' GROUP BY 1), z AS (SELECT animal, grp, feature, value, (value - m) / s AS z FROM v JOIN r USING (feature))
-SELECT animal, grp AS genotype, {', '.join(f"round(any_value(value) FILTER (WHERE feature = '{x}'), 4) AS {x}, round(any_value(z) FILTER (WHERE feature = '{x}'), 5) AS z_{x}" for x in ('balance', 'orders'))} FROM z GROUP BY ALL""")
+SELECT animal, grp AS genotype, {', '.join(f"round(any_value(value) FILTER (WHERE feature = '{x}'), 4) AS {x}, round(any_value(z) FILTER (WHERE feature = '{x}'), 5) AS z_{x}" for x in _FEATURES)} FROM z GROUP BY ALL""")
 def phenotype_export(spark, sf):
     """SNK4, ML11."""
     own = phenotype.z_scores(_values(spark, sf).withColumnRenamed("group", "genotype"), "BUILDING")
-    return _r(_r(phenotype.export(own, ["balance", "orders"]), "balance", "orders"), "z_balance", "z_orders", digits=5)
+    return _r(_r(phenotype.export(own, _FEATURES), *_FEATURES), *(f"z_{x}" for x in _FEATURES), digits=5)
 
 
 @query(f"{_C} SELECT grp AS \"group\", feature, count(value) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value) / sqrt(count(value)), 0), 4) AS sem FROM c GROUP BY ALL")
@@ -119,10 +122,10 @@ def group_bars(spark, sf):
     return _r(phenotype.group_summary(_values(spark, sf), ["group", "feature"], sample=True), "mean", "sem")
 
 
-@query(f"{_C}, g AS (SELECT grp AS genotype, feature, count(value) AS n, avg(value) AS mean, coalesce(stddev_pop(value) / sqrt(count(value)), 0) AS sem FROM c WHERE feature IN ('balance', 'orders') GROUP BY ALL) SELECT genotype, feature, n, round(mean, 4) AS mean, round(sem, 4) AS sem, round(abs(mean) / greatest(0.01, max(abs(mean)) OVER (PARTITION BY feature)), 5) AS scaled FROM g")
+@query(f"{_C}, g AS (SELECT grp AS genotype, feature, count(value) AS n, avg(value) AS mean, coalesce(stddev_pop(value) / sqrt(count(value)), 0) AS sem FROM c GROUP BY ALL) SELECT genotype, feature, n, round(mean, 4) AS mean, round(sem, 4) AS sem, round(abs(mean) / greatest(0.01, max(abs(mean)) OVER (PARTITION BY feature)), 5) AS scaled FROM g")
 def radar(spark, sf):
     """AGG36, SCL39."""
-    own = phenotype.radar(_values(spark, sf).withColumnRenamed("group", "genotype"), ["balance", "orders"])
+    own = phenotype.radar(_values(spark, sf).withColumnRenamed("group", "genotype"), _FEATURES)
     return _r(_r(own, "mean", "sem"), "scaled", digits=5)
 
 
@@ -133,12 +136,12 @@ def learning_curve(spark, sf):
     return _r(phenotype.learning_curve(l, ["A", "N", "R"]), "A", "N", "R")
 
 
-@query("SELECT o_custkey AS animal, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderpriority LIKE '1%') AS s1, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderpriority LIKE '2%') AS s2 FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS animal, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderpriority LIKE '{k}%') AS s{k}" for k in range(1, 6)) + " FROM orders GROUP BY 1")
 def longitudinal(spark, sf):
     """AGG40: animal by session, the last row wins."""
     o = A.table(spark, sf, "orders")
     last = lambda k: F.max_by(F.when(F.col("o_orderpriority").startswith(k), F.col("o_totalprice")), F.when(F.col("o_orderpriority").startswith(k), F.col("o_orderkey")))
-    return o.groupBy(F.col("o_custkey").alias("animal")).agg(last("1").alias("s1"), last("2").alias("s2"))
+    return o.groupBy(F.col("o_custkey").alias("animal")).agg(*(last(str(k)).alias(f"s{k}") for k in range(1, 6)))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30")
@@ -147,10 +150,12 @@ def latest_jobs(spark, sf):
     return A.table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(30)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001') OR contains(lower(c_mktsegment), '00001')")
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001') OR contains(lower(c_mktsegment), '00001') OR contains(CAST(c_custkey AS VARCHAR), '00001') OR contains(CAST(c_nationkey AS VARCHAR), '00001')")
 def job_search(spark, sf):
-    """SCL34."""
-    return A.table(spark, sf, "customer").where(scalars.any_contains("00001", "c_name", "c_mktsegment")).select("c_custkey", "c_name")
+    """SCL34, over four columns."""
+    c = A.table(spark, sf, "customer")
+    own = c.withColumns({"_key": F.col("c_custkey").cast("string"), "_nation": F.col("c_nationkey").cast("string")})
+    return own.where(scalars.any_contains("00001", "c_name", "c_mktsegment", "_key", "_nation")).select("c_custkey", "c_name")
 
 
 @query("SELECT c.c_custkey AS animal, n AS report, n IS NOT NULL AS qc_available FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import pose, session, track, zones
+from ..operators import phenotype, pose, sequence, session, track, zones
 from . import adapters as A
 from .queries_pose import _REARING, _measures
+from .queries_sequence import K
 from .queries_track import _EDGES, _TURN, _ZM, _zone_metrics, freeze, still
-from .registry import query
+from .registry import ORACLES, query
 
 PPC = 5.0
 _ZONES = [r[0] for r in A.RECTANGLES]
@@ -72,3 +73,13 @@ def batch_export(spark, sf):
     rows = _metrics(spark, sf)
     meta = rows.select("session_id", F.concat(F.lit("animal "), s.cast("string")).alias("animal_id"), F.when(s % 2 == 0, "vehicle").otherwise("drug").alias("treatment"), (s % 3).alias("trial"))
     return session.batch_export(rows, meta, _zone_metrics(spark, sf), _ZONES)
+
+
+@query(f"""SELECT session_id, 'motif_' || label AS feature, usage AS value FROM ({ORACLES['motif_usage']}) UNION ALL SELECT session_id, 'self_rate', self_rate FROM ({ORACLES['self_transition_rate']})
+UNION ALL SELECT session_id, metric, coalesce(value, 0) FROM ({ORACLES['summary_unpivot']})""")
+def phenotype_vectors(spark, sf):
+    """AGG34: usage of motifs, the profile of the sequence and all metrics, as one vector a session."""
+    labels = A.labels(spark, sf)
+    wide = _metrics(spark, sf).select("session_id", *(F.col(c).alias(m) for m, c, _ in session.SUMMARY))
+    own = phenotype.vectors(sequence.usage(labels, K), sequence.self_rate(labels, K), wide)
+    return own.withColumn("value", F.round("value", 6))

@@ -20,7 +20,7 @@ def transitions(spark, sf):
     return _r(sequence.transitions(A.labels(spark, sf)), "p", digits=6)
 
 
-@query(f"{_L}, u AS (SELECT session_id, label, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT session_id, k AS label, coalesce(n, 0) AS n FROM (SELECT DISTINCT session_id FROM u) CROSS JOIN (SELECT unnest(range({K}))::INT AS k) LEFT JOIN u ON u.session_id = u.session_id AND FALSE) SELECT 1".replace("LEFT JOIN u ON u.session_id = u.session_id AND FALSE) SELECT 1", "LEFT JOIN u USING (session_id, label)) SELECT session_id, label, n, round(n / sum(n) OVER (PARTITION BY session_id), 6) AS usage FROM g").replace("k AS label, coalesce", "label, coalesce").replace("::INT AS k)", "::INT AS label)"))
+@query(f"{_L}, u AS (SELECT session_id, label, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT session_id, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT session_id FROM u) CROSS JOIN (SELECT unnest(range({K}))::INT AS label) LEFT JOIN u USING (session_id, label)) SELECT session_id, label, n, round(n / sum(n) OVER (PARTITION BY session_id), 6) AS usage FROM g")
 def motif_usage(spark, sf):
     """AGG30."""
     return _r(sequence.usage(A.labels(spark, sf), K), "usage", digits=6)
@@ -46,7 +46,7 @@ def top_trigrams(spark, sf):
 
 @query(f"""{_L}, l1 AS (SELECT session_id, sum(n * ln(p)) AS ll1 FROM t GROUP BY 1), g AS (SELECT session_id, label AS a, j AS b, c, count(*) AS n FROM b WHERE c IS NOT NULL GROUP BY ALL), g2 AS (SELECT *, n / sum(n) OVER (PARTITION BY session_id, a, b) AS p FROM g),
 l2 AS (SELECT session_id, sum(n * ln(p)) AS ll2 FROM g2 GROUP BY 1), c0 AS (SELECT session_id, count(*) AS labels FROM l GROUP BY 1)
-SELECT session_id, labels, round(ll1, 4) AS ll1, round(ll2, 4) AS ll2, CASE WHEN labels >= 30 AND 2 * (ll2 - ll1) / 2e0 > 3.84 THEN 2 ELSE 1 END AS markov_order FROM c0 LEFT JOIN l1 USING (session_id) LEFT JOIN l2 USING (session_id)""".replace("/ 2e0 >", f"/ {K * K * (K - 1)}e0 >"))
+SELECT session_id, labels, round(ll1, 4) AS ll1, round(ll2, 4) AS ll2, CASE WHEN labels >= 30 AND 2 * (ll2 - ll1) / {K * K * (K - 1)}e0 > 3.84 THEN 2 ELSE 1 END AS markov_order FROM c0 LEFT JOIN l1 USING (session_id) LEFT JOIN l2 USING (session_id)""")
 def markov_order(spark, sf):
     """AGG32, from 30 labels on."""
     return _r(sequence.markov_order(A.labels(spark, sf), K, least=30), "ll1", "ll2")
