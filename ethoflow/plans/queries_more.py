@@ -101,6 +101,16 @@ def density_grid(spark, sf):
     return _r(averages.density(p), "density", digits=5)
 
 
+@query("""WITH p AS (SELECT label AS genotype, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), b AS (SELECT min(x) AS ax, max(x) - min(x) AS wx, min(y) AS ay, max(y) - min(y) AS wy FROM p),
+c AS (SELECT genotype, CAST(floor((x - ax) / wx * 39) AS INT) AS cx, CAST(floor((y - ay) / wy * 39) AS INT) AS cy, wx, wy, count(*) AS n FROM p, b GROUP BY ALL),
+g AS (SELECT genotype, cx + i AS ix, cy + j AS iy, sum(n * exp(-0.5e0 * ((i * wx / 40) ** 2 + (j * wy / 40) ** 2) / (0.04e0 * greatest(wx, wy)) ** 2)) AS d FROM c, range(-2, 3) a(i), range(-2, 3) e(j) WHERE cx + i BETWEEN 0 AND 39 AND cy + j BETWEEN 0 AND 39 GROUP BY ALL)
+SELECT genotype, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, round(d / max(d) OVER (PARTITION BY genotype), 5) AS density FROM g WHERE genotype IN (SELECT genotype FROM p GROUP BY 1 HAVING count(*) >= 5)""")
+def density_by_genotype(spark, sf):
+    """AGG48 by genotype: a 40 x 40 grid, spread over five by five cells."""
+    e = A.table(spark, sf, "embeddings").select(F.col("label").alias("genotype"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return _r(averages.density_by_group(e, "genotype"), "density", digits=5)
+
+
 @query(f"{A.with_('f')} SELECT session_id, frame_index, x FROM f ORDER BY md5('42:' || session_id || ':' || frame_index), session_id, frame_index LIMIT 500")
 def frame_subsample(spark, sf):
     """SMP1: a sample of exactly 500 frames."""

@@ -134,7 +134,18 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def busiest_track(points: DataFrame) -> DataFrame:
-    """Per-frame centre of the session's most frequent track (ties: the smaller), mean of its visible points."""
-    n = points.groupBy("session_id", "track").agg(F.countDistinct("frame_index").alias("n"))
-    best = n.groupBy("session_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "track")).alias("m")).select("session_id", F.col("m.track").alias("track"))
-    return points.join(best, ["session_id", "track"]).where("visible").groupBy("session_id", "frame_index").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    """Per-frame centre of the session's most frequent track (ties: the smaller), mean of its visible points.
+
+    points: session_id, frame_index, track, x, y, visible, and instance, the place of a point's animal in its frame, where there
+    is one. In a frame without that track the first instance counts (without instances the smallest track, null last). A frame
+    whose instance shows no point has no row.
+    """
+    order = F.col("instance") if "instance" in points.columns else F.col("track")
+    own = points.withColumn("_o", order)
+    seen = F.col("visible") & F.col("x").isNotNull() & F.col("y").isNotNull()
+    one = own.groupBy("session_id", "frame_index", "track", "_o").agg(F.avg(F.when(seen, F.col("x"))).alias("x"), F.avg(F.when(seen, F.col("y"))).alias("y"))
+    n = one.where("track is not null").groupBy("session_id", "track").agg(F.countDistinct("frame_index").alias("n"))
+    best = n.groupBy("session_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "track")).alias("m")).select("session_id", F.col("m.track").alias("_best"))
+    rank = F.struct((~F.col("track").eqNullSafe(F.col("_best"))).alias("a"), F.col("_o").isNull().alias("b"), F.col("_o").alias("c"), F.col("track").alias("d"))
+    chosen = one.join(best, "session_id", "left").groupBy("session_id", "frame_index").agg(F.min_by(F.struct("x", "y"), rank).alias("p"))
+    return chosen.where("p.x is not null").select("session_id", "frame_index", "p.x", "p.y")

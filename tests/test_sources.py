@@ -107,3 +107,10 @@ def test_frame_file(spark, tmp_path):
     got = dict(zip(head.split(","), first.split(",")))
     assert (got["x_cm"], got["rearing"], got["quality"], got["nose_x"], got["nose_likelihood"], got["neck_x"]) == ("2.5", "1", "ok", "1.01", "0.988", "")
     assert second.split(",")[3:7] == [""] * 4 and second.split(",")[12:14] == ["0", "0"]
+
+
+def test_frames_without_the_busiest_track_take_the_first_instance(spark):
+    kind = "session_id string, frame_index int, track int, instance int, x double, y double, visible boolean"
+    rows = [("s", 0, 7, 1, 1.0, 1.0, True), ("s", 0, 3, 0, 9.0, 9.0, True), ("s", 1, 7, 0, 2.0, 2.0, True), ("s", 2, None, 1, 4.0, 4.0, True), ("s", 2, 3, 0, 5.0, 6.0, True), ("s", 3, 3, 0, 5.0, 5.0, False), ("s", 3, None, 1, 8.0, 8.0, True), ("s", 4, 7, 0, None, 1.0, True), ("s", 5, 7, 0, 6.0, 6.0, True)]
+    got = tracking.busiest_track(spark.createDataFrame(rows, kind)).orderBy("frame_index").collect()
+    assert [(r.frame_index, r.x, r.y) for r in got] == [(0, 1.0, 1.0), (1, 2.0, 2.0), (2, 5.0, 6.0), (5, 6.0, 6.0)]
