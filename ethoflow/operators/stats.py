@@ -139,13 +139,30 @@ def mann_whitney(rows: DataFrame, buckets: int = 256) -> DataFrame:
     return s.select("feature", "a", "b", "na", "nb", "u", "z", F.nanvl(u_p("u", "z", "na", "nb", "tie"), F.lit(None).cast("double")).alias("p"))
 
 
-def fdr(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg q for rows with p: the least p * n / rank of this rank and above."""
-    k = keys or []
-    base = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))  # one row for each test, few by nature
-    own = rows.withColumns({"_n": F.count("p").over(base), "_r": F.row_number().over(base.orderBy("p", *(c for c in rows.columns if c not in (*k, "p"))))})
-    own = own.withColumn("_a", F.col("p") * F.col("_n") / F.col("_r"))
-    return own.withColumn("q", F.least(F.lit(1.0), F.min("_a").over(base.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))).drop("_n", "_r", "_a")
+def fdr(rows: DataFrame, keys: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Benjamini-Hochberg q for rows with p: the least p * n / rank of this rank and above; null where p is.
+
+    A family (rows of equal keys) is ranked in one task. Without keys all rows are one family: equal p have equal q, so p are counted
+    first; ranks and least values of buckets of p are joined by one row for each bucket, and no task orders all tests.
+    """
+    if keys:
+        base = Window.partitionBy(*keys)
+        own = rows.withColumns({"_n": F.count("p").over(base), "_r": F.row_number().over(base.orderBy("p", *(c for c in rows.columns if c not in (*keys, "p"))))})
+        own = own.withColumn("_a", F.col("p") * F.col("_n") / F.col("_r"))
+        return own.withColumn("q", F.least(F.lit(1.0), F.min("_a").over(base.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))).drop("_n", "_r", "_a")
+    known = rows.where("p is not null").groupBy("p").agg(F.count("*").alias("c"))
+    cuts = rows.agg(F.percentile_approx("p", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    marks = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>")
+    known = known.withColumn("k", F.size(F.filter(marks, lambda c: c <= F.col("p"))))
+    inside = Window.partitionBy("k").orderBy("p")
+    # a row for each bucket
+    up, down = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy("k").agg(F.sum("c").alias("s"))
+    sizes = sizes.select("k", F.coalesce(F.sum("s").over(up), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("n"))
+    ranked = known.join(F.broadcast(sizes), "k").withColumn("a", F.col("p") * F.col("n") / (F.col("before") + F.sum("c").over(inside)))
+    least = ranked.groupBy("k").agg(F.min("a").alias("m")).select("k", F.min("m").over(down).alias("above"))
+    q = ranked.join(F.broadcast(least), "k").select(F.col("p").alias("_p"), F.least(F.lit(1.0), F.col("above"), F.min("a").over(inside.rowsBetween(0, Window.unboundedFollowing))).alias("q"))
+    return rows.join(q, F.col("p") == F.col("_p"), "left").drop("_p")
 
 
 def permutation(rows: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:

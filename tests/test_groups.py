@@ -92,3 +92,25 @@ def test_stationary_vector_and_entropy(spark):
         assert np.allclose(got[s].pi, pi, atol=1e-9) and math.isclose(got[s].entropy, h, rel_tol=1e-9) and math.isclose(got[s].entropy_normalized, h / math.log(16), rel_tol=1e-9)
         assert told[s].labels == len(labels) and math.isclose(told[s].self_rate, np.trace(t) / 4, rel_tol=1e-9) and told[s].entropy == got[s].entropy
     assert (told[9].labels, told[9].self_rate, told[9].entropy) == (2, 0.0, 0.0)
+
+
+def test_fdr_of_one_family_is_the_plain_one(spark):
+    r = np.random.default_rng(7)
+    p = [float(x) for x in np.round(r.random(700) ** 2, 2)] + [None, 0.0, 1.0, 1.0]
+    got = {t.i: t.q for t in stats.fdr(spark.createDataFrame(list(enumerate(p)), "i int, p double").repartition(4), buckets=8).collect()}
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    least = 1.0
+    for rank in range(len(known), 0, -1):
+        x, i = known[rank - 1]
+        least = min(least, x * len(known) / rank)
+        assert math.isclose(got[i], least, rel_tol=1e-12, abs_tol=1e-15)
+    assert len(got) == len(p) and got[700] is None
+    assert stats.fdr(spark.createDataFrame([], "i int, p double")).collect() == []
+
+
+def test_minimum_slice(spark):
+    """T6 of FIXTURES.md."""
+    from ethoflow.plans import registry
+
+    got = {r.state: (r.events, r.seconds) for r in registry.QUERIES["behaviour_state_seconds"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {"freezing": (260, 133.0), "immobile": (775, 444.5), "mobile": (2412, 3355.5)}
