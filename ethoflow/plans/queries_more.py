@@ -197,7 +197,7 @@ def tracker_headings(spark, sf):
     return _r(summaries.tracker_headings(A.frames(spark, sf)).select("session_id", "frame_index", "heading_deg", "heading_delta_deg"), "heading_deg", "heading_delta_deg")
 
 
-_POSED = f"rr AS (WITH {_REARING('f', 'x', '0.4')}), jr AS (SELECT f.*, rearing, coalesce(curvature > 0.25, head_body_angle > 90, FALSE) AS grooming FROM f JOIN rr USING (session_id, frame_index) JOIN pm USING (session_id, frame_index))"
+_POSED = f"{_REARING('f', 'x', '0.4')}, jr AS (SELECT f.*, rearing, coalesce(curvature > 0.25, head_body_angle > 90, FALSE) AS grooming FROM f JOIN rr USING (session_id, frame_index) JOIN pm USING (session_id, frame_index))"
 
 
 def _posed(spark, sf):
