@@ -114,3 +114,24 @@ def test_frames_without_the_busiest_track_take_the_first_instance(spark):
     rows = [("s", 0, 7, 1, 1.0, 1.0, True), ("s", 0, 3, 0, 9.0, 9.0, True), ("s", 1, 7, 0, 2.0, 2.0, True), ("s", 2, None, 1, 4.0, 4.0, True), ("s", 2, 3, 0, 5.0, 6.0, True), ("s", 3, 3, 0, 5.0, 5.0, False), ("s", 3, None, 1, 8.0, 8.0, True), ("s", 4, 7, 0, None, 1.0, True), ("s", 5, 7, 0, 6.0, 6.0, True)]
     got = tracking.busiest_track(spark.createDataFrame(rows, kind)).orderBy("frame_index").collect()
     assert [(r.frame_index, r.x, r.y) for r in got] == [(0, 1.0, 1.0), (1, 2.0, 2.0), (2, 5.0, 6.0), (5, 6.0, 6.0)]
+
+
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    source = tmp_path / "events"
+    at = lambda m, s=0: datetime(2024, 1, 1, 0, m, s)
+    rows = [("a", at(1), 2.0), ("a", at(4), 3.0), ("b", at(6), 1.0), ("a", at(20), 5.0), ("a", at(25), 1.0), ("b", at(59), 1.0)]
+    spark.createDataFrame(rows, "session_id string, ts timestamp, value double").coalesce(1).write.parquet(str(source))
+
+    def run(build, name):
+        stream = spark.readStream.schema("session_id string, ts timestamp, value double").parquet(str(source))
+        q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        assert q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    # the watermark ends ten minutes before the last event
+    bins = run(live.binned, "live_bins")
+    assert sorted((r.session_id, r.start.minute, r.n, r.total) for r in bins) == [("a", 0, 2, 5.0), ("a", 20, 1, 5.0), ("a", 25, 1, 1.0), ("b", 5, 1, 1.0)]
+    visits = run(live.sessions, "live_visits")
+    assert sorted((r.session_id, r.start.minute, r.stop.minute, r.n) for r in visits) == [("a", 1, 14, 2), ("a", 20, 35, 2), ("b", 6, 16, 1)]
