@@ -282,6 +282,7 @@ def rough_p(t: Column, na: Column, nb: Column) -> Column:
     """p of z = t (1 - 1 / (4 df)), df the smaller group less one, by a rational approximation of erf."""
     df = F.least(na, nb) - 1
     z = F.abs(t * (1 - 1 / (4 * df))) / F.sqrt(F.lit(2.0))
+    # fixed values: formula 7.1.26 of Abramowitz and Stegun
     k = 1 / (1 + 0.3275911 * z)
     poly = ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k
     return poly * F.exp(-z * z)

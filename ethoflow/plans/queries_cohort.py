@@ -45,7 +45,7 @@ fx AS (SELECT feature, (ssb / (k - 1)) / (ssw / (n - k)) AS f, (n - k) / 2e0 AS
 pv AS (SELECT feature, f, pow(x, h) * (1 + h * (1 - x)) AS p FROM x)
 SELECT feature, 'anova' AS test, round(f, 6) AS statistic, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM pv""")
 def group_tests(spark, sf):
-    """STA1, STA5, SCL29: tests with p and stars."""
+    """STA1, SCL29: tests with p and stars."""
     return _r(stats.group_test(_values(spark, sf)), "statistic", "p", digits=6)
 
 

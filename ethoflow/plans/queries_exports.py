@@ -9,7 +9,7 @@ from ..operators import phenotype, pose, sequence, session, track, zones
 from . import adapters as A
 from .queries_pose import _REARING, _measures
 from .queries_sequence import K
-from .queries_track import _EDGES, _TURN, _ZM, _zone_metrics, freeze, still
+from .queries_track import _EDGES, _TURN, _ZONE_SUMS, _zone_metrics, freeze, still
 from .registry import ORACLES, query
 
 PPC = 5.0
@@ -64,7 +64,7 @@ def summary_unpivot(spark, sf):
 _PIVOT = ", ".join(f"any_value(round(time_s, 3)) FILTER (WHERE zone_id = '{z}') AS zone_{z}_time_s, any_value(entries) FILTER (WHERE zone_id = '{z}') AS zone_{z}_entries, any_value(round(latency_s, 3)) FILTER (WHERE zone_id = '{z}') AS zone_{z}_latency_s" for z in _ZONES)
 
 
-@query(f"""{_METRICS}, {A.SQL['z']}, {_ZM[_ZM.index('i0 AS'):]}, pv AS (SELECT session_id, {_PIVOT} FROM zm GROUP BY session_id)
+@query(f"""{_METRICS}, {A.SQL['z']}, {_ZONE_SUMS}, pv AS (SELECT session_id, {_PIVOT} FROM zm GROUP BY session_id)
 SELECT CAST(session_id AS VARCHAR) AS job_id, 'animal ' || session_id AS animal_id, CASE WHEN session_id % 2 = 0 THEN 'vehicle' ELSE 'drug' END AS treatment, CAST(session_id % 3 AS VARCHAR) AS trial, '' AS session, '' AS experiment_id, '' AS experimenter,
 {', '.join(session.BATCH[7:])}, pv.* EXCLUDE (session_id) FROM mt JOIN pv USING (session_id)""")
 def batch_export(spark, sf):

@@ -43,7 +43,7 @@ def _genotype():
     return F.expr(_GENOTYPE)
 
 
-@query(f"""{A.with_('f').replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT session_id, {_GENOTYPE} AS grp, avg(ok::INT) AS value FROM f GROUP BY ALL), g AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1 HAVING count(*) >= 2 ORDER BY grp LIMIT 2),
+@query(f"""WITH RECURSIVE {A.SQL['f']}, v AS (SELECT session_id, {_GENOTYPE} AS grp, avg(ok::INT) AS value FROM f GROUP BY ALL), g AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1 HAVING count(*) >= 2 ORDER BY grp LIMIT 2),
 r AS (SELECT grp, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY value) AS t FROM v SEMI JOIN g USING (grp)),
 s AS (SELECT (SELECT min(grp) FROM g) AS a, (SELECT max(grp) FROM g) AS b, sum(r) FILTER (WHERE grp = (SELECT min(grp) FROM g)) AS ra, sum(t * t - 1) AS tie FROM r),
 u AS (SELECT a, b, x.n AS na, y.n AS nb, round(x.mean, 6) AS mean_a, round(y.mean, 6) AS mean_b, ra - x.n * (x.n + 1) / 2e0 AS u, (abs(ra - x.n * (x.n + 1) / 2e0 - x.n * y.n / 2e0) - 0.5e0) / sqrt(x.n * y.n / 12e0 * ((x.n + y.n + 1) - tie / ((x.n + y.n) * (x.n + y.n - 1e0)))) AS z, least(x.n, y.n) <= 8 AND tie = 0 AS exact FROM s JOIN g x ON x.grp = a JOIN g y ON y.grp = b),

@@ -78,7 +78,7 @@ def sliding_windows(spark, sf):
 @query(f"""{_WIN}, v AS (SELECT session_id, window_start, CAST((window_start // 5) % 3 AS INT) AS label FROM w WHERE n_valid >= 2 AND 20 - n_valid <= 5)
 SELECT e.session_id, e.frame_index, coalesce(arg_max(v.label, v.window_start), -1) AS label FROM e LEFT JOIN v ON v.session_id = e.session_id AND v.window_start <= e.frame_index AND e.frame_index < v.window_start + 20 GROUP BY ALL""")
 def frame_labels(spark, sf):
-    """JN14, WIN13: label of the latest valid window over each frame."""
+    """JN14: label of the latest valid window over each frame."""
     f = A.features(spark, sf)
     w = windows.sliding(f, DIMS).withColumn("label", F.expr("cast((window_start div 5) % 3 as int)"))
     return windows.frame_labels(f, w)

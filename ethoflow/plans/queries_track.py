@@ -100,12 +100,14 @@ def zone_events(spark, sf):
     return islands.zone_events(_zoned(spark, sf))
 
 
-_ZM = f"""{A.with_('f', 'k', 'z')}, {A.islands('z', 'zone_id')}, names AS (SELECT unnest({[r[0] for r in A.RECTANGLES]}) AS zone_id),
+#: zm: the metrics of each zone of a session, from z.
+_ZONE_SUMS = f"""{A.islands('z', 'zone_id')}, names AS (SELECT unnest({[r[0] for r in A.RECTANGLES]}) AS zone_id),
 st AS (SELECT session_id, zone_id, t_sec, x, y, lag(x) OVER w AS qx, lag(y) OVER w AS qy, lag(t_sec) OVER w AS qt FROM z WHERE zone_id IS NOT NULL WINDOW w AS (PARTITION BY session_id, zone_id ORDER BY frame_index)),
 ag AS (SELECT session_id, zone_id, count(*) / 2e0 AS time_s, min(t_sec) AS latency_s, avg(sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy)) / (t_sec - qt)) AS mean_speed, sum(sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy))) AS distance FROM st GROUP BY ALL),
 en AS (SELECT session_id, state AS zone_id, count(*) AS entries FROM i WHERE state IS NOT NULL GROUP BY ALL),
 zm AS (SELECT session_id, zone_id, coalesce(time_s, 0) AS time_s, coalesce(entries, 0) AS entries, latency_s, mean_speed, coalesce(distance, 0) AS distance
 FROM (SELECT DISTINCT session_id FROM f) CROSS JOIN names LEFT JOIN ag USING (session_id, zone_id) LEFT JOIN en USING (session_id, zone_id))"""
+_ZM = f"{A.with_('f', 'k', 'z')}, {_ZONE_SUMS}"
 
 
 def _zone_metrics(spark, sf):
