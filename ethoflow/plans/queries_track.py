@@ -242,10 +242,10 @@ def novel_object(spark, sf):
 
 
 @query(f"""{_ZM}, ra AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_s DESC, zone_id) AS r, sum(time_s) OVER (PARTITION BY session_id) AS t FROM zm)
-SELECT session_id, {', '.join(f"round(max(CASE WHEN r = {i + 1} AND t > 0 THEN 100 * time_s / t END), 4) AS {n}" for i, n in enumerate(('target_pct', 'opposite_pct', 'left_pct', 'right_pct')))} FROM ra GROUP BY session_id""")
+SELECT session_id, {', '.join(f"round(max(CASE WHEN r = {i + 1} AND t > 0 THEN 100 * time_s / t END), 4) AS {n}" for i, n in enumerate(('target_pct', 'opposite_pct', 'left_pct', 'right_pct')))}, CAST(NULL AS DOUBLE) AS platform_latency_s FROM ra GROUP BY session_id""")
 def water_maze(spark, sf):
-    """AGG16, WIN14: shares of quadrants; ``water_maze_platform`` has the latency."""
-    return _r(paradigms.water_maze(_zone_metrics(spark, sf), [r[0] for r in A.RECTANGLES]).drop("platform_latency_s"), "target_pct", "opposite_pct", "left_pct", "right_pct")
+    """AGG16, WIN14: no zone of the adapter is a platform; ``water_maze_platform`` has one."""
+    return _r(paradigms.water_maze(_zone_metrics(spark, sf), [r[0] for r in A.RECTANGLES]), "target_pct", "opposite_pct", "left_pct", "right_pct")
 
 
 @query(f"""{A.with_('f', 'k', 'z')}, {A.islands('z', 'zone_id')}, v AS (SELECT session_id, state AS s, lag(state, 1) OVER w AS s1, lag(state, 2) OVER w AS s2 FROM i WHERE state IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY start_t)),
