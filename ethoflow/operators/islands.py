@@ -34,6 +34,25 @@ def episodes(frames: DataFrame, condition: Column, min_s: float, keys=KEY) -> Da
     return r.groupBy(*keys).agg(F.coalesce(F.sum(F.when(long, F.col("duration_s"))), F.lit(0.0)).alias("total_s"), F.count_if(long).alias("episodes"))
 
 
+def episodes_of(frames: DataFrame, kinds: dict[str, tuple[Column, float]], keys=KEY) -> DataFrame:
+    """<kind>_s and <kind>_episodes as in ``episodes``, for each kind's (condition, min_s), from one pass over the frames."""
+    w = Window.partitionBy(*keys).orderBy("frame_index")
+    ok = valid(F.col("ok"), F.col("x"))
+    at = list(enumerate(kinds.items()))
+    own = frames.select(*keys, "frame_index", "t_sec", *((ok & F.coalesce(c, F.lit(False))).alias(f"_s{i}") for i, (_, (c, _)) in at))
+    own = own.withColumns({f"_c{i}": F.coalesce(~F.lag(f"_s{i}").over(w).eqNullSafe(F.col(f"_s{i}")), F.lit(True)).cast("int") for i, _ in at})
+    own = own.withColumns({f"_r{i}": F.sum(f"_c{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, _ in at})
+    each = own.select(*keys, "t_sec", F.inline(F.array(*(F.struct(F.lit(i).alias("_k"), F.col(f"_r{i}").alias("run_id"), F.col(f"_s{i}").alias("state")) for i, _ in at))))
+    r = each.groupBy(*keys, "_k", "run_id").agg(F.first("state").alias("state"), F.min("t_sec").alias("start_t"), F.max("t_sec").alias("last_t"))
+    after = F.lead("start_t").over(Window.partitionBy(*keys, "_k").orderBy("run_id"))
+    r = r.withColumn("duration_s", F.coalesce(after, F.col("last_t")) - F.col("start_t"))
+    told = []
+    for i, (name, (_, least)) in at:
+        long = (F.col("_k") == i) & F.col("state") & (F.col("duration_s") >= least)
+        told += [F.coalesce(F.sum(F.when(long, F.col("duration_s"))), F.lit(0.0)).alias(f"{name}_s"), F.count_if(long).alias(f"{name}_episodes")]
+    return r.groupBy(*keys).agg(*told)
+
+
 def zone_events(frames: DataFrame, keys=KEY) -> DataFrame:
     """Visits: zone, entry_t, exit_t, duration_s. Invalid frames close a visit."""
     r = runs(frames, F.when(valid(F.col("ok"), F.col("x")), F.col("zone_id")), keys)

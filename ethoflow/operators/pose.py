@@ -68,10 +68,18 @@ def heading(kps: Column) -> Column:
 def landmarks(frames: DataFrame, kps: str = "kps") -> DataFrame:
     """frames with a column for each landmark (lm_nose, ...), found by alias once a row.
 
-    The columns come from a generator, behind which no expression is copied: measures of many landmarks stay short plans.
+    The columns come from a generator, behind which no expression is copied: measures of many landmarks stay short plans. As in
+    ``_named``, exact names go before those that differ in case; each known point gets its landmark and its turn by one look-up.
     """
-    seven = F.struct(*(_named(F.col(kps), ALIASES[c]).alias(f"lm_{c}") for c in CANONICAL))
-    return frames.select("*", F.inline(F.array(seven)))
+    turns = {n: 100 * i + j for i, c in enumerate(CANONICAL) for j, n in enumerate(ALIASES[c])}
+    table = F.create_map(*(F.lit(x) for pair in turns.items() for x in pair))
+    turn = lambda e: F.coalesce(F.try_element_at(table, e["key"]), F.try_element_at(table, F.lower(e["key"])) + 50)
+    found = F.transform(F.map_entries(kps), lambda e, i: F.struct(turn(e).alias("turn"), i.alias("i"), e["value"].alias("p")))
+    found = F.sort_array(F.filter(found, lambda e: e["turn"].isNotNull() & e["p"].isNotNull()))
+    own = frames.select("*", F.inline(F.array(F.struct(found.alias("_found")))))
+    own = own.select("*", F.inline(F.array(F.struct(F.transform("_found", lambda e: F.floor(e["turn"] / 100).cast("int")).alias("_at")))))
+    seven = F.struct(*(F.get("_found", (F.array_position("_at", F.lit(i)) - 1).cast("int"))["p"].alias(f"lm_{c}") for i, c in enumerate(CANONICAL)))
+    return own.select(*frames.columns, F.inline(F.array(seven)))
 
 
 def bound() -> dict[str, Column]:
@@ -181,14 +189,13 @@ def upper_median(rows: DataFrame, value: str, keys=(S,)) -> DataFrame:
     return own.where(F.col("_r") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias("median"))
 
 
-def rearing(frames: DataFrame, value: str, fraction: float) -> DataFrame:
+def rearing(frames: DataFrame, value: str, fraction: float, more=()) -> DataFrame:
     """session_id, frame_index and rearing: the value is below a fraction of its running average (current row included).
 
-    Body length goes with 0.55, a blob's area with 0.40. Rows without a value aren't rearing.
+    Body length goes with 0.55, a blob's area with 0.40. Rows without a value aren't rearing. more: columns that come along.
     """
-    base = moving_average(frames, value)
-    own = frames.select(S, F.col("frame_index").cast("long").alias("frame_index"), value)
-    return own.join(base, [S, "frame_index"]).select(S, "frame_index", F.coalesce(F.col(value) < fraction * F.col("ema"), F.lit(False)).alias("rearing"))
+    base = moving_average(frames, value, more=(value, *more))
+    return base.select(S, "frame_index", F.coalesce(F.col(value) < fraction * F.col("ema"), F.lit(False)).alias("rearing"), *more)
 
 
 #: Limits of the graded measures, as (acceptable, borderline): fixed values. Jitter is graded by pixels and by body length.

@@ -36,17 +36,17 @@ def _carried(batches, n_keys: int, decay: float):
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_keys + 1)), pa.array(carry, pa.float64()), pa.array(earlier, pa.bool_())], names=[*batch.schema.names[: n_keys + 1], "carry", "earlier"])
 
 
-def moving_average(frames: DataFrame, value: str, decay: float = 0.97, keys=("session_id",)) -> DataFrame:
+def moving_average(frames: DataFrame, value: str, decay: float = 0.97, keys=("session_id",), more=()) -> DataFrame:
     """Exponential average that includes the current row and skips nulls and NaNs; null before the first value.
 
     Blocks of frames are averaged from 0 by windows; one row for each block is read in order to find what it starts
-    from, and that, times the block's decay so far, is added to its rows.
+    from, and that, times the block's decay so far, is added to its rows. more: columns of frames that come along.
     """
     if not 0 < decay < 1:
         raise ValueError("decay is between 0 and 1")
     size = max(1, min(BLOCK, int(-230 / math.log(decay))))  # powers of the decay stay within doubles
     v = F.col(value).cast("double")
-    own = frames.select(*keys, F.col("frame_index").cast("long").alias("frame_index"), F.when(~F.isnan(v), v).alias("_v")).withColumn("_b", F.floor(F.col("frame_index") / size))
+    own = frames.select(*keys, F.col("frame_index").cast("long").alias("frame_index"), F.when(~F.isnan(v), v).alias("_v"), *more).withColumn("_b", F.floor(F.col("frame_index") / size))
     so_far = Window.partitionBy(*keys, "_b").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     d = F.lit(decay)
     own = own.withColumn("_c", F.count("_v").over(so_far))
@@ -59,7 +59,7 @@ def moving_average(frames: DataFrame, value: str, decay: float = 0.97, keys=("se
     carried = carried.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_b", "_kb")
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_kb")]
     ema = F.when((F.col("_c") > 0) | F.col("earlier"), F.col("_s") + F.pow(d, "_c") * F.col("carry"))
-    return own.join(carried, on).select(*keys, "frame_index", ema.alias("ema"))
+    return own.join(carried, on).select(*keys, "frame_index", ema.alias("ema"), *more)
 
 
 def kalman_track(t: np.ndarray, x: np.ndarray, y: np.ndarray, ok: np.ndarray):

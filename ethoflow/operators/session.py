@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import time_label, valid
-from .islands import episodes, runs
+from .islands import episodes_of, runs
 from .pose import CANONICAL, landmarks
-from .zones import thigmotaxis
+from .zones import thigmotaxis_share
 
 
-def summary(steps: DataFrame) -> DataFrame:
-    """Distance, speeds, duration (time of the last frame), valid share, rotations and path efficiency by session."""
+def summary(steps: DataFrame, *more) -> DataFrame:
+    """Distance, speeds, duration (time of the last frame), valid share, rotations and path efficiency by session; more aggregates may follow."""
     v = valid(F.col("ok"), F.col("x"))
     point = F.struct("x", "y")
     turn = F.col("heading_delta_deg")
@@ -28,6 +28,7 @@ def summary(steps: DataFrame) -> DataFrame:
         (F.coalesce(F.sum(F.when(turn <= 0, -turn)), F.lit(0.0)) / 360).alias("rotations_ccw"),
         F.min_by(F.when(v, point), F.when(v, F.col("frame_index"))).alias("_a"),
         F.max_by(F.when(v, point), F.when(v, F.col("frame_index"))).alias("_b"),
+        *more,
     )
     straight = F.hypot(F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y"))
     return out.withColumn("path_efficiency", F.when(F.col("distance_px") > 0, F.round(straight / F.col("distance_px"), 4))).drop("_a", "_b")
@@ -116,27 +117,31 @@ def frame_export(frames: DataFrame, px_per_cm: float = 0.0, kps: str | None = No
     return whole.select("session_id", *base, *(x for c in CANONICAL for x in (point(c, "x", 2), point(c, "y", 2), likely(c))))
 
 
-def metrics(steps: DataFrame, freezing, immobile, arena, px_per_cm: float = 0.0, min_s: float = 1.0, rearing_min_s: float = 0.2) -> DataFrame:
+def metrics(steps: DataFrame, freezing, immobile, arena, px_per_cm: float = 0.0, min_s: float = 1.0, rearing_min_s: float = 0.2, rears: DataFrame | None = None) -> DataFrame:
     """The metrics of a session under the names and digits of its summary file, from ``track.kinematics`` rows.
 
-    freezing and immobile are conditions on a row; a column rearing, where there is one, gives rearing times. Mobile time is what of
-    the duration isn't immobile. Centimetres are null without calibration.
+    freezing and immobile are conditions on a row; a column rearing, where there is one, gives rearing times; it may come in rows of
+    its own (``rears``: session_id, frame_index, t_sec, ok, x, rearing), so that steps aren't joined with it. Mobile time is what of
+    the duration isn't immobile. Centimetres are null without calibration. Steps are read twice: for sums, and for episodes.
     """
-    base = summary(steps).drop("frames")
+    base = summary(steps, thigmotaxis_share(arena, px_per_cm).alias("thigmotaxis")).drop("frames")
     num = lambda c, d: F.round(F.col(c), d)
     cm = lambda c, d: F.round(F.col(c) / px_per_cm, d) if px_per_cm > 0 else F.lit(None).cast("double")
     base = base.select(
         "session_id", num("duration_s", 3).alias("duration_s"), num("valid_fraction", 4).alias("valid_fraction"), num("distance_px", 2).alias("total_distance_px"), cm("distance_px", 3).alias("total_distance_cm"),
         num("mean_speed", 3).alias("mean_speed_px_s"), cm("mean_speed", 3).alias("mean_speed_cm_s"), num("max_speed", 3).alias("max_speed_px_s"), cm("max_speed", 3).alias("max_speed_cm_s"),
-        "path_efficiency", num("rotations_cw", 2).alias("clockwise_rotations"), num("rotations_ccw", 2).alias("anticlockwise_rotations"),
+        "path_efficiency", num("rotations_cw", 2).alias("clockwise_rotations"), num("rotations_ccw", 2).alias("anticlockwise_rotations"), num("thigmotaxis", 4).alias("thigmotaxis_fraction"),
     )
-    rears = F.col("rearing") if "rearing" in steps.columns else F.lit(False)
-    for name, condition, least in (("freezing", freezing, min_s), ("immobile", immobile, min_s), ("rearing", rears, rearing_min_s)):
-        own = episodes(steps, condition, least).select("session_id", F.round("total_s", 3).alias(f"total_time_{name}_s"), F.col("episodes").alias(f"{name}_episodes"))
-        base = base.join(own, "session_id")
-    base = base.withColumn("total_time_mobile_s", F.round(F.greatest(F.lit(0.0), F.col("duration_s") - F.col("total_time_immobile_s")), 3)).drop("immobile_episodes")
-    near = thigmotaxis(steps, arena, px_per_cm).select("session_id", F.round("thigmotaxis", 4).alias("thigmotaxis_fraction"))
-    return base.join(near, "session_id")
+    kinds = {"freezing": (freezing, min_s), "immobile": (immobile, min_s)}
+    if rears is None:
+        kinds["rearing"] = (F.col("rearing") if "rearing" in steps.columns else F.lit(False), rearing_min_s)
+    long = episodes_of(steps, kinds)
+    if rears is not None:
+        long = long.join(episodes_of(rears, {"rearing": (F.col("rearing"), rearing_min_s)}), "session_id")
+    long = long.select("session_id", *(x for name in ("freezing", "immobile", "rearing") for x in (F.round(f"{name}_s", 3).alias(f"total_time_{name}_s"), f"{name}_episodes")))
+    base = base.join(long, "session_id")
+    mobile = F.round(F.greatest(F.lit(0.0), F.col("duration_s") - F.col("total_time_immobile_s")), 3)
+    return base.withColumn("total_time_mobile_s", mobile).drop("immobile_episodes")
 
 
 #: Rows of the summary file: metric, the column of ``metrics`` and the unit; fixed names, in their order.

@@ -33,7 +33,7 @@ def assign_zones(frames: DataFrame, zones) -> DataFrame:
     else:
         array = zones
     hit = F.filter(array, lambda z: point_in_polygon(F.col("x"), F.col("y"), z["points"]))
-    first = F.when(valid(F.col("ok"), F.col("x")) & (F.size(hit) > 0), F.element_at(hit, 1)["zone_id"])
+    first = F.when(valid(F.col("ok"), F.col("x")), F.get(hit, F.lit(0))["zone_id"])
     return frames.withColumn("zone_id", first).drop("zones")
 
 
@@ -59,12 +59,16 @@ def zone_metrics(frames: DataFrame, zones: DataFrame, fps: float) -> DataFrame:
     return out.select("session_id", "zone_id", F.coalesce("_v.time_s", zero).alias("time_s"), F.coalesce("_v.entries", F.lit(0).cast("long")).alias("entries"), "_v.latency_s", "_v.mean_speed", F.coalesce("_v.distance", zero).alias("distance"))
 
 
-def thigmotaxis(frames: DataFrame, arena, px_per_cm: float = 0.0, margin_cm: float = 5.0, margin_px: float = 50.0) -> DataFrame:
-    """Share of valid frames whose border distance is within the margin; 0 without valid frames."""
+def thigmotaxis_share(arena, px_per_cm: float = 0.0, margin_cm: float = 5.0, margin_px: float = 50.0):
+    """The aggregate of ``thigmotaxis``."""
     margin = margin_cm * px_per_cm if px_per_cm > 0 else margin_px
     near = border_distance(F.col("x"), F.col("y"), arena) <= margin
-    v = valid(F.col("ok"), F.col("x"))
-    return frames.groupBy("session_id").agg(F.coalesce(F.avg(F.when(v, near.cast("int"))), F.lit(0.0)).alias("thigmotaxis"))
+    return F.coalesce(F.avg(F.when(valid(F.col("ok"), F.col("x")), near.cast("int"))), F.lit(0.0))
+
+
+def thigmotaxis(frames: DataFrame, arena, px_per_cm: float = 0.0, margin_cm: float = 5.0, margin_px: float = 50.0) -> DataFrame:
+    """Share of valid frames whose border distance is within the margin; 0 without valid frames."""
+    return frames.groupBy("session_id").agg(thigmotaxis_share(arena, px_per_cm, margin_cm, margin_px).alias("thigmotaxis"))
 
 
 def heatmap(frames: DataFrame, width: float, height: float, columns: int = 80) -> DataFrame:

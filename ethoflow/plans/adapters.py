@@ -118,7 +118,11 @@ KEYPOINTS = [
 
 def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with kps under raw names; a point is missing where (event_id + its number) mod 11 is 0."""
-    f = frames(spark, sf_dir, "event_id")
+    return with_keypoints(frames(spark, sf_dir, "event_id"))
+
+
+def with_keypoints(f: DataFrame) -> DataFrame:
+    """kps for frames that still have their event_id."""
     point = lambda j, x, y: F.when((F.col("event_id") + j) % 11 != 0, F.struct(F.expr(f"cast(x + {x} as double)").alias("x"), F.expr(f"cast(y + {y} as double)").alias("y"), F.expr(f"(event_id * 7 + {j * 13}) % 100 / 100d").alias("likelihood")))
     whole = F.map_from_arrays(F.array(*(F.lit(raw) for _, raw, _, _ in KEYPOINTS)), F.array(*(point(j, x, y) for j, (_, _, x, y) in enumerate(KEYPOINTS))))
     none = F.create_map().cast("map<string,struct<x:double,y:double,likelihood:double>>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..operators import phenotype, pose, sequence, session, track, zones
 from . import adapters as A
-from .queries_pose import _REARING, _measures
+from .queries_pose import _REARING, _measured
 from .queries_sequence import K
 from .queries_track import _EDGES, _TURN, _ZONE_SUMS, _zone_metrics, freeze, still
 from .registry import ORACLES, query
@@ -17,14 +17,14 @@ _ZONES = [r[0] for r in A.RECTANGLES]
 
 
 def _steps(spark, sf):
-    """Steps with rearing by body length."""
-    own = track.kinematics(A.keypoints(spark, sf), PPC)
-    return own.join(pose.rearing(_measures(spark, sf), "body_length", 0.55), ["session_id", "frame_index"])
+    return track.kinematics(A.frames(spark, sf, "event_id"), PPC)
 
 
 def _metrics(spark, sf):
     arena = F.array(*(F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in geometry.rectangle(0, 0, 500, 500)))
-    return session.metrics(_steps(spark, sf), freeze(), still(), arena, PPC)
+    own = _measured(pose.landmarks(A.keypoints(spark, sf)), "t_sec", "ok", "x")
+    rears = pose.rearing(own, "body_length", 0.55, ("t_sec", "ok", "x"))
+    return session.metrics(_steps(spark, sf), freeze(), still(), arena, PPC, rears=rears)
 
 
 _KP = ", ".join(f"round({n}_x, 2) AS {n}_x, round({n}_y, 2) AS {n}_y, round({n}_l, 3) AS {n}_likelihood" for n in pose.CANONICAL)
@@ -38,8 +38,11 @@ FROM z AS k JOIN kp USING (session_id, frame_index) JOIN pm USING (session_id, f
 def frame_export(spark, sf):
     """SNK1: the per-frame file with its landmarks."""
     own = zones.assign_zones(_steps(spark, sf), A.zones_column())
-    m = _measures(spark, sf).select("session_id", "frame_index", F.col("body_length").alias("body_length_px"), F.col("ear_span").alias("ear_span_px"), F.col("curvature").alias("spine_curvature"), F.col("head_body_angle").alias("head_body_angle_deg"), pose.grooming(F.col("curvature"), F.col("head_body_angle")).alias("grooming"))
-    return session.frame_export(own.join(m, ["session_id", "frame_index"]), PPC, "kps")
+    keep = ("t_sec", "x", "y", "zone_id", "speed_px_s", "speed_cm_s", "heading_deg", "kps")
+    m = _measured(pose.landmarks(A.with_keypoints(own)), *keep)
+    m = m.select("session_id", "frame_index", *keep, F.col("body_length").alias("body_length_px"), F.col("ear_span").alias("ear_span_px"), F.col("curvature").alias("spine_curvature"), F.col("head_body_angle").alias("head_body_angle_deg"), pose.grooming(F.col("curvature"), F.col("head_body_angle")).alias("grooming"))
+    own = pose.rearing(m, "body_length_px", 0.55, (*keep, "body_length_px", "ear_span_px", "spine_curvature", "head_body_angle_deg", "grooming"))
+    return session.frame_export(own, PPC, "kps")
 
 
 _LONG = lambda name, cond, s: f"{A.islands(*cond, name=name)}, {name}t AS (SELECT session_id, round(coalesce(sum(end_t - start_t) FILTER (WHERE state AND end_t - start_t >= {s}), 0), 3) AS {name}_s, count(*) FILTER (WHERE state AND end_t - start_t >= {s}) AS {name}_n FROM {name} GROUP BY 1)"
@@ -71,7 +74,8 @@ def batch_export(spark, sf):
     """SNK3: all fixed columns, and every zone."""
     s = F.col("session_id")
     rows = _metrics(spark, sf)
-    meta = rows.select("session_id", F.concat(F.lit("animal "), s.cast("string")).alias("animal_id"), F.when(s % 2 == 0, "vehicle").otherwise("drug").alias("treatment"), (s % 3).alias("trial"))
+    sessions = A.table(spark, sf, "events").select(F.col("user_id").alias("session_id")).distinct()
+    meta = sessions.select("session_id", F.concat(F.lit("animal "), s.cast("string")).alias("animal_id"), F.when(s % 2 == 0, "vehicle").otherwise("drug").alias("treatment"), (s % 3).alias("trial"))
     return session.batch_export(rows, meta, _zone_metrics(spark, sf), _ZONES)
 
 

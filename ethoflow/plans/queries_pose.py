@@ -21,8 +21,12 @@ def _canonical(spark, sf):
 
 
 def _measures(spark, sf):
-    k, own = pose.bound(), pose.landmarks(A.keypoints(spark, sf))
-    return own.select("session_id", "frame_index", pose.body_length(k).alias("body_length"), pose.ear_span(k).alias("ear_span"), pose.heading(k).alias("heading"), pose.head_angle(k).alias("head_angle"), pose.curvature(k).alias("curvature"), pose.head_body_angle(k).alias("head_body_angle"), pose.all_seven(k).alias("all_seven"))
+    return _measured(pose.landmarks(A.keypoints(spark, sf)))
+
+
+def _measured(own, *more):
+    k = pose.bound()
+    return own.select("session_id", "frame_index", *more, pose.body_length(k).alias("body_length"), pose.ear_span(k).alias("ear_span"), pose.heading(k).alias("heading"), pose.head_angle(k).alias("head_angle"), pose.curvature(k).alias("curvature"), pose.head_body_angle(k).alias("head_body_angle"), pose.all_seven(k).alias("all_seven"))
 
 
 _ANGLES = ("heading", "head_angle", "head_body_angle")
@@ -140,8 +144,8 @@ a AS (SELECT session_id, frame_index, {', '.join(f'{n}_{x} AS {n}_{y}' for n in
 SELECT session_id, frame_index, {' AND '.join(f'{c} IS NOT NULL' for c in pose.FEATURES)} AS valid, {', '.join(f'round({c}, 4) + 0e0 AS {c}' for c in pose.FEATURES)} FROM a""")
 def pose_features(spark, sf):
     """SCL27: the twenty numbers of a frame, and whether all are known."""
-    own = track.kinematics(A.keypoints(spark, sf)).select("session_id", "frame_index", "kps", F.col("speed_px_s").alias("speed"))
-    own = own.join(pose.rearing(_measures(spark, sf), "body_length", 0.55), ["session_id", "frame_index"])
+    own = A.with_keypoints(track.kinematics(A.frames(spark, sf, "event_id"))).select("session_id", "frame_index", "kps", F.col("speed_px_s").alias("speed"))
+    own = pose.rearing(_measured(pose.landmarks(own), "kps", "speed"), "body_length", 0.55, ("kps", "speed"))
     told = pose.feature_rows(own, A.FPS)
     at = lambda i: F.round(F.nanvl(F.col("features")[i], F.lit(None).cast("double")), 4) + F.lit(0.0)
     return told.select("session_id", "frame_index", "valid", *(at(i).alias(c) for i, c in enumerate(pose.FEATURES)))
