@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, coefficients, mix
-from .shared import small_batches, text_buffers, text_slices
+from .shared import released, small_batches, text_buffers, text_slices, written
 
 #: Hashed features: 2**BITS, of words and of their first so many bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7, 8, 9)
 #: Labelled rows that training reads at most.
 MOST_LABELLED = 12_000
-#: Bytes of their texts, together; the driver holds them while it trains.
+#: Bytes of their texts, together.
 MOST_BYTES = 64 << 20
+#: Bytes of them that a task of training reads, about.
+TASK_BYTES = 4 << 20
 #: A sentence without any telling word has this logit before training, which is held near it.
 PRIOR = -9.0
 #: A sentence ends with one of these bytes ('.', '!', '?', line feed), or after this many words.
@@ -91,41 +93,64 @@ def _sentences(encoded: list[bytes]) -> Sentences:
     return Sentences(np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)]))
 
 
+def _held(s: Sentences, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of some texts, and how many of the toxic and of the clean ones hold each."""
+    own = s.text[s.sentence].astype(np.int64) << BITS
+    seen = np.unique(np.concatenate([own | f for f in s.features]))
+    mine = toxic[seen >> BITS]
+    features, at = np.unique(seen & ((1 << BITS) - 1), return_inverse=True)
+    return features, np.bincount(at[mine], minlength=len(features)), np.bincount(at[~mine], minlength=len(features))
+
+
+def _hits(s: Sentences, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence and number of each chosen feature that is said, feature row by feature row."""
+    number = np.full(1 << BITS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    hits = [np.flatnonzero(number[f] >= 0) for f in s.features]
+    return np.concatenate([s.sentence[h] for h in hits]), np.concatenate([number[f[h]] for f, h in zip(s.features, hits)])
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.3):
-    """(features, weights, bias): full-batch Adagrad on the noisy-or likelihood of documents.
+    """(features, weights, bias) from texts at hand; ``train`` does the same where they lie.
 
     Features are screened first: at least three toxic documents hold one, and its share of toxic documents
     is four times that of clean ones. All others keep the weight 0.
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():  # one class only: nothing tells sentences apart
-        return np.zeros(0, np.int64), np.zeros(0), PRIOR if not len(y) or y.max() == 0 else -PRIOR
+        return _nothing(y)
     held = np.zeros((2, 1 << BITS), np.int32)
     at = 0
     for piece in _pieces(texts):
-        s = _sentences(piece)
-        own = s.text[s.sentence].astype(np.int64) << BITS
-        seen = np.unique(np.concatenate([own | f for f in s.features]))
-        for label in (0, 1):
-            mine = y[at + (seen >> BITS)] == label
-            np.add.at(held[label], seen[mine] & ((1 << BITS) - 1), 1)
+        features, bad, good = _held(_sentences(piece), y[at : at + len(piece)] > 0)
+        held[1][features] += bad.astype(np.int32)
+        held[0][features] += good.astype(np.int32)
         at += len(piece)
     toxic, clean = y.sum(), len(y) - y.sum()
     chosen = np.flatnonzero((held[1] >= 3) & (held[1] / toxic >= 4 * (held[0] + 0.5) / clean))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
     rows, columns, of, base, at = [], [], [], 0, 0
     for piece in _pieces(texts):
         s = _sentences(piece)
-        for f in s.features:
-            hit = np.flatnonzero(number[f] >= 0)
-            rows.append(s.sentence[hit] + base)
-            columns.append(number[f[hit]])
+        hit, number = _hits(s, chosen)
+        rows.append(hit + base)
+        columns.append(number)
         of.append(s.text + at)
         base += len(s.first)
         at += len(piece)
     rows, columns, of = (np.concatenate(v) for v in (rows, columns, of))
-    weights, bias, k = np.zeros(len(chosen)), PRIOR, len(chosen)
+    return chosen, *_descent(y, rows, columns, of, len(chosen), rounds, rate)
+
+
+def _nothing(y: np.ndarray):
+    return np.zeros(0, np.int64), np.zeros(0), PRIOR if not len(y) or y.max() == 0 else -PRIOR
+
+
+def _descent(y: np.ndarray, rows: np.ndarray, columns: np.ndarray, of: np.ndarray, k: int, rounds: int = 400, rate: float = 0.3):
+    """(weights, bias) by full-batch Adagrad on the noisy-or likelihood of documents: sentence rows[i] says feature columns[i],
+    and sentence j is one of document of[j], whose label is y."""
+    base, toxic = len(of), y.sum()
+    clean = len(y) - toxic
+    weights, bias = np.zeros(k), PRIOR
     mass = np.where(y > 0, 0.5 / toxic, 0.5 / clean)
     squares, bias_squares = np.full(k, 1e-8), 1e-8
     for _ in range(rounds):
@@ -140,7 +165,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.
         bias_slope = pull.sum() + 0.01 * (bias - PRIOR)
         bias_squares += bias_slope**2
         bias -= 0.05 * bias_slope / np.sqrt(bias_squares)
-    return chosen, weights, bias
+    return weights, bias
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES):
@@ -148,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
     They are a sample picked by hash: ``most_labelled`` labels at most, and of their documents, in the order of the hash,
     each whose text still fits in ``most_bytes`` with those before it; a text that doesn't fit is passed over, and the next one is
-    looked at. Both bound what the driver holds; texts are taken whole. A sample of one kind only warns: nothing can be learnt.
+    looked at. Both bound the sample; texts are taken whole. They stay in the tasks, which count features and then look up the
+    chosen ones: the driver gets the latter's places in sentences, and no text. A sample of one kind only warns: nothing can be learnt.
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -165,11 +191,61 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
         if total + row["size"] <= most_bytes:
             total += row["size"]
             kept.add((row.doc_id, row.mark))
-    kept = docs.sparkSession.createDataFrame(sorted(kept), "doc_id long, mark long")
-    table = rows.join(F.broadcast(kept), ["doc_id", "mark"]).select("text", "toxic", "doc_id").orderBy("doc_id", "text").limit(most_labelled).toPandas()
-    if table["toxic"].nunique() < 2:
-        warnings.warn("toxicity: no labelled texts of both kinds, so all documents score alike", stacklevel=2)
-    return fit(table["text"].tolist(), table["toxic"].tolist())
+    if not kept:
+        return _unlike(np.zeros(0))
+    spark = docs.sparkSession
+    small = F.broadcast(spark.createDataFrame(sorted(kept), "doc_id long, mark long"))
+    sample = rows.join(small, ["doc_id", "mark"]).select("text", "toxic", "doc_id", "mark").repartition(1 + total // TASK_BYTES)
+    sample = table = written(sample, "labelled")
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if sum(n.values()) > most_labelled:  # rows of one id and text beyond the bound
+        sample = sample.orderBy("doc_id", "text").limit(most_labelled)
+        n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        released(table)
+        return _unlike(np.array([float(x) for x in n]))
+    own = sample.select(F.col("toxic").cast("int").alias("toxic"), "text", F.col("doc_id"), "mark")
+    held = own.mapInArrow(_held_in, "feature int, toxic int, clean int").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum("clean").alias("good"))
+    chosen = held.where((F.col("bad") >= 3) & (F.col("bad") / F.lit(float(n[1])) >= F.lit(4) * (F.col("good") + 0.5) / F.lit(float(n[0]))))
+    chosen = np.sort(chosen.select("feature").toArrow().column(0).to_numpy()).astype(np.int64)  # 2**BITS at most, each in three documents
+    shared = spark.sparkContext.broadcast(chosen)
+    told = own.mapInArrow(lambda it: _hits_in(it, shared.value), "doc_id long, mark long, toxic int, n int, sentence binary, feature binary").orderBy("doc_id", "mark").toArrow()
+    released(table)
+    sizes = told.column("n").to_numpy()
+    numbers = lambda c: [np.frombuffer(x.as_buffer(), np.int32) for x in told.column(c) if x.is_valid]
+    first = np.cumsum(sizes) - sizes
+    rows = np.concatenate([x + b for x, b in zip(numbers("sentence"), first.tolist())]).astype(np.int64)
+    columns = np.concatenate(numbers("feature")).astype(np.int64)
+    y = told.column("toxic").to_numpy().astype(float)
+    return chosen, *_descent(y, rows, columns, np.repeat(np.arange(len(y)), sizes), len(chosen))
+
+
+def _unlike(y: np.ndarray):
+    warnings.warn("toxicity: no labelled texts of both kinds, so all documents score alike", stacklevel=3)
+    return _nothing(y)
+
+
+def _held_in(batches):
+    for whole in batches:
+        for batch in text_slices(whole, "text", 1 << 20):
+            counted = _held(Sentences(*text_buffers(batch.column(1))), batch.column(0).to_numpy() > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in counted], names=["feature", "toxic", "clean"])
+
+
+def _hits_in(batches, chosen: np.ndarray):
+    """Of each text its number of sentences, and the sentence and number of every chosen feature in it (32 bits each)."""
+    for whole in batches:
+        for batch in text_slices(whole, "text", 1 << 20):
+            s = Sentences(*text_buffers(batch.column(1)))
+            sentence, feature = _hits(s, chosen)
+            of = s.text[sentence]
+            order = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[order], np.arange(s.n_texts + 1))
+            n = np.bincount(s.text, minlength=s.n_texts)
+            sentence = (sentence - (np.cumsum(n) - n)[of])[order].astype(np.int32)
+            feature = feature[order].astype(np.int32)
+            parts = [pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in (sentence, feature)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(n.astype(np.int32)), *parts], names=["doc_id", "mark", "toxic", "n", "sentence", "feature"])
 
 
 def _scored(batches, chosen: np.ndarray, told: np.ndarray, bias: float, locate: bool):

@@ -94,6 +94,26 @@ def test_training_is_bounded_in_bytes(spark):
     assert len(train(docs, seen, most_bytes=0)[0]) == 0
 
 
+def test_training_brings_no_text_to_the_driver(spark, monkeypatch):
+    """The model is that of texts at hand, but the driver gets numbers only."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows + rows[:3] + [(2000, None)], "doc_id long, text string")
+    seen = spark.createDataFrame(labels + [(2000, 0)], "doc_id long, toxic int")
+    names = []
+    for method in ("collect", "toPandas", "toArrow"):
+        was = getattr(DataFrame, method)
+        monkeypatch.setattr(DataFrame, method, lambda self, was=was: names.append(self.columns) or was(self))
+    got = train(docs, seen)
+    monkeypatch.undo()
+    assert names and not any("text" in n for n in names)
+    table = docs.join(seen, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy("doc_id", "text").collect()
+    want = fit([r.text or "" for r in table], [r.toxic for r in table])
+    assert len(want[0]) > 5 and got[0].tolist() == want[0].tolist()
+    assert np.allclose(got[1], want[1], rtol=1e-9) and got[2] == pytest.approx(want[2])
+
+
 def test_a_long_first_text_does_not_end_the_sample(spark):
     rows, labels = corpus(300)
     first = spark.range(1000, 3000).orderBy(F.xxhash64("id")).where(F.crc32(F.col("id").cast("string")) % 5 != 0).first().id
