@@ -19,6 +19,8 @@ from .recursive import assign_optimal
 
 #: Steps of one k-means fit, and the share of the mean variance below which centres count as standing still.
 MOST_STEPS, STILL = 300, 1e-4
+#: Windows of a matrix product (a row of it has a number for each cluster of each fit), and of a task where there are many.
+ROWS, WINDOWS = 2048, 16_000
 
 
 def scaled(rows: DataFrame, column: str = "features") -> DataFrame:
@@ -58,25 +60,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(batches, fits: list[tuple[int, np.ndarray]]):
-    """One task: n, cost and sums of each cluster of each fit."""
-    held = None
+    """One task: n, cost and sums of each cluster of each fit.
+
+    The centres of all fits of a draw stand in one matrix, so that some rows take two matrix products for all of them: one for
+    the distances and one, with a 1 at each fit's nearest centre, for the sums.
+    """
+    held, of = None, {}
+    for i, (bag, centres) in enumerate(fits):
+        of.setdefault(bag, []).append((i, centres))
+    stacked = {bag: np.concatenate([c for _, c in own]) for bag, own in of.items()}
+    sizes = {bag: (c**2).sum(1) for bag, c in stacked.items()}
     for batch in batches:
         if not batch.num_rows:
             continue
         x, bags = _matrix(batch.column(0)), batch.column(1).to_numpy()
         if held is None:
             held = [np.zeros((len(c), x.shape[1] + 2)) for _, c in fits]
-        own = {bag: x if bag < 0 else x[(bags >> bag) & 1 == 1] for bag in {b for b, _ in fits}}
-        for (bag, centres), total in zip(fits, held):
-            some = own[bag]
-            d = np.maximum((centres**2).sum(1) - 2 * some @ centres.T + (some**2).sum(1)[:, None], 0)
-            near = d.argmin(1)
-            total[:, 0] += np.bincount(near, minlength=len(centres))
-            np.add.at(total[:, 1], near, d[np.arange(len(some)), near])
-            np.add.at(total[:, 2:], near, some)
-    for i, total in enumerate(held or []):
-        k = len(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), *(pa.array(c) for c in total.T)], names=["fit", "cluster", "n", "cost", *(f"s{j}" for j in range(total.shape[1] - 2))])
+        for bag, own in of.items():
+            seen = x if bag < 0 else x[(bags >> bag) & 1 == 1]
+            for low in range(0, len(seen), ROWS):
+                some = seen[low : low + ROWS]
+                at, square = np.arange(len(some)), (some**2).sum(1)
+                d = sizes[bag] - 2 * (some @ stacked[bag].T)
+                chosen, first = np.zeros_like(d), 0
+                for i, centres in own:
+                    near = d[:, first : first + len(centres)].argmin(1)
+                    cost = np.maximum(d[at, first + near] + square, 0)
+                    chosen[at, first + near] = 1
+                    held[i][:, 0] += np.bincount(near, minlength=len(centres))
+                    held[i][:, 1] += np.bincount(near, cost, minlength=len(centres))
+                    first += len(centres)
+                sums, first = chosen.T @ some, 0
+                for i, centres in own:
+                    held[i][:, 2:] += sums[first : first + len(centres)]
+                    first += len(centres)
+    if held:  # one batch for all clusters of all fits
+        fit = np.repeat(np.arange(len(fits), dtype=np.int32), [len(t) for t in held])
+        cluster = np.concatenate([np.arange(len(t), dtype=np.int32) for t in held])
+        total = np.concatenate(held)
+        yield pa.RecordBatch.from_arrays([pa.array(fit), pa.array(cluster), *(pa.array(np.ascontiguousarray(c)) for c in total.T)], names=["fit", "cluster", "n", "cost", *(f"s{j}" for j in range(total.shape[1] - 2))])
+
+
+def _tasks(points: DataFrame, n: int) -> int:
+    """A task returns a row for each cluster of each fit, about a thousand, so it should see many more windows than that, but no
+    core should wait: two tasks a core of a thousand windows or more, or tasks of WINDOWS."""
+    return max(min(1 + n // 1000, 2 * points.sparkSession.sparkContext.defaultParallelism), 1 + n // WINDOWS)
 
 
 def _scan(points: DataFrame, fits: list[Fit], d: int) -> list[np.ndarray]:
@@ -194,7 +222,7 @@ def discover(windows: DataFrame, most_k: int = 20, starts: int = 5, sample: int
         raise ValueError(f"ten valid windows are needed, there are {n}")
     reduced_ = reduced(scaled(windows))
     some = _sample(reduced_, windows, sample)
-    points = _points(reduced_).repartition(1 + n // 1000).persist()  # dozens of scans follow: no tasks of a few rows
+    points = _points(reduced_).repartition(_tasks(reduced_, n)).persist()  # dozens of scans follow: no tasks of a few rows
     try:
         ks = range(2, min(most_k, n // 5) + 1)
         best = _best(kmeans(points, [Fit(k, seed + i) for k in ks for i in range(starts)], some), lambda f: f.k)
@@ -223,7 +251,7 @@ def stability(labelled: DataFrame, k: int, times: int = 10, share: float = 0.8,
     n = rows.count()
     first = rows.orderBy(F.xxhash64(*keys), *keys).limit(sample).select(vector_to_array("pca").alias("p"), "bags").toArrow()
     some, its = np.array(first.column("p").to_pylist()), first.column("bags").to_numpy()
-    points = _points(rows, F.col("bags")).repartition(1 + n // 1000).persist()
+    points = _points(rows, F.col("bags")).repartition(_tasks(rows, n)).persist()
     try:
         best = _best(kmeans(points, [Fit(k, seed + i, b) for b in range(times) for i in range(starts)], some, its), lambda f: f.bag)
     finally:

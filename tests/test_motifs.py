@@ -28,3 +28,22 @@ def test_nine_clear_clusters(spark):
         got.setdefault(r.window_start % 9, set()).add(r.label)
     assert all(len(v) == 1 for v in got.values()) and len(set.union(*got.values())) == 9
     assert motifs.stability(labelled, k) == pytest.approx(1.0)
+
+
+def test_sums_of_all_fits_at_once():
+    """Each fit's counts, cost and sums are those of a plain assignment, in one batch for all clusters (it was one a fit)."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    x, bags = draw.normal(size=(motifs.ROWS + 70, 3)), draw.integers(0, 4, motifs.ROWS + 70)
+    fits = [(b, draw.normal(size=(k, 3))) for b, k in ((-1, 4), (0, 2), (1, 3), (-1, 5), (0, 3))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(x[a:b])), pa.array(bags[a:b])], names=["p", "bags"]) for a, b in ((0, 20), (20, len(x)))]
+    (got,) = motifs._sums(batches, fits)
+    assert got.num_rows == 17
+    told = {(r["fit"], r["cluster"]): [r["n"], r["cost"], r["s0"], r["s1"], r["s2"]] for r in got.to_pylist()}
+    for i, (bag, centres) in enumerate(fits):
+        some = x if bag < 0 else x[(bags >> bag) & 1 == 1]
+        d = ((some[:, None] - centres) ** 2).sum(2)
+        for c in range(len(centres)):
+            mine = d.argmin(1) == c
+            assert np.allclose(told[i, c], [mine.sum(), d[mine, c].sum(), *some[mine].sum(0)])
