@@ -204,14 +204,19 @@ QC_LIMITS = {"valid_share": (0.75, 0.50), "likelihood": (0.70, 0.50), "length_cv
 
 def quality(frames: DataFrame, least: float = 0.6) -> DataFrame:
     """By session and landmark: share of frames without it, mean likelihood, median jitter between consecutive frames."""
-    w = Window.partitionBy(S, "kp").orderBy("frame_index")
-    own = frames.select(S, "frame_index", F.explode(F.array(*map(F.lit, CANONICAL))).alias("kp"), "kps").withColumn("p", F.try_element_at(F.col("kps"), F.col("kp"))).drop("kps")
-    good = F.coalesce(F.col("p.likelihood"), F.when(F.col("p").isNotNull(), 1.0)) >= least
-    own = own.withColumn("_good", F.coalesce(good, F.lit(False)))
-    before = F.lag(F.struct("frame_index", "p", "_good")).over(w)
-    own = own.withColumn("_b", before)
-    jitter = F.when(F.col("_good") & F.col("_b._good") & (F.col("_b.frame_index") + 1 == F.col("frame_index")), F.hypot(F.col("p.x") - F.col("_b.p.x"), F.col("p.y") - F.col("_b.p.y")))
-    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), _mean(F.when(F.col("p").isNotNull(), F.coalesce(F.col("p.likelihood"), F.lit(1.0)))).alias("likelihood"), F.median(jitter).alias("jitter"))
+    # a frame meets the one before it whole: seven points a row are ordered, not seven rows
+    w = Window.partitionBy(S).orderBy("frame_index")
+    own = frames.select(S, "frame_index", F.array(*(F.try_element_at(F.col("kps"), F.lit(c)) for c in CANONICAL)).alias("_p"))
+    own = own.withColumn("_q", F.when(F.lag("frame_index").over(w) + 1 == F.col("frame_index"), F.lag("_p").over(w)))
+    good = lambda p: F.coalesce(F.coalesce(p["likelihood"], F.when(p.isNotNull(), 1.0)) >= least, F.lit(False))
+
+    def point(i: int) -> Column:
+        p, q = F.get("_p", F.lit(i)), F.get("_q", F.lit(i))
+        jitter = F.when(good(p) & good(q), F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
+        return F.struct(F.lit(CANONICAL[i]).alias("kp"), good(p).alias("_good"), F.when(p.isNotNull(), F.coalesce(p["likelihood"], F.lit(1.0))).alias("_l"), jitter.alias("_j"))
+
+    own = own.select(S, F.inline(F.array(*map(point, range(len(CANONICAL))))))
+    return own.groupBy(S, "kp").agg(F.avg((~F.col("_good")).cast("int")).alias("missing"), _mean("_l").alias("likelihood"), F.median("_j").alias("jitter"))
 
 
 def length_quality(rows: DataFrame, value: str = "body_length") -> DataFrame:
@@ -228,10 +233,10 @@ def quality_tiers(frames: DataFrame, least: float = 0.6) -> DataFrame:
     share = whole.groupBy(S).agg(F.avg(F.col("_v").cast("int")).alias("valid_share"))
     gap = longest_gap(whole, ~F.col("_v")).select(S, "max_gap", "gaps_5")
     by_point = quality(frames, least).groupBy(S).agg(F.min(F.coalesce("likelihood", F.lit(0.0))).alias("likelihood"), F.avg(F.coalesce("jitter", F.lit(0.0))).alias("jitter_px"))
-    size = length_quality(frames.select(S, _span(F.col("kps"), "nose", "tail_base").alias("body_length")))
     # too few lengths have no spread
-    many = frames.groupBy(S).agg(F.count(_span(F.col("kps"), "nose", "tail_base")).alias("_n"))
-    own = share.join(gap, S).join(by_point, S).join(size.select(S, "median", F.col("cv").alias("length_cv")), S).join(many, S)
+    lengths = frames.select(S, _span(F.col("kps"), "nose", "tail_base").alias("_d"))
+    size = lengths.groupBy(S).agg(F.percentile("_d", 0.5).alias("median"), (F.stddev_pop("_d") / F.avg("_d")).alias("length_cv"), F.count("_d").alias("_n"))
+    own = share.join(gap, S).join(by_point, S).join(size, S)
     own = own.withColumns({"length_cv": F.when(F.col("_n") > 2, F.coalesce("length_cv", F.lit(0.0))).otherwise(0.0), "jitter_norm": F.when(F.col("median") > 0, F.col("jitter_px") / F.col("median")).otherwise(0.0)})
     high = {"valid_share", "likelihood"}
     grade = {k: qc_grade(F.col(k), a, b, k not in high) for k, (a, b) in QC_LIMITS.items()}
